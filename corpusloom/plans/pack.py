@@ -45,8 +45,11 @@ class Packed:
     strip: bool
 
 
-def _body(strip: bool) -> Column:
-    return strip_comments(F.col("content"), F.col("path")) if strip else F.col("content")
+def _with_text(files: DataFrame, strip: bool) -> DataFrame:
+    """Add ``_text``, what goes into the block. As a column of its own it is
+    computed once per file, though rendering refers to it several times."""
+    content = F.col("content")
+    return files.withColumn("_text", strip_comments(content, F.col("path")) if strip else content)
 
 
 def corpus_nodes(
@@ -58,10 +61,9 @@ def corpus_nodes(
 ) -> DataFrame:
     """Written table of nodes: repo, path, is_dir, size, name, depth, selected,
     ord, block_bytes, line_bytes."""
-    facts = {
-        "block_bytes": F.octet_length(render(F.col("path"), _body(strip), fmt)).cast("bigint"),
-    }
-    nodes = walk(files, globs, facts)
+    block = render(F.col("path"), F.col("_text"), fmt)
+    facts = {"block_bytes": F.octet_length(block).cast("bigint")}
+    nodes = walk(_with_text(files, strip), globs, facts)
     if selection is None:
         nodes = nodes.withColumn("selected", F.lit(True))
     else:
@@ -183,8 +185,8 @@ def part_body(
         "repo", "ord", "path", "part",
         F.floor(F.col("before") / piece_tokens).cast("bigint").alias("_slice"),
     )
-    text = packed.files.select(
-        "repo", "path", render(F.col("path"), _body(packed.strip), packed.fmt).alias("_block")
+    text = _with_text(packed.files, packed.strip).select(
+        "repo", "path", render(F.col("path"), F.col("_text"), packed.fmt).alias("_block")
     )
     blocks = (
         where.join(text, ["repo", "path"])
@@ -273,5 +275,6 @@ def strip_savings(files: DataFrame) -> DataFrame:
 
 def token_nodes(files: DataFrame, strip: bool = True) -> DataFrame:
     """Selected-by-default nodes with ``token_count``, ready for the summaries."""
-    nodes = walk(files, facts={"token_count": token_estimate(_body(strip))})
+    facts = {"token_count": token_estimate(F.col("_text"))}
+    nodes = walk(_with_text(files, strip), facts=facts)
     return nodes.withColumn("selected", F.lit(True))

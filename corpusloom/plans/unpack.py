@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.render import render
+from corpusloom.functions.text import cdata_restore
 from corpusloom.operators.tree import walk
-from corpusloom.operators.unpacking import apply_blocks, latest_block, safe_blocks, unpack
+from corpusloom.operators.unpacking import (
+    apply_blocks,
+    latest_block,
+    markdown_blocks,
+    safe_blocks,
+    unpack,
+    xml_blocks,
+)
 
 
 def unpack_into(
@@ -28,35 +36,23 @@ def roundtrip_report(files: DataFrame) -> DataFrame:
     """
     kept = walk(files).filter("not is_dir").select("repo", "path")
     source = files.join(kept, ["repo", "path"], "left_semi")
-    reports = []
-    for fmt in ("xml", "markdown"):
-        sent = source.select("repo", "path", "content", render(F.col("path"), F.col("content"), fmt).alias("body"))
-        sent = sent.withColumnsRenamed({"path": "_path", "content": "_content"})
-        back = F.filter(
-            _blocks(fmt), lambda b: b["path"] == F.col("_path")
-        )
-        got = F.get(F.transform(back, lambda b: b["content"]), F.lit(0))
-        reports.append(
-            sent.select(
-                "repo",
-                F.col("_path").alias("path"),
-                F.lit(fmt).alias("fmt"),
-                F.when(got == F.col("_content"), "exact")
-                .when(F.concat(got, F.lit("\n")) == F.col("_content"), "newline")
-                .when(got.isNotNull(), "changed")
-                .when(F.size(_blocks(fmt)) > 0, "renamed")
-                .otherwise("missing")
-                .alias("fidelity"),
-            )
-        )
+    reports = [_fidelity(source, fmt) for fmt in ("xml", "markdown")]
     return reports[0].unionByName(reports[1])
 
 
-def _blocks(fmt):
-    from corpusloom.functions.text import cdata_restore
-    from corpusloom.operators.unpacking import markdown_blocks, xml_blocks
-
-    found = (xml_blocks if fmt == "xml" else markdown_blocks)(F.col("body"))
-    return F.transform(
-        found, lambda b: F.struct(b["path"].alias("path"), cdata_restore(b["content"]).alias("content"))
+def _fidelity(source: DataFrame, fmt: str) -> DataFrame:
+    parse = {"xml": xml_blocks, "markdown": markdown_blocks}[fmt]
+    sent = source.withColumn("_blocks", parse(render(F.col("path"), F.col("content"), fmt)))
+    mine = F.filter("_blocks", lambda b: b["path"] == F.col("path"))
+    got = sent.withColumn("_back", cdata_restore(F.get(mine, F.lit(0))["content"]))
+    return got.select(
+        "repo",
+        "path",
+        F.lit(fmt).alias("fmt"),
+        F.when(F.col("_back") == F.col("content"), "exact")
+        .when(F.concat("_back", F.lit("\n")) == F.col("content"), "newline")
+        .when(F.col("_back").isNotNull(), "changed")
+        .when(F.size("_blocks") > 0, "renamed")
+        .otherwise("missing")
+        .alias("fidelity"),
     )
