@@ -42,7 +42,8 @@ def language(path: Column) -> Column:
 
 def binary_reason(path: Column, content: Column) -> Column:
     """'extension', 'nul' or null for text. ``content`` may be string or binary."""
-    head = F.substring(content.cast("binary"), 1, 512)
+    # 512 characters hold at least the first 512 bytes; the whole is not copied.
+    head = F.substring(F.substring(content, 1, 512).cast("binary"), 1, 512)
     return F.when(extension(path).isin(BINARY_EXTENSIONS), "extension").when(
         F.contains(head, F.lit(b"\x00")), "nul"
     )

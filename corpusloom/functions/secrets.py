@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.constants import ENV_LABEL, SECRET_GATE, SECRET_RULES
 
-_ANY_RULE = "|".join(f"(?:{pattern})" for _, pattern in SECRET_RULES)
+# The letters a match can begin with; the look-ahead passes over all other places.
+_FIRST = r"(?=[saApdcthSPDCT\u017f][kKeEaArRbBoOpPwWtT3GIS\u212a])"
+_ANY_RULE = _FIRST + "(?:" + "|".join(f"(?:{pattern})" for _, pattern in SECRET_RULES) + ")"
 
 
 def passes_gate(content: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Line comments, markup comments and blank lines are regular on the whole text, so
 they are plain ``regexp_replace`` calls. Only texts that really contain a block
-comment or a triple quote go through the line automaton.
+comment or a triple quote go through the line automaton. Texts are handled with
+a line feed in front of every line; the patterns begin at it or at the comment.
 """
 
 from __future__ import annotations
@@ -11,79 +12,56 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.constants import C_EXTENSIONS, HASH_EXTENSIONS, MARKUP_EXTENSIONS
-from corpusloom.functions.automaton import states_of_lines
+from corpusloom.functions.automaton import rewrite
 from corpusloom.functions.paths import extension
-from corpusloom.functions.text import WS_LINE, after_first, is_blank, let, lines, terminated
+from corpusloom.functions.text import WS, WS_LINE, after_first, is_blank, preceded
 
-_BOL = r"(?:\A|(?<=\n))"  # start of a line
-_BLANK_LINE = rf"{_BOL}[{WS_LINE}]++(?=\n)"  # its white space, not the line feed
-
-# What to delete from a text whose lines all end in a line feed.
-_C_LINE = rf"{_BLANK_LINE}|{_BOL}[{WS_LINE}]*+//[^\n]*\n|//[^\n]*"
-_HASH_LINE = (
-    rf"{_BLANK_LINE}|({_BOL}[{WS_LINE}]*+#![^\n]*)|{_BOL}[{WS_LINE}]*+#[^\n]*\n|#[^\n]*"
-)
+# A line that holds only a comment goes with its line feed, else from the mark on.
+_C_LINE = rf"(?=[\n/])(?:\n[{WS_LINE}]*+)?//[^\n]*"
+_HASH_LINE = rf"(?=[\n#])(?:(\n[{WS_LINE}]*+#![^\n]*)|(?:\n[{WS_LINE}]*+)?#[^\n]*)"
 _MARKUP = (
-    rf"{_BLANK_LINE}|{_BOL}[{WS_LINE}]*+(?=<!--)[^\n]*-->[{WS_LINE}]*\n|<!--[^\n]*?-->"
+    rf"(?=[\n<])(?:\n[{WS_LINE}]*+(?=<!--)[^\n]*-->[{WS_LINE}]*(?=\n|\z)|<!--[^\n]*?-->)"
 )
-# Leading blank lines, more than one blank line in a row, the last line feed.
-_SPARE_BLANKS = r"\A\n++|(?<=\n)\n++\z|(?<=\n\n)\n++|(?<!\n)\n\z"
+# Nothing but blanks; blank lines at the start, with the first line feed; a run of
+# blank lines elsewhere, of which one stays.
+_SPARE_BLANKS = rf"\A[{WS}]*+\z|\A[{WS}]*\n|(\n)[{WS}]*(?:\z|(\n))"
 
 _INLINE_BLOCK = r"(?s)/\*.*?\*/"
+_BLOCK_LINE = r"\n[^\n]*?(?:/\*|\*/)[^\n]*"
 _QUOTES = ('"""', "'''")
+_QUOTE_LINE = r"\n[^\n]*?(?:\"\"\"|''')[^\n]*"
 
 
-def collapse_blanks(text: Column) -> Column:
-    """``text`` has one line feed per line; the result has no final one unless
-    a blank line stood at the end."""
-    return F.regexp_replace(text, _SPARE_BLANKS, "")
-
-
-def _join(original: Column, outputs: Column) -> Column:
-    """Lines of ``outputs`` with their line feeds. A null line is dropped, and
-    so is one that turned blank; an originally blank one stays as ''."""
-    kept = F.zip_with(
-        original,
-        outputs,
-        lambda before, now: F.when(~is_blank(now), F.concat(now, F.lit("\n"))).when(
-            now.isNotNull() & is_blank(before), "\n"
-        ),
-    )
-    return F.array_join(kept, "")
+def _unless_blank(line: Column) -> Column:
+    return F.when(~is_blank(line), F.concat(F.lit("\n"), line))
 
 
 def _c_after(line: Column) -> Column:
     """State after a line read outside a block comment."""
-    return F.when(
-        F.regexp_replace(line, _INLINE_BLOCK, "").contains("/*"), "B"
-    ).otherwise("N")
+    return F.when(F.regexp_replace(line, _INLINE_BLOCK, "").contains("/*"), "B").otherwise("N")
+
 
+def _c_blocks(text: Column) -> Column:
+    """States: N code, B inside a block comment."""
 
-def _c_blocks(content: Column) -> Column:
     def effect(line: Column) -> Column:
         closed = F.when(line.contains("*/"), _c_after(after_first(line, "*/"))).otherwise("B")
-        return F.when(line.contains("*"), F.concat(_c_after(line), closed)).otherwise("NB")
-
-    def visible(line: Column, state: Column) -> Column:
-        text = F.when(state == "N", line).when(line.contains("*/"), after_first(line, "*/"))
-        return F.when(
-            text.contains("/"), F.regexp_replace(text, _INLINE_BLOCK, "")
-        ).otherwise(text)
-
-    def output(text: Column) -> Column:
-        return F.when(text.contains("/*"), F.substring_index(text, "/*", 1)).otherwise(
-            F.substring_index(text, "//", 1)
+        return F.concat(_c_after(line), closed)
+
+    def code(line: Column, state: Column) -> Column:
+        seen = F.when(state == "N", line).when(line.contains("*/"), after_first(line, "*/"))
+        rest = F.regexp_replace(seen, _INLINE_BLOCK, "")
+        # An opening mark is looked for before '//', also inside a line comment.
+        return _unless_blank(
+            F.when(rest.contains("/*"), F.substring_index(rest, "/*", 1)).otherwise(
+                F.substring_index(rest, "//", 1)
+            )
         )
 
-    return let(
-        lines(content),
-        lambda ls: _join(
-            ls,
-            F.transform(
-                F.zip_with(ls, states_of_lines(F.transform(ls, effect), "NB"), visible), output
-            ),
-        ),
-    )
+    def between(stretch: Column, state: Column) -> Column:
+        return F.when(state == "N", F.regexp_replace(stretch, _C_LINE, ""))
+
+    return rewrite(text, _BLOCK_LINE, "NB", effect, between, code)
 
 
 def _py_after(line: Column) -> Column:
@@ -95,71 +73,63 @@ def _py_after(line: Column) -> Column:
     return result
 
 
-def _py_docstrings(content: Column) -> Column:
+def _py_docstrings(text: Column) -> Column:
+    """States: N code, D and S inside a docstring with double or single quotes."""
     double, single = _QUOTES
 
     def effect(line: Column) -> Column:
         from_d = F.when(line.contains(double), _py_after(after_first(line, double))).otherwise("D")
         from_s = F.when(line.contains(single), _py_after(after_first(line, single))).otherwise("S")
-        quoted = line.contains(double) | line.contains(single)
-        return F.when(quoted, F.concat(_py_after(line), from_d, from_s)).otherwise("NDS")
+        return F.concat(_py_after(line), from_d, from_s)
 
-    def visible(line: Column, state: Column) -> Column:
-        return (
-            F.when(state == "N", line)
-            .when((state == "D") & line.contains(double), after_first(line, double))
-            .when((state == "S") & line.contains(single), after_first(line, single))
-        )
-
-    def without_docstring(text: Column) -> Column:
-        result = text
+    def without_docstring(line: Column) -> Column:
+        result = line
         for quote in reversed(_QUOTES):
-            rest = after_first(text, quote)
+            rest = after_first(line, quote)
             tail = F.when(rest.contains(quote), after_first(rest, quote)).otherwise("")
             result = F.when(
-                text.contains(quote), F.concat(F.substring_index(text, quote, 1), tail)
+                line.contains(quote), F.concat(F.substring_index(line, quote, 1), tail)
             ).otherwise(result)
         return result
 
-    def output(text: Column) -> Column:
-        return F.when(text.rlike(rf"\A[{WS_LINE}]*#!"), text).otherwise(
-            F.substring_index(text, "#", 1)
+    def code(line: Column, state: Column) -> Column:
+        seen = (
+            F.when(state == "N", line)
+            .when((state == "D") & line.contains(double), after_first(line, double))
+            .when((state == "S") & line.contains(single), after_first(line, single))
+        )
+        rest = without_docstring(seen)
+        return _unless_blank(
+            F.when(rest.rlike(rf"\A[{WS_LINE}]*#!"), rest).otherwise(
+                F.substring_index(rest, "#", 1)
+            )
         )
 
-    return let(
-        lines(content),
-        lambda ls: _join(
-            ls,
-            F.transform(
-                F.transform(
-                    F.zip_with(ls, states_of_lines(F.transform(ls, effect), "NDS"), visible),
-                    without_docstring,
-                ),
-                output,
-            ),
-        ),
-    )
+    def between(stretch: Column, state: Column) -> Column:
+        return F.when(state == "N", F.regexp_replace(stretch, _HASH_LINE, "$1"))
+
+    return rewrite(text, _QUOTE_LINE, "NDS", effect, between, code)
 
 
 def strip_comments(content: Column, path: Column) -> Column:
     """Content without comments and spare blank lines, by file extension."""
     ext = extension(path)
-    flat = terminated(content)
+    text = preceded(content)
     triple = content.contains(_QUOTES[0]) | content.contains(_QUOTES[1])
     bare = (
         F.when(
             ext.isin(C_EXTENSIONS),
-            F.when(content.contains("/*"), _c_blocks(content)).otherwise(
-                F.regexp_replace(flat, _C_LINE, "")
+            F.when(content.contains("/*"), _c_blocks(text)).otherwise(
+                F.regexp_replace(text, _C_LINE, "")
             ),
         )
         .when(
             ext.isin(HASH_EXTENSIONS),
-            F.when((ext == ".py") & triple, _py_docstrings(content)).otherwise(
-                F.regexp_replace(flat, _HASH_LINE, "$1")
+            F.when((ext == ".py") & triple, _py_docstrings(text)).otherwise(
+                F.regexp_replace(text, _HASH_LINE, "$1")
             ),
         )
-        .when(ext.isin(MARKUP_EXTENSIONS), F.regexp_replace(flat, _MARKUP, ""))
-        .otherwise(F.regexp_replace(flat, _BLANK_LINE, ""))
+        .when(ext.isin(MARKUP_EXTENSIONS), F.regexp_replace(text, _MARKUP, ""))
+        .otherwise(text)
     )
-    return collapse_blanks(bare)
+    return F.regexp_replace(bare, _SPARE_BLANKS, "$1$2")

@@ -29,27 +29,24 @@ def after_first(text: Column, marker: str) -> Column:
     return F.substr(text, F.instr(text, marker) + F.lit(len(marker)))
 
 
-def terminated(content: Column) -> Column:
-    """Content with carriage returns before line ends dropped and every line,
-    the last one included, closed by a line feed. Empty content has no line."""
-    clean = F.when(
-        content.contains("\r"), F.regexp_replace(content, r"\r(?=\n|\z)", "")
-    ).otherwise(content)
-    return (
-        F.when(content == "", "")
-        .when(content.endswith("\n"), clean)
-        .otherwise(F.concat(clean, F.lit("\n")))
-    )
+def _without_ends(content: Column) -> Column:
+    """Content without carriage returns before line ends and without the last
+    line feed."""
+    clean = F.replace(content, F.lit("\r\n"), F.lit("\n"))
+    ended = content.endswith("\n") | content.endswith("\r")
+    return F.when(ended, F.substr(clean, F.lit(1), F.length(clean) - 1)).otherwise(clean)
+
+
+def preceded(content: Column) -> Column:
+    """Content with a line feed in front of every line instead of behind it;
+    carriage returns before line ends are gone. Empty content has no line."""
+    return F.when(content == "", "").otherwise(F.concat(F.lit("\n"), _without_ends(content)))
 
 
 def lines(content: Column) -> Column:
     """Lines without their ends; a final line feed opens no further line."""
-    body = F.when(
-        content.contains("\r") | content.endswith("\n"),
-        F.regexp_replace(content, r"\r?\n\z|\r(?=\n|\z)", ""),
-    ).otherwise(content)
     return F.when(content == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, "\n")
+        F.split(_without_ends(content), "\n")
     )
 
 

@@ -21,7 +21,7 @@ from corpusloom.functions.paths import (
     sort_key,
     strict_ancestors,
 )
-from corpusloom.session import lookup_join, number_in_order
+from corpusloom.session import lookup_join, number_in_order, stage
 
 
 def directories(files: DataFrame) -> DataFrame:
@@ -44,11 +44,17 @@ def tree_nodes(files: DataFrame) -> DataFrame:
     )
 
 
+def _rules(path: Column, content: Column) -> Column:
+    """Regex of the root ignore file, on its own row; null on all others."""
+    return F.when(path == ".gitignore", ignore_file_regex(content.cast("string")))
+
+
 def ignore_rules(files: DataFrame) -> DataFrame:
     """(repo, rules): the root ignore file of each repo as one regex."""
-    return files.filter(F.col("path") == ".gitignore").select(
-        "repo", ignore_file_regex(F.col("content").cast("string")).alias("rules")
-    ).filter("rules is not null")
+    rules = _rules(F.col("path"), F.col("content")).alias("rules")
+    return stage(
+        files.filter(F.col("path") == ".gitignore").select("repo", rules).filter("rules is not null")
+    )
 
 
 def ignore_reason(nodes: DataFrame, rules: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
@@ -67,30 +73,44 @@ def ignore_reason(nodes: DataFrame, rules: DataFrame, globs: Sequence[str] = ())
 
 
 def walk(
-    files: DataFrame, globs: Sequence[str] = (), facts: dict[str, Column] | None = None
+    files: DataFrame,
+    globs: Sequence[str] = (),
+    text: Column | None = None,
+    facts: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Nodes that survive ignore rules and the binary filter.
 
     ``facts`` are columns computed from each kept file, such as rendered sizes;
-    they are null on directories. Content itself goes through no shuffle.
+    they are null on directories. They may use ``_text``, which is ``text``
+    computed once per file. One pass over the content writes a narrow table with
+    everything that is needed from it; the rest works on that table.
     """
-    visible = ~custom_ignore(F.col("path"), list(globs)) & ~default_ignore(F.col("path"))
-    rows = files.filter(visible & binary_reason(F.col("path"), F.col("content")).isNull()).select(
-        "repo",
-        "path",
-        F.lit(False).alias("is_dir"),
-        F.octet_length("content").cast("bigint").alias("size"),
-        *[column.alias(alias) for alias, column in (facts or {}).items()],
+    path, content = F.col("path"), F.col("content")
+    visible = ~custom_ignore(path, list(globs)) & ~default_ignore(path)
+    flagged = files.withColumn("_kept", visible & binary_reason(path, content).isNull())
+    if text is not None:
+        flagged = flagged.withColumn("_text", F.when(F.col("_kept"), text))
+    narrow = stage(
+        flagged.select(
+            "repo",
+            "path",
+            F.octet_length("content").cast("bigint").alias("size"),
+            "_kept",
+            _rules(path, content).alias("rules"),
+            *[F.when(F.col("_kept"), c).alias(alias) for alias, c in (facts or {}).items()],
+        )
     )
-    above = directories(files).filter(visible).select(
+    rows = narrow.filter("_kept").drop("_kept", "rules").withColumn("is_dir", F.lit(False))
+    above = directories(narrow).filter(visible).select(
         "repo", "path", F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("size")
     )
     nodes = rows.unionByName(above, allowMissingColumns=True)
+    rules = narrow.filter("rules is not null").select("repo", "rules")
     return (
-        lookup_join(nodes, ignore_rules(files), ["repo"])
-        .filter(~ignored_by(F.col("rules"), F.col("path"), F.col("is_dir")))
+        lookup_join(nodes, rules, ["repo"])
+        .filter(~ignored_by(F.col("rules"), path, F.col("is_dir")))
         .drop("rules")
-        .withColumns({"name": name(F.col("path")), "depth": depth(F.col("path"))})
+        .withColumns({"name": name(path), "depth": depth(path)})
     )
 
 

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.automaton import states_of_lines
+from corpusloom.functions.automaton import rewrite
 from corpusloom.functions.paths import clean_path, path_status
-from corpusloom.functions.text import WS, cdata_restore, let, lines
+from corpusloom.functions.text import WS, WS_LINE, cdata_restore, let, preceded
 
 _SPACE = r"\t\n\f\r "
 _FILE_TAG = rf"<file[{_SPACE}]+path=[\"']([^\"']+)[\"'][^>]*>"
@@ -20,29 +20,39 @@ _ENDS_CDATA = rf"\]\]>[{WS}]*\z"
 _HEADER = rf"\A##[{_SPACE}]+File:[{_SPACE}]*([^{_SPACE}()]+)"
 _FENCE = rf"\A[{WS}]*```"
 
+# Lines that can matter to the two automata.
+_XML_LINE = r"\n[^\n]*?(?:</?file|<!\[CDATA\[|\]\]>)[^\n]*"
+_MD_LINE = rf"\n(?:##|[{WS_LINE}]*+```)[^\n]*"
+
 _BLOCKS = "array<struct<path:string,content:string>>"
 
 
-def _collect(ls: Column, effect, states: str, emit) -> Column:
-    """Blocks from lines. ``emit`` marks a line by its first letter: '@' path of
-    a new block, '+' content, '.' end of the block; null lines are skipped.
-    Lines hold no line feed, so the marks cannot be confused with content."""
-    marked = F.zip_with(ls, states_of_lines(F.transform(ls, effect), states), emit)
-    pieces = F.split(F.concat(F.lit("\n"), F.array_join(marked, "\n")), "\n@")
+def _collect(marked: Column) -> Column:
+    """Blocks from a text whose lines begin with a mark: '@' path of a new block,
+    '+' content, '.' end of the block. Every line has one, so marks and content
+    cannot be confused."""
+    pieces = F.split(marked, "\n@")
     closed = F.filter(pieces, lambda p, i: (i > 0) & p.endswith("\n."))
 
     def block(piece: Column) -> Column:
         path = F.substring_index(piece, "\n", 1)
         # Between the path and the closing mark: nothing, or '\n+line' repeated.
-        body = F.substr(
-            piece, F.length(path) + F.lit(3), F.length(piece) - F.length(path) - F.lit(4)
-        )
-        content = F.when(F.length(piece) - F.length(path) > 2, F.replace(body, F.lit("\n+"), F.lit("\n")))
-        return F.struct(path.alias("path"), F.coalesce(content, F.lit("")).alias("content"))
+        rest = F.length(piece) - F.length(path) - F.lit(4)
+        body = F.substr(piece, F.length(path) + F.lit(3), rest)
+        content = F.when(rest >= 0, F.replace(body, F.lit("\n+"), F.lit("\n"))).otherwise("")
+        return F.struct(path.alias("path"), content.alias("content"))
 
     return F.transform(closed, block)
 
 
+def _content_lines(stretch: Column) -> Column:
+    return F.replace(stretch, F.lit("\n"), F.lit("\n+"))
+
+
+def _content_line(line: Column) -> Column:
+    return F.concat(F.lit("\n+"), line)
+
+
 def xml_blocks(body: Column) -> Column:
     """Array of (path, content) from ``file`` tags. States: outside, inside the
     tag, inside its CDATA section."""
@@ -52,30 +62,23 @@ def xml_blocks(body: Column) -> Column:
         outside = F.when(line.rlike(_FILE_TAG), "I").otherwise("O")
         inside = F.when(close, "O").when(line.rlike(_CDATA_OPEN), "C").otherwise("I")
         cdata = F.when(close | line.rlike(_ENDS_CDATA), "O").otherwise("C")
-        # Every mark needs one of these letters.
-        return F.when(
-            line.contains(">") | line.contains("["), F.concat(outside, inside, cdata)
-        ).otherwise("OIC")
-
-    def emit(line: Column, state: Column) -> Column:
-        content = F.concat(F.lit("+"), line)
-        tail = F.concat(F.lit("+"), F.regexp_replace(line, r"\]\]>\z", ""), F.lit("\n."))
+        return F.concat(outside, inside, cdata)
+
+    def mark(line: Column, state: Column) -> Column:
+        tag = F.concat(F.lit("\n@"), F.regexp_extract(line, _FILE_TAG, 1))
+        tail = F.concat(_content_line(F.regexp_replace(line, r"\]\]>\z", "")), F.lit("\n."))
         return (
-            F.when(
-                state == "O",
-                F.when(
-                    line.rlike(_FILE_TAG),
-                    F.concat(F.lit("@"), F.regexp_extract(line, _FILE_TAG, 1)),
-                ),
-            )
-            .when(~line.contains(">") & ~line.contains("["), content)
-            .when(line.rlike(_CLOSE_TAG) | ((state == "C") & line.rlike(_CDATA_END)), ".")
+            F.when(state == "O", F.when(line.rlike(_FILE_TAG), tag))
+            .when(line.rlike(_CLOSE_TAG) | ((state == "C") & line.rlike(_CDATA_END)), "\n.")
             .when(line.rlike(_CDATA_OPEN), F.lit(None))
             .when((state == "C") & line.rlike(_ENDS_CDATA), tail)
-            .otherwise(content)
+            .otherwise(_content_line(line))
         )
 
-    found = let(lines(body), lambda ls: _collect(ls, effect, "OIC", emit))
+    def between(stretch: Column, state: Column) -> Column:
+        return F.when(state != "O", _content_lines(stretch))
+
+    found = _collect(rewrite(preceded(body), _XML_LINE, "OIC", effect, between, mark))
     return F.when(body.contains("<file"), found).otherwise(F.array().cast(_BLOCKS))
 
 
@@ -91,16 +94,16 @@ def markdown_blocks(body: Column) -> Column:
             F.when(fence, "O").otherwise("K"),
         )
 
-    def emit(line: Column, state: Column) -> Column:
-        return F.when(
-            state == "O",
-            F.when(line.rlike(_HEADER), F.concat(F.lit("@"), F.regexp_extract(line, _HEADER, 1))),
-        ).when(
-            state == "K",
-            F.when(line.rlike(_FENCE), ".").otherwise(F.concat(F.lit("+"), line)),
+    def mark(line: Column, state: Column) -> Column:
+        header = F.concat(F.lit("\n@"), F.regexp_extract(line, _HEADER, 1))
+        return F.when(state == "O", F.when(line.rlike(_HEADER), header)).when(
+            state == "K", F.when(line.rlike(_FENCE), "\n.").otherwise(_content_line(line))
         )
 
-    found = let(lines(body), lambda ls: _collect(ls, effect, "OHK", emit))
+    def between(stretch: Column, state: Column) -> Column:
+        return F.when(state == "K", _content_lines(stretch))
+
+    found = _collect(rewrite(preceded(body), _MD_LINE, "OHK", effect, between, mark))
     return F.when(body.contains("File:"), found).otherwise(F.array().cast(_BLOCKS))
 
 

@@ -45,11 +45,11 @@ class Packed:
     strip: bool
 
 
-def _with_text(files: DataFrame, strip: bool) -> DataFrame:
-    """Add ``_text``, what goes into the block. As a column of its own it is
-    computed once per file, though rendering refers to it several times."""
+def _text(strip: bool) -> Column:
+    """What goes into the block. Rendering refers to it several times, so it is
+    always made a column of its own first."""
     content = F.col("content")
-    return files.withColumn("_text", strip_comments(content, F.col("path")) if strip else content)
+    return strip_comments(content, F.col("path")) if strip else content
 
 
 def corpus_nodes(
@@ -63,7 +63,7 @@ def corpus_nodes(
     ord, block_bytes, line_bytes."""
     block = render(F.col("path"), F.col("_text"), fmt)
     facts = {"block_bytes": F.octet_length(block).cast("bigint")}
-    nodes = walk(_with_text(files, strip), globs, facts)
+    nodes = walk(files, globs, _text(strip), facts)
     if selection is None:
         nodes = nodes.withColumn("selected", F.lit(True))
     else:
@@ -185,7 +185,7 @@ def part_body(
         "repo", "ord", "path", "part",
         F.floor(F.col("before") / piece_tokens).cast("bigint").alias("_slice"),
     )
-    text = _with_text(packed.files, packed.strip).select(
+    text = packed.files.withColumn("_text", _text(packed.strip)).select(
         "repo", "path", render(F.col("path"), F.col("_text"), packed.fmt).alias("_block")
     )
     blocks = (
@@ -276,5 +276,5 @@ def strip_savings(files: DataFrame) -> DataFrame:
 def token_nodes(files: DataFrame, strip: bool = True) -> DataFrame:
     """Selected-by-default nodes with ``token_count``, ready for the summaries."""
     facts = {"token_count": token_estimate(F.col("_text"))}
-    nodes = walk(_with_text(files, strip), facts=facts)
+    nodes = walk(files, text=_text(strip), facts=facts)
     return nodes.withColumn("selected", F.lit(True))

@@ -64,11 +64,12 @@ def number_in_order(df: DataFrame, group: str, key: str, name: str = "ord") -> D
     """Add the 1-based position of each row by ``key`` within its ``group``.
 
     Rows are cut into ranges of (group, key), so a hot group is spread over many
-    tasks. A group continues from an earlier range in at most one range each, so
-    the table of offsets has no more rows than there are ranges.
+    tasks. Each range can only continue one group from an earlier range, so the
+    table of offsets has no more rows than there are ranges. The input is staged
+    too, as finding the ranges reads it once more.
     """
     staged = stage(
-        df.repartitionByRange(F.col(group), F.col(key)).withColumn(
+        stage(df).repartitionByRange(F.col(group), F.col(key)).withColumn(
             "_range", F.spark_partition_id()
         )
     )

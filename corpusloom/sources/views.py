@@ -51,6 +51,13 @@ def _pick(values: list[str], index: str) -> str:
 
 
 _K = "CAST(floor(doc_id / 20) AS BIGINT)"
+# Secret-shaped values, put together at run time.
+_UNGATED = "' PASSWD= \"' || repeat('q', 9) || '\" ' || 'AS' || 'IA' || repeat('B', 16)"
+_SECRETS = (
+    "chr(10) || 'sk' || '-' || repeat('e', 40) || ' https://hooks.sl' || 'ack.com/services/'"
+    " || repeat('T', 9) || '/' || repeat('B', 9) || '/' || repeat('c', 24) || ' AK' || 'IA' || repeat('Z', 18)"
+    " || ' AWS_' || 'secret_x : ' || repeat('d', 40) || ' Token=' || chr(39) || repeat('f', 8) || chr(39)"
+)
 # One repo holds more than a third of all rows.
 _REPO = "CASE WHEN doc_id % 5 < 2 THEN 'big' ELSE source END"
 
@@ -60,6 +67,8 @@ SELECT {_REPO} AS repo,
          || CAST(doc_id AS VARCHAR(20)) || {_pick(_EXTENSIONS, f"doc_id % {len(_EXTENSIONS)}")} AS path,
        CASE WHEN doc_id % 41 = 7 THEN replace({_marked("text")}, ' in ', chr(0))
             WHEN doc_id % 43 = 9 THEN replace({_marked("text")}, ' in ', chr(10) || '```' || chr(10))
+            WHEN doc_id % 47 = 5 THEN replace({_marked("text")}, ' in ', {_UNGATED})
+            WHEN doc_id % 29 = 3 THEN replace({_marked("text")}, ' in ', {_SECRETS})
             ELSE {_marked("text")} END AS content
 FROM {{documents}}
 """
