@@ -30,7 +30,7 @@ def _set_char(glob: str, i: int) -> tuple[str, int]:
 
 def glob_regex(glob: str, within_segment: bool) -> str | None:
     """Regex for a shell glob whose ``*`` and ``?`` stop at '/'; None if it is
-    malformed. ``within_segment`` keeps sets from matching '/' as well."""
+    malformed. ``within_segment`` lets nothing match '/'."""
     out, i = [], 0
     try:
         while i < len(glob):
@@ -64,6 +64,8 @@ def glob_regex(glob: str, within_segment: bool) -> str | None:
                 else:
                     one = f"[{'^' if negated else ''}{members}]"
                 out.append(("(?!/)" if within_segment else "") + one)
+            elif c == "/" and within_segment:
+                out.append("(?!)")
             else:
                 out.append(re.escape(c))
     except _Malformed:
@@ -148,7 +150,8 @@ def ignore_file_regex(content: Column) -> Column:
             F.concat(
                 F.when(anchored, "").otherwise("(?:.*/)?"),
                 body,
-                F.when(dir_only, r"/\z").otherwise(r"/?\z"),
+                # A wildcard must not stand for nothing before the final '/'.
+                F.when(dir_only, r"(?<!/)/\z").otherwise(r"(?<!/)/?\z"),
             ).alias("regex"),
         )
 

@@ -10,6 +10,8 @@ every chunk assigns its own blocks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,93 +44,104 @@ def _chunk_steps(blocks: pd.DataFrame) -> pd.DataFrame:
             last[j] = total[-1] - prior[j]
         else:
             opened[j], last[j] = opened[k] + 1, last[k]
-    rows = [(-1, int(opened[0]), int(last[0]), False)]
-    if total[-1] <= room:
-        rows.append((0, 0, int(total[-1]), True))
     # A part holding r tokens is closed before block j if j is the first with
-    # r + total[j] > room.
-    for j in range(n - 1, -1, -1):
-        if j == 0 or prior[j] <= room:
-            lo = max(0, room - int(total[j]) + 1)
-            if j == 0 or lo <= room - prior[j]:
-                rows.append((lo, int(opened[j]) + 1, int(last[j]), False))
-    out = pd.DataFrame(rows, columns=["lo", "opened", "base", "keep"])
-    out.insert(0, "id", blocks["chunk"].iloc[0])
-    out.insert(0, "repo", blocks["repo"].iloc[0])
-    return out
+    # r + total[j] > room; without such a block it stays open.
+    closing = np.flatnonzero((prior <= room) | (np.arange(n) == 0))
+    lo = np.maximum(0, room - total[closing] + 1)
+    possible = (closing == 0) | (lo <= room - prior[closing])
+    closing, lo = closing[possible], lo[possible]
+    rows = [[(-1, opened[0], last[0], 0)]]
+    if total[-1] <= room:
+        rows.append([(0, 0, total[-1], 1)])
+    rows.append(np.column_stack((lo, opened[closing] + 1, last[closing], np.zeros_like(lo))))
+    return _frame(blocks["repo"].iloc[0], blocks["chunk"].iloc[0], _merged(np.vstack(rows)))
 
 
-def _functions(steps: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
-    return [(i, f.sort_values("lo")) for i, f in sorted(steps.groupby("id"), key=lambda g: g[0])]
-
-
-def _apply(f: pd.DataFrame, used: int) -> tuple[int, int]:
-    """(parts opened, exit sum) for one entry sum."""
-    row = f.iloc[int(np.searchsorted(f["lo"].to_numpy(), used, side="right")) - 1]
-    return int(row["opened"]), int(row["base"]) + (used if row["keep"] else 0)
-
-
-def _compose(steps: pd.DataFrame) -> pd.DataFrame:
-    parts = _functions(steps)
-    current = parts[0][1][["lo", "opened", "base", "keep"]]
-    for _, f in parts[1:]:
-        rows = []
-        los = current["lo"].tolist()
-        for i, (lo, opened, base, keep) in enumerate(current.itertuples(index=False)):
-            if not keep:
-                more, out = _apply(f, base)
-                rows.append((lo, opened + more, out, False))
-                continue
-            # Entry sums lo..hi leave as lo+base..hi+base: cut at the steps of f.
-            hi = los[i + 1] - 1 if i + 1 < len(los) else None
-            starts = [lo] + [
-                int(x) - base for x in f["lo"]
-                if int(x) - base > lo and (hi is None or int(x) - base <= hi)
-            ]
-            for start in starts:
-                at = int(np.searchsorted(f["lo"].to_numpy(), start + base, side="right")) - 1
-                g = f.iloc[at]
-                exit_base = int(g["base"]) + (base if g["keep"] else 0)
-                rows.append((start, opened + int(g["opened"]), exit_base, bool(g["keep"])))
-        current = pd.DataFrame(rows, columns=["lo", "opened", "base", "keep"])
-    out = current.copy()
-    out.insert(0, "id", steps["id"].iloc[0] // FAN)
-    out.insert(0, "repo", steps["repo"].iloc[0])
+def _frame(repo: str, number: int, steps: np.ndarray) -> pd.DataFrame:
+    out = pd.DataFrame(steps, columns=["lo", "opened", "base", "keep"]).astype({"keep": bool})
+    out.insert(0, "id", number)
+    out.insert(0, "repo", repo)
     return out
 
 
+def _merged(steps: np.ndarray) -> np.ndarray:
+    """Sorted by entry sum, without steps that repeat the one before."""
+    steps = steps[np.argsort(steps[:, 0], kind="stable")]
+    new = np.ones(len(steps), dtype=bool)
+    new[1:] = (steps[1:, 1:] != steps[:-1, 1:]).any(axis=1)
+    return steps[new]
+
+
+def _functions(steps: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
+    columns = ["lo", "opened", "base", "keep"]
+    return [
+        (number, f.sort_values("lo")[columns].to_numpy(dtype="int64"))
+        for number, f in sorted(steps.groupby("id"), key=lambda g: g[0])
+    ]
+
+
+def _at(f: np.ndarray, used: np.ndarray) -> np.ndarray:
+    return f[np.searchsorted(f[:, 0], used, side="right") - 1]
+
+
+def _then(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The step function of ``f`` followed by ``g``."""
+    fixed = f[f[:, 3] == 0]
+    hit = _at(g, fixed[:, 2])
+    rows = [
+        np.column_stack(
+            (fixed[:, 0], fixed[:, 1] + hit[:, 1], hit[:, 2] + hit[:, 3] * fixed[:, 2], 0 * hit[:, 3])
+        )
+    ]
+    for i in np.flatnonzero(f[:, 3]):
+        # Entry sums from lo on leave shifted by base: cut them at the steps of g.
+        lo, opened, base, _ = f[i]
+        starts = np.unique(np.concatenate(([lo], g[:, 0] - base)))
+        starts = starts[(starts >= lo) & ((i + 1 == len(f)) | (starts < f[min(i + 1, len(f) - 1), 0]))]
+        hit = _at(g, starts + base)
+        rows.append(
+            np.column_stack((starts, opened + hit[:, 1], hit[:, 2] + hit[:, 3] * base, hit[:, 3]))
+        )
+    return _merged(np.vstack(rows))
+
+
+def _compose(steps: pd.DataFrame, fan: int) -> pd.DataFrame:
+    functions = [f for _, f in _functions(steps)]
+    return _frame(steps["repo"].iloc[0], steps["id"].iloc[0] // fan, reduce(_then, functions))
+
+
 def _hand_down(steps: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
     rows = []
     if len(entry) and len(steps):
         part, used = int(entry["part"].iloc[0]), int(entry["used"].iloc[0])
-        for i, f in _functions(steps):
-            rows.append((steps["repo"].iloc[0], i, part, used))
-            opened, used = _apply(f, used)
-            part += opened
+        for number, f in _functions(steps):
+            rows.append((steps["repo"].iloc[0], number, part, used))
+            _, opened, base, keep = (int(x) for x in _at(f, used))
+            part, used = part + opened, base + keep * used
     return pd.DataFrame(rows, columns=["repo", "id", "part", "used"])
 
 
-def _entries(chunked: DataFrame, last_chunk: int) -> DataFrame:
+def _entries(chunked: DataFrame, last_chunk: int, fan: int) -> DataFrame:
     """Part number and token sum on entry to every chunk of the repos with more
     than one. ``last_chunk`` only sets the number of levels."""
-    up = F.floor(F.col("id") / FAN).cast("bigint")
+    up = F.floor(F.col("id") / fan).cast("bigint").alias("_up")
     long_repos = chunked.filter("last_chunk > 0").select("repo", "chunk", "ord", "tokens", "room")
     level = stage(long_repos.groupBy("repo", "chunk").applyInPandas(_chunk_steps, _STEPS))
     levels = [level]
     top = last_chunk
-    while top >= FAN:
+    while top >= fan:
         level = stage(
-            level.groupBy("repo", up.alias("_up")).applyInPandas(lambda key, pdf: _compose(pdf), _STEPS)
+            level.groupBy("repo", up).applyInPandas(lambda steps: _compose(steps, fan), _STEPS)
         )
         levels.append(level)
-        top //= FAN
+        top //= fan
     entries = levels[-1].select(
         "repo", F.lit(0).cast("bigint").alias("id"),
         F.lit(1).cast("bigint").alias("part"), F.lit(-1).cast("bigint").alias("used"),
     ).distinct()
     for level in reversed(levels):
         entries = (
-            level.groupBy("repo", up.alias("_up"))
+            level.groupBy("repo", up)
             .cogroup(entries.groupBy("repo", "id"))
             .applyInPandas(_hand_down, _ENTRY)
         )
@@ -136,7 +149,11 @@ def _entries(chunked: DataFrame, last_chunk: int) -> DataFrame:
 
 
 def pack_parts(
-    blocks: DataFrame, overhead: DataFrame, max_tokens: int = 0, chunk: int = CHUNK
+    blocks: DataFrame,
+    overhead: DataFrame,
+    max_tokens: int = 0,
+    chunk: int = CHUNK,
+    fan: int = FAN,
 ) -> DataFrame:
     """Assign blocks (repo, ord, tokens) to parts.
 
@@ -161,7 +178,7 @@ def pack_parts(
     # used = -1 marks a part without a block.
     part, used = F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")
     if last_chunk > 0:
-        given = _entries(chunked, last_chunk).withColumnRenamed("id", "chunk")
+        given = _entries(chunked, last_chunk, fan).withColumnRenamed("id", "chunk")
         bags = bags.join(given, ["repo", "chunk"], "left")
         part, used = F.coalesce("part", part), F.coalesce("used", used)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.session import spread
+
 # (word, replacement as a SQL expression)
 _MARKERS = [
     (" the ", "' // the '"),
@@ -156,7 +158,8 @@ SELECT 'chat' AS repo, CAST(conv_id AS VARCHAR(20)) || '-' || CAST(turn AS VARCH
 FROM {conversations} WHERE role = 'assistant'
 """
 
-TABLES = ["documents", "pages", "conversations"]
+# Table and the column its rows are spread by.
+TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def duckdb_view(sql: str) -> str:
@@ -164,6 +167,9 @@ def duckdb_view(sql: str) -> str:
 
 
 def spark_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    used = [t for t in TABLES if f"{{{t}}}" in sql]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    tables = {
+        name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key)
+        for name, key in TABLES.items()
+        if f"{{{name}}}" in sql
+    }
     return spark.sql(sql, **tables)
