@@ -98,17 +98,53 @@ _PIECES = (
 )
 
 
-def _piece_regex(piece: Column) -> Column:
-    body = F.regexp_replace(piece, r"\A\[!", "[^")
-    posix = F.regexp_replace(
-        F.regexp_replace(body, r"\[:(alpha|digit|alnum|upper|lower|punct|space|blank):\]", r"\\p{$1}"),
-        r"\[(?=.)(?<!\A\[)|&", r"\\$0",
+# Named sets, as in [[:digit:]].
+_NAMED = {
+    "alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower",
+    "punct": "Punct", "space": "Space", "blank": "Blank", "graph": "Graph", "print": "Print",
+    "cntrl": "Cntrl", "xdigit": "XDigit",
+}
+_MEMBERS = r"\[:[a-z]+:\]|(?s:\\.|.)-(?s:\\.|.)|(?s:\\.|.)"
+
+
+def _code(member: Column) -> Column:
+    """Code point of a character that may be escaped."""
+    return F.ascii(F.regexp_replace(member, r"(?s)\A\\(?=.)", ""))
+
+
+def _set_regex(piece: Column) -> Column:
+    """A set in brackets, whatever is in it: members are given by code point, and
+    a reversed range or an unknown name has none."""
+    negated = piece.rlike(r"\A\[[!^]")
+    inside = F.regexp_replace(piece, r"\A\[[!^]?|\]\z", "")
+    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+
+    def point(code: Column) -> Column:
+        return F.concat(F.lit(r"\x{"), F.hex(code), F.lit("}"))
+
+    def member(m: Column) -> Column:
+        low = F.regexp_extract(m, r"(?s)\A(\\.|.)", 1)
+        high = F.regexp_extract(m, r"(?s)(\\.|.)\z", 1)
+        ranged = m.rlike(r"(?s)\A(?:\\.|.)-(?:\\.|.)\z")
+        return (
+            F.when(
+                m.rlike(r"\A\[:[a-z]+:\]\z"),
+                F.concat(F.lit(r"\p{"), names[F.regexp_extract(m, "[a-z]+", 0)], F.lit("}")),
+            )
+            .when(ranged & (_code(low) <= _code(high)), F.concat(point(_code(low)), F.lit("-"), point(_code(high))))
+            .when(~ranged, point(_code(m)))
+        )
+
+    members = F.array_join(
+        F.transform(F.regexp_extract_all(inside, F.lit(_MEMBERS), F.lit(0)), member), ""
     )
-    for low, high in (
-        ("alpha", "Alpha"), ("digit", "Digit"), ("alnum", "Alnum"), ("upper", "Upper"),
-        ("lower", "Lower"), ("punct", "Punct"), ("space", "Space"), ("blank", "Blank"),
-    ):
-        posix = F.replace(posix, F.lit(f"\\p{{{low}}}"), F.lit(f"\\p{{{high}}}"))
+    return F.when(
+        members != "",
+        F.concat(F.lit("(?!/)["), F.when(negated, "^").otherwise(""), members, F.lit("]")),
+    ).otherwise(F.when(negated, "[^/]").otherwise("(?!)"))
+
+
+def _piece_regex(piece: Column) -> Column:
     return (
         F.when(piece.rlike(r"\A\w"), piece)
         .when(piece == "/**/", "/(?:.*/)?")
@@ -116,10 +152,10 @@ def _piece_regex(piece: Column) -> Column:
         .when(piece == "/**", "/.+")
         .when(piece.startswith("*"), "[^/]*")
         .when(piece == "?", "[^/]")
-        .when(piece.startswith("[") & (F.length(piece) > 1), F.concat(F.lit("(?!/)"), posix))
-        .when(piece.startswith("\\") & (F.length(piece) > 1),
-              F.concat(F.lit(r"\Q"), F.substr(piece, F.lit(2)), F.lit(r"\E")))
-        .otherwise(F.concat(F.lit(r"\Q"), piece, F.lit(r"\E")))
+        # An unclosed set or a lone backslash at the end spoils the pattern.
+        .when(piece.isin("[", "\\"), "(?!)")
+        .when(piece.startswith("["), _set_regex(piece))
+        .otherwise(F.concat(F.lit(r"\Q"), F.regexp_replace(piece, r"(?s)\A\\(?=.)", ""), F.lit(r"\E")))
     )
 
 

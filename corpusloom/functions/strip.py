@@ -36,9 +36,17 @@ def _unless_blank(line: Column) -> Column:
     return F.when(~is_blank(line), F.concat(F.lit("\n"), line))
 
 
+def _without_inline_blocks(line: Column) -> Column:
+    """Without ``/* ... */`` on one line. Nothing can close after the last mark,
+    so the search stops there and stays linear on lines of many opening marks."""
+    tail = F.substring_index(line, "*/", -1)
+    head = F.substr(line, F.lit(1), F.length(line) - F.length(tail))
+    return F.concat(F.regexp_replace(head, _INLINE_BLOCK, ""), tail)
+
+
 def _c_after(line: Column) -> Column:
     """State after a line read outside a block comment."""
-    return F.when(F.regexp_replace(line, _INLINE_BLOCK, "").contains("/*"), "B").otherwise("N")
+    return F.when(_without_inline_blocks(line).contains("/*"), "B").otherwise("N")
 
 
 def _c_blocks(text: Column) -> Column:
@@ -50,7 +58,7 @@ def _c_blocks(text: Column) -> Column:
 
     def code(line: Column, state: Column) -> Column:
         seen = F.when(state == "N", line).when(line.contains("*/"), after_first(line, "*/"))
-        rest = F.regexp_replace(seen, _INLINE_BLOCK, "")
+        rest = _without_inline_blocks(seen)
         # An opening mark is looked for before '//', also inside a line comment.
         return _unless_blank(
             F.when(rest.contains("/*"), F.substring_index(rest, "/*", 1)).otherwise(
@@ -129,7 +137,10 @@ def strip_comments(content: Column, path: Column) -> Column:
                 F.regexp_replace(text, _HASH_LINE, "$1")
             ),
         )
-        .when(ext.isin(MARKUP_EXTENSIONS), F.regexp_replace(text, _MARKUP, ""))
+        .when(
+            ext.isin(MARKUP_EXTENSIONS) & content.contains("<!--"),
+            F.regexp_replace(text, _MARKUP, ""),
+        )
         .otherwise(text)
     )
     return F.regexp_replace(bare, _SPARE_BLANKS, "$1$2")

@@ -158,8 +158,9 @@ def pack_parts(
     """Assign blocks (repo, ord, tokens) to parts.
 
     ``overhead`` (repo, overhead) is what every part of a repo starts with.
-    Result: (repo, ord, tokens, part, before), where ``before`` counts the block
-    tokens already in the part. Without a limit there is one part.
+    Result: (repo, ord, tokens, part, before, first): ``before`` counts the block
+    tokens already in the part, ``first`` marks its first block. Without a limit
+    there is one part.
     """
     where = F.floor((F.col("ord") - 1) / chunk).cast("bigint")
     tokens = F.col("tokens").cast("bigint")
@@ -185,16 +186,17 @@ def pack_parts(
     start = F.struct(
         part.alias("part"),
         used.alias("used"),
-        F.array().cast("array<struct<ord:bigint,tokens:bigint,part:bigint,before:bigint>>").alias("out"),
+        F.array().cast("array<struct<ord:bigint,tokens:bigint,part:bigint,before:bigint,first:boolean>>").alias("out"),
     )
 
     def put(acc, item):
         full = (acc["used"] >= 0) & (acc["used"] + item["tokens"] > F.col("room"))
+        first = full | (acc["used"] < 0)
         part = F.when(full, acc["part"] + 1).otherwise(acc["part"])
-        before = F.when(full | (acc["used"] < 0), F.lit(0).cast("bigint")).otherwise(acc["used"])
+        before = F.when(first, F.lit(0).cast("bigint")).otherwise(acc["used"])
         placed = F.struct(
             item["ord"].alias("ord"), item["tokens"].alias("tokens"),
-            part.alias("part"), before.alias("before"),
+            part.alias("part"), before.alias("before"), first.alias("first"),
         )
         return F.struct(
             part.alias("part"),

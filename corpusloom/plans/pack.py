@@ -36,7 +36,7 @@ def ordered_listagg(value: str, order: str) -> Column:
 @dataclass(frozen=True)
 class Packed:
     """``nodes``: written table of all nodes in order with their block sizes.
-    ``parts``: (repo, ord, tokens, part, before) for every selected file."""
+    ``parts``: (repo, ord, tokens, part, before, first) for every selected file."""
 
     files: DataFrame
     nodes: DataFrame
@@ -179,37 +179,34 @@ def part_body(
     A part is one row unless its tree or its blocks pass the row sizes above;
     then the part is its rows in ``piece`` order.
     """
-    where = packed.parts.join(
-        packed.nodes.select("repo", "ord", "path"), ["repo", "ord"]
-    ).select(
-        "repo", "ord", "path", "part",
-        F.floor(F.col("before") / piece_tokens).cast("bigint").alias("_slice"),
-    )
-    text = packed.files.withColumn("_text", _text(packed.strip)).select(
-        "repo", "path", render(F.col("path"), F.col("_text"), packed.fmt).alias("_block")
-    )
-    blocks = (
-        where.join(text, ["repo", "path"])
-        .groupBy("repo", "part", "_slice")
-        .agg(ordered_listagg("_block", "ord").alias("_text"))
-    )
     tree = tree_text(packed.nodes, tree_chunk).withColumn(
-        "tree",
-        F.concat(F.when(F.col("piece") == 0, PREAMBLE).otherwise(""), "tree"),
+        "tree", F.concat(F.when(F.col("piece") == 0, PREAMBLE).otherwise(""), "tree")
     )
     # The last tree row opens the first block row; earlier ones stand alone.
-    end = tree.filter("piece = n_pieces - 1").select(
-        "repo", F.col("piece").alias("_shift"), F.col("tree").alias("_tree")
+    last = tree.filter("piece = n_pieces - 1").select("repo", F.col("piece").alias("_shift"), "tree")
+    early = tree.filter("piece < n_pieces - 1").select("repo", "piece", F.col("tree").alias("body"))
+
+    places = packed.parts.join(packed.nodes.select("repo", "ord", "path"), ["repo", "ord"])
+    places = lookup_join(places, last.drop("tree"), ["repo"]).withColumn(
+        "piece", F.col("_shift") + F.floor(F.col("before") / piece_tokens).cast("bigint")
     )
-    front = lookup_join(blocks, end, ["repo"]).select(
-        "repo",
-        "part",
-        (F.col("_slice") + F.col("_shift")).alias("piece"),
-        F.when(F.col("_slice") == 0, F.concat("_tree", "_text")).otherwise(F.col("_text")).alias("body"),
+    # The tree goes to the first block of a part while rows are still narrow.
+    heads = lookup_join(places.filter("first"), last.drop("_shift"), ["repo"])
+    places = heads.unionByName(places.filter("not first"), allowMissingColumns=True)
+    text = packed.files.withColumn("_text", _text(packed.strip)).select(
+        "repo", "path", render(F.col("path"), F.col("_text"), packed.fmt).alias("_block")
     )
-    early = tree.filter("piece < n_pieces - 1").select("repo", "piece", F.col("tree").alias("body"))
-    parts = packed.parts.select("repo", "part").distinct()
-    return front.unionByName(
+    bodies = (
+        places.join(text, ["repo", "path"])
+        .select(
+            "repo", "part", "piece", "ord",
+            F.concat(F.coalesce("tree", F.lit("")), "_block").alias("_block"),
+        )
+        .groupBy("repo", "part", "piece")
+        .agg(ordered_listagg("_block", "ord").alias("body"))
+    )
+    parts = packed.parts.filter("first").select("repo", "part")
+    return bodies.unionByName(
         parts.join(early, "repo").select("repo", "part", "piece", "body")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.render import render
@@ -36,23 +36,33 @@ def roundtrip_report(files: DataFrame) -> DataFrame:
     """
     kept = walk(files).filter("not is_dir").select("repo", "path")
     source = files.join(kept, ["repo", "path"], "left_semi")
-    reports = [_fidelity(source, fmt) for fmt in ("xml", "markdown")]
-    return reports[0].unionByName(reports[1])
-
-
-def _fidelity(source: DataFrame, fmt: str) -> DataFrame:
-    parse = {"xml": xml_blocks, "markdown": markdown_blocks}[fmt]
-    sent = source.withColumn("_blocks", parse(render(F.col("path"), F.col("content"), fmt)))
-    mine = F.filter("_blocks", lambda b: b["path"] == F.col("path"))
-    got = sent.withColumn("_back", cdata_restore(F.get(mine, F.lit(0))["content"]))
-    return got.select(
-        "repo",
-        "path",
-        F.lit(fmt).alias("fmt"),
-        F.when(F.col("_back") == F.col("content"), "exact")
-        .when(F.concat("_back", F.lit("\n")) == F.col("content"), "newline")
-        .when(F.col("_back").isNotNull(), "changed")
-        .when(F.size("_blocks") > 0, "renamed")
+    parsers = {"xml": xml_blocks, "markdown": markdown_blocks}
+    for fmt, parse in parsers.items():
+        body = render(F.col("path"), F.col("content"), fmt)
+        source = source.withColumn(f"_{fmt}", parse(body))
+    for fmt in parsers:
+        source = source.withColumn(f"_{fmt}_back", _own_content(F.col(f"_{fmt}")))
+    results = [
+        F.struct(
+            F.lit(fmt).alias("fmt"), _fidelity(F.col(f"_{fmt}"), F.col(f"_{fmt}_back")).alias("fidelity")
+        )
+        for fmt in parsers
+    ]
+    return source.select("repo", "path", F.inline(F.array(*results)))
+
+
+def _own_content(blocks: Column) -> Column:
+    """Content that came back under the file's own path."""
+    mine = F.filter(blocks, lambda b: b["path"] == F.col("path"))
+    return cdata_restore(F.get(mine, F.lit(0))["content"])
+
+
+def _fidelity(blocks: Column, back: Column) -> Column:
+    content = F.col("content")
+    return (
+        F.when(back == content, "exact")
+        .when(F.concat(back, F.lit("\n")) == content, "newline")
+        .when(back.isNotNull(), "changed")
+        .when(F.size(blocks) > 0, "renamed")
         .otherwise("missing")
-        .alias("fidelity"),
     )

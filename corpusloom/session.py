@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,16 +12,18 @@ from pyspark.sql import functions as F
 # A side is broadcast only if it was measured to be no larger than this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Copies of a larger lookup side, so that one hot key is spread over many tasks.
-SALTS = 64
+SALTS = 16
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="corpusloom-")
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    """The cluster's shared checkpoint folder; a temporary one where none is set,
+    as in local tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -29,7 +32,7 @@ def stage(df: DataFrame) -> DataFrame:
     The rows are fixed from then on, also if an executor is lost later.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,8 +57,8 @@ def lookup_join(
     """
     if fits_broadcast(right, limit):
         return left.join(F.broadcast(right), on, how)
-    others = [F.col(c) for c in left.columns if left.schema[c].dataType.typeName() != "map"]
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    salted = left.withColumn("_salt", salt)
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 

@@ -52,6 +52,10 @@ IGNORE_CASES = [
     ("[a&&b]", "&", True), ("doc/*.txt", "doc/a/b.txt", False), ("", "x", False),
     ("*.x\n!a.x\n*.x", "a.x", True), ("*.x\n!a.x\n!b.x\nb.x", "b.x", True),
     ("*.x\n!a.x\n!b.x\nc.x", "a.x", False), ("a\r\nb\r\n", "b", True), ("src/*\n!src/k", "src/k/f", False),
+    ("[z-a]\nx", "x", True), ("[z-a]", "m", False), ("[!z-a]", "m", True), ("[]x]", "]", True),
+    ("[a\\]b]", "]", True), ("[[:nope:]]", "n", False), ("[unclosed", "[unclosed", False),
+    ("end\\", "end", False), ("a[+*?.]b", "a?b", True), ("(x|y)$^{1}", "(x|y)$^{1}", True),
+    ("src/*", "src", False), ("x[[:alpha:]_-]", "x-", True), ("[é-ü]", "ö", True), ("a[/]b", "a/b", False),
 ]
 
 
