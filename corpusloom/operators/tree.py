@@ -126,13 +126,13 @@ def select_subtree(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``selected``. A rule (repo, seq, path, selected) sets its path and
     everything below; the last rule that applies wins; true without a rule."""
     latest = rules.groupBy("repo", F.col("path").alias("_rule")).agg(
-        F.max(F.struct("seq", "selected")).alias("_verdict")
+        F.max("seq").alias("_seq"), F.max_by("selected", "seq").alias("_on")
     )
     reach = nodes.select("repo", "path", F.explode(self_and_ancestors(F.col("path"))).alias("_rule"))
     verdicts = (
         lookup_join(reach, latest, ["repo", "_rule"], "inner")
         .groupBy("repo", "path")
-        .agg(F.max("_verdict")["selected"].alias("selected"))
+        .agg(F.max_by("_on", "_seq").alias("selected"))
     )
     return nodes.join(verdicts, ["repo", "path"], "left").withColumn(
         "selected", F.coalesce("selected", F.lit(True))

@@ -36,7 +36,8 @@ def ordered_listagg(value: str, order: str) -> Column:
 @dataclass(frozen=True)
 class Packed:
     """``nodes``: written table of all nodes in order with their block sizes.
-    ``parts``: (repo, ord, tokens, part, before, first) for every selected file."""
+    ``parts``: written table of every selected file: repo, ord, path, block_bytes,
+    tokens, part, before, first."""
 
     files: DataFrame
     nodes: DataFrame
@@ -129,13 +130,15 @@ def pack(
     overhead = tree_bytes(nodes).select(
         "repo", (F.shiftright("tree_bytes", 2) + _bytes(PREAMBLE) // 4).alias("overhead")
     )
-    return Packed(files, nodes, pack_parts(blocks, overhead, max_tokens, chunk), fmt, strip)
+    parts = pack_parts(blocks, overhead, max_tokens, chunk).join(
+        nodes.select("repo", "ord", "path", "block_bytes"), ["repo", "ord"]
+    )
+    return Packed(files, nodes, stage(parts), fmt, strip)
 
 
 def part_summary(packed: Packed) -> DataFrame:
     """(repo, part, n_files, bytes, tokens) of every part text, from sizes alone."""
-    blocks = packed.parts.join(packed.nodes.select("repo", "ord", "block_bytes"), ["repo", "ord"])
-    sums = blocks.groupBy("repo", "part").agg(
+    sums = packed.parts.groupBy("repo", "part").agg(
         F.count("*").alias("n_files"), F.sum("block_bytes").alias("_blocks")
     )
     size = F.col("_blocks") + F.col("tree_bytes") + _bytes(PREAMBLE)
@@ -179,15 +182,13 @@ def part_body(
     A part is one row unless its tree or its blocks pass the row sizes above;
     then the part is its rows in ``piece`` order.
     """
-    tree = tree_text(packed.nodes, tree_chunk).withColumn(
-        "tree", F.concat(F.when(F.col("piece") == 0, PREAMBLE).otherwise(""), "tree")
-    )
+    preamble = F.when(F.col("piece") == 0, PREAMBLE).otherwise("")
+    tree = stage(tree_text(packed.nodes, tree_chunk).withColumn("tree", F.concat(preamble, "tree")))
     # The last tree row opens the first block row; earlier ones stand alone.
     last = tree.filter("piece = n_pieces - 1").select("repo", F.col("piece").alias("_shift"), "tree")
     early = tree.filter("piece < n_pieces - 1").select("repo", "piece", F.col("tree").alias("body"))
 
-    places = packed.parts.join(packed.nodes.select("repo", "ord", "path"), ["repo", "ord"])
-    places = lookup_join(places, last.drop("tree"), ["repo"]).withColumn(
+    places = lookup_join(packed.parts, last.drop("tree"), ["repo"]).withColumn(
         "piece", F.col("_shift") + F.floor(F.col("before") / piece_tokens).cast("bigint")
     )
     # The tree goes to the first block of a part while rows are still narrow.

@@ -194,17 +194,13 @@ def hier_order(spark, sf):
     )
 
 
-def _parts(packed: plan.Packed) -> DataFrame:
-    nodes = packed.nodes.select("repo", "ord", "path")
-    return packed.parts.join(nodes, ["repo", "ord"]).select("repo", "path", "tokens", "part")
-
-
 def pack_parts(spark, sf):
-    return _parts(plan.pack(_tree(spark, sf), LIMIT))
+    return plan.pack(_tree(spark, sf), LIMIT).parts.select("repo", "path", "tokens", "part")
 
 
 def pack_parts_large(spark, sf):
-    return _parts(plan.pack(_tree(spark, sf), 12_000, strip=False, fmt="xml", chunk=16))
+    packed = plan.pack(_tree(spark, sf), 12_000, strip=False, fmt="xml", chunk=16)
+    return packed.parts.select("repo", "path", "tokens", "part")
 
 
 def latest_block(spark, sf):
