@@ -10,6 +10,7 @@ every chunk assigns its own blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,10 +29,8 @@ _STEPS = "repo string, id bigint, lo bigint, opened bigint, base bigint, keep bo
 _ENTRY = "repo string, id bigint, part bigint, used bigint"
 
 
-def _chunk_steps(blocks: pd.DataFrame) -> pd.DataFrame:
-    blocks = blocks.sort_values("ord")
-    room = int(blocks["room"].iloc[0])
-    total = np.cumsum(blocks["tokens"].to_numpy(dtype="int64"))
+def _chunk_steps(repo: str, number: int, room: int, tokens: np.ndarray) -> pd.DataFrame:
+    total = np.cumsum(tokens)
     n = len(total)
     prior = np.concatenate(([0], total[:-1]))
     # First block after the one at j that no longer fits a part begun at j.
@@ -54,7 +53,15 @@ def _chunk_steps(blocks: pd.DataFrame) -> pd.DataFrame:
     if total[-1] <= room:
         rows.append([(0, 0, total[-1], 1)])
     rows.append(np.column_stack((lo, opened[closing] + 1, last[closing], np.zeros_like(lo))))
-    return _frame(blocks["repo"].iloc[0], blocks["chunk"].iloc[0], _merged(np.vstack(rows)))
+    return _frame(repo, number, _merged(np.vstack(rows)))
+
+
+def _all_chunk_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for repo, number, room, tokens in zip(
+            batch["repo"], batch["chunk"], batch["room"], batch["tokens"]
+        ):
+            yield _chunk_steps(repo, number, room, np.asarray(tokens, dtype="int64"))
 
 
 def _frame(repo: str, number: int, steps: np.ndarray) -> pd.DataFrame:
@@ -121,12 +128,14 @@ def _hand_down(steps: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["repo", "id", "part", "used"])
 
 
-def _entries(chunked: DataFrame, last_chunk: int, fan: int) -> DataFrame:
+def _entries(bags: DataFrame, last_chunk: int, fan: int) -> DataFrame:
     """Part number and token sum on entry to every chunk of the repos with more
     than one. ``last_chunk`` only sets the number of levels."""
     up = F.floor(F.col("id") / fan).cast("bigint").alias("_up")
-    long_repos = chunked.filter("last_chunk > 0").select("repo", "chunk", "ord", "tokens", "room")
-    level = stage(long_repos.groupBy("repo", "chunk").applyInPandas(_chunk_steps, _STEPS))
+    chunks = bags.filter("last_chunk > 0").select(
+        "repo", "chunk", "room", F.col("items.tokens").alias("tokens")
+    )
+    level = stage(chunks.mapInPandas(_all_chunk_steps, _STEPS))
     levels = [level]
     top = last_chunk
     while top >= fan:
@@ -163,23 +172,28 @@ def pack_parts(
     there is one part.
     """
     where = F.floor((F.col("ord") - 1) / chunk).cast("bigint")
-    tokens = F.col("tokens").cast("bigint")
     limit = F.lit(max_tokens if max_tokens > 0 else 2**62).cast("bigint")
-    rows = blocks.select("repo", F.col("ord").cast("bigint"), tokens.alias("tokens"))
-    repos = rows.groupBy("repo").agg(F.max(where).alias("last_chunk"))
-    facts = repos.join(overhead.select("repo", "overhead"), "repo", "left").select(
-        "repo", "last_chunk", (limit - F.coalesce("overhead", F.lit(0))).alias("room"),
+    bags = (
+        blocks.select(
+            "repo",
+            where.alias("chunk"),
+            F.col("ord").cast("bigint").alias("ord"),
+            F.col("tokens").cast("bigint").alias("tokens"),
+        )
+        .groupBy("repo", "chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("ord", "tokens"))).alias("items"))
     )
-    chunked = lookup_join(rows.withColumn("chunk", where), facts, ["repo"])
+    repos = blocks.groupBy("repo").agg(F.max(where).alias("last_chunk"))
     last_chunk = repos.agg(F.max("last_chunk")).first()[0] or 0
-    bags = chunked.groupBy("repo", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "tokens"))).alias("items"),
-        F.first("room").alias("room"),
+    facts = repos.join(overhead.select("repo", "overhead"), "repo", "left").select(
+        "repo", "last_chunk", (limit - F.coalesce("overhead", F.lit(0))).alias("room")
     )
+    bags = lookup_join(bags, facts, ["repo"])
     # used = -1 marks a part without a block.
     part, used = F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")
     if last_chunk > 0:
-        given = _entries(chunked, last_chunk, fan).withColumnRenamed("id", "chunk")
+        bags = stage(bags)
+        given = _entries(bags, last_chunk, fan).withColumnRenamed("id", "chunk")
         bags = bags.join(given, ["repo", "chunk"], "left")
         part, used = F.coalesce("part", part), F.coalesce("used", used)
 

@@ -21,7 +21,7 @@ from corpusloom.functions.paths import (
     sort_key,
     strict_ancestors,
 )
-from corpusloom.session import lookup_join, number_in_order, stage
+from corpusloom.session import built_once, lookup_join, number_in_order, stage
 
 
 def directories(files: DataFrame) -> DataFrame:
@@ -44,17 +44,17 @@ def tree_nodes(files: DataFrame) -> DataFrame:
     )
 
 
-def _rules(path: Column, content: Column) -> Column:
+@built_once
+def _rules() -> Column:
     """Regex of the root ignore file, on its own row; null on all others."""
-    return F.when(path == ".gitignore", ignore_file_regex(content.cast("string")))
+    regex = ignore_file_regex(F.col("content").cast("string"))
+    return F.when(F.col("path") == ".gitignore", regex).alias("rules")
 
 
 def ignore_rules(files: DataFrame) -> DataFrame:
     """(repo, rules): the root ignore file of each repo as one regex."""
-    rules = _rules(F.col("path"), F.col("content")).alias("rules")
-    return stage(
-        files.filter(F.col("path") == ".gitignore").select("repo", rules).filter("rules is not null")
-    )
+    own = files.filter(F.col("path") == ".gitignore")
+    return stage(own.select("repo", _rules()).filter("rules is not null"))
 
 
 def ignore_reason(nodes: DataFrame, rules: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
@@ -96,7 +96,7 @@ def walk(
             "path",
             F.octet_length("content").cast("bigint").alias("size"),
             "_kept",
-            _rules(path, content).alias("rules"),
+            _rules(),
             *[F.when(F.col("_kept"), c).alias(alias) for alias, c in (facts or {}).items()],
         )
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.automaton import rewrite
 from corpusloom.functions.paths import clean_path, path_status
 from corpusloom.functions.text import WS, WS_LINE, cdata_restore, let, preceded
+from corpusloom.session import built_once
 
 _SPACE = r"\t\n\f\r "
 _FILE_TAG = rf"<file[{_SPACE}]+path=[\"']([^\"']+)[\"'][^>]*>"
@@ -115,12 +116,17 @@ def auto_blocks(body: Column) -> Column:
     )
 
 
+@built_once
+def _parsed(fmt: str) -> Column:
+    parse = {"xml": xml_blocks, "markdown": markdown_blocks, "auto": auto_blocks}[fmt]
+    return parse(F.col("body"))
+
+
 def unpack(responses: DataFrame, fmt: str = "auto") -> DataFrame:
     """One row per block: the key columns of ``responses`` (all but ``body``),
     block_ord from 1, path, clean_path, status, content with CDATA restored."""
-    parse = {"xml": xml_blocks, "markdown": markdown_blocks, "auto": auto_blocks}[fmt]
     keys = [c for c in responses.columns if c != "body"]
-    rows = responses.select(*keys, F.posexplode(parse(F.col("body"))).alias("_pos", "_block"))
+    rows = responses.select(*keys, F.posexplode(_parsed(fmt)).alias("_pos", "_block"))
     path = F.col("_block.path")
     return rows.select(
         *keys,

@@ -19,7 +19,7 @@ from corpusloom.functions.strip import strip_comments
 from corpusloom.functions.text import token_estimate
 from corpusloom.operators.packing import CHUNK, pack_parts
 from corpusloom.operators.tree import hierarchical_order, select_subtree, walk
-from corpusloom.session import lookup_join, stage
+from corpusloom.session import built_once, lookup_join, stage
 
 TREE_CHUNK = 100_000  # nodes per tree text row
 PIECE_TOKENS = 4_000_000  # block tokens per part text row
@@ -46,7 +46,8 @@ class Packed:
     strip: bool
 
 
-def _text(strip: bool) -> Column:
+@built_once
+def text(strip: bool) -> Column:
     """What goes into the block. Rendering refers to it several times, so it is
     always made a column of its own first."""
     content = F.col("content")
@@ -64,7 +65,7 @@ def corpus_nodes(
     ord, block_bytes, line_bytes."""
     block = render(F.col("path"), F.col("_text"), fmt)
     facts = {"block_bytes": F.octet_length(block).cast("bigint")}
-    nodes = walk(files, globs, _text(strip), facts)
+    nodes = walk(files, globs, text(strip), facts)
     if selection is None:
         nodes = nodes.withColumn("selected", F.lit(True))
     else:
@@ -194,11 +195,11 @@ def part_body(
     # The tree goes to the first block of a part while rows are still narrow.
     heads = lookup_join(places.filter("first"), last.drop("_shift"), ["repo"])
     places = heads.unionByName(places.filter("not first"), allowMissingColumns=True)
-    text = packed.files.withColumn("_text", _text(packed.strip)).select(
+    rendered = packed.files.withColumn("_text", text(packed.strip)).select(
         "repo", "path", render(F.col("path"), F.col("_text"), packed.fmt).alias("_block")
     )
     bodies = (
-        places.join(text, ["repo", "path"])
+        places.join(rendered, ["repo", "path"])
         .select(
             "repo", "part", "piece", "ord",
             F.concat(F.coalesce("tree", F.lit("")), "_block").alias("_block"),
@@ -260,7 +261,7 @@ def strip_savings(files: DataFrame) -> DataFrame:
     sized = files.select(
         "repo",
         F.octet_length("content").cast("bigint").alias("b0"),
-        F.octet_length(strip_comments(F.col("content"), F.col("path"))).cast("bigint").alias("b1"),
+        F.octet_length(text(True)).cast("bigint").alias("b1"),
     )
     saved = (F.col("tokens_before") - F.col("tokens_after")) * 100.0 / F.col("tokens_before")
     return sized.groupBy("repo").agg(
@@ -274,5 +275,5 @@ def strip_savings(files: DataFrame) -> DataFrame:
 def token_nodes(files: DataFrame, strip: bool = True) -> DataFrame:
     """Selected-by-default nodes with ``token_count``, ready for the summaries."""
     facts = {"token_count": token_estimate(F.col("_text"))}
-    nodes = walk(files, text=_text(strip), facts=facts)
+    nodes = walk(files, text=text(strip), facts=facts)
     return nodes.withColumn("selected", F.lit(True))

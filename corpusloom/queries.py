@@ -11,7 +11,6 @@ from corpusloom.constants import ENV_LABEL
 from corpusloom.functions import paths, text
 from corpusloom.functions.render import render_markdown, render_xml
 from corpusloom.functions.secrets import passes_gate
-from corpusloom.functions.strip import strip_comments
 from corpusloom.operators import tree, unpacking
 from corpusloom.plans import pack as plan
 from corpusloom.plans import unpack as unplan
@@ -47,7 +46,7 @@ def _chat(spark: SparkSession, sf: str) -> DataFrame:
 def _by_family(extensions: list[str]) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         files = _files(spark, sf).filter(paths.extension(F.col("path")).isin(extensions))
-        return files.select("repo", "path", strip_comments(F.col("content"), F.col("path")).alias("stripped"))
+        return files.select("repo", "path", plan.text(True).alias("stripped"))
 
     return run
 
@@ -216,7 +215,7 @@ def latest_block(spark, sf):
 def strip_markup(spark, sf):
     files = _files(spark, sf).unionByName(_pages(spark, sf))
     return files.filter(paths.extension(F.col("path")).isin(".html", ".xml", ".svg")).select(
-        "repo", "path", strip_comments(F.col("content"), F.col("path")).alias("stripped")
+        "repo", "path", plan.text(True).alias("stripped")
     )
 
 

@@ -4,15 +4,34 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import cache
+from collections.abc import Callable
+from functools import cache, wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A side is broadcast only if it was measured to be no larger than this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Copies of a larger lookup side, so that one hot key is spread over many tasks.
 SALTS = 16
+# Groups counted to be no larger are ordered by a plain window.
+WINDOW_ROWS = 500_000
+
+
+def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the columns that ``make`` builds. A large expression takes thousands
+    of calls into the JVM to put together, and a column never changes."""
+    made: dict[tuple, Column] = {}
+
+    @wraps(make)
+    def get(*args) -> Column:
+        key = (id(SparkContext._gateway), *args)
+        if key not in made:
+            made[key] = make(*args)
+        return made[key]
+
+    return get
 
 
 @cache
@@ -70,14 +89,21 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def number_in_order(df: DataFrame, group: str, key: str, name: str = "ord") -> DataFrame:
+def number_in_order(
+    df: DataFrame, group: str, key: str, name: str = "ord", window_rows: int = WINDOW_ROWS
+) -> DataFrame:
     """Add the 1-based position of each row by ``key`` within its ``group``.
 
-    Rows are cut into ranges of (group, key), so a hot group is spread over many
-    tasks. Each range can only continue one group from an earlier range, so the
-    table of offsets has no more rows than there are ranges. The input is staged
-    too, as finding the ranges reads it once more.
+    If no group was counted to have more than ``window_rows`` rows, a window per
+    group does it. Otherwise rows are cut into ranges of (group, key), so a hot
+    group is spread over many tasks. Each range can only continue one group from
+    an earlier range, so the table of offsets has no more rows than there are
+    ranges. The input is staged then, as finding the ranges reads it once more.
     """
+    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= window_rows:
+        whole = Window.partitionBy(group).orderBy(key)
+        return df.withColumn(name, F.row_number().over(whole).cast("bigint"))
     staged = stage(
         stage(df).repartitionByRange(F.col(group), F.col(key)).withColumn(
             "_range", F.spark_partition_id()
@@ -97,6 +123,6 @@ def number_in_order(df: DataFrame, group: str, key: str, name: str = "ord") -> D
     return (
         staged.withColumn("_row", F.row_number().over(inside))
         .join(F.broadcast(offsets), [group, "_range"], "left")
-        .withColumn(name, F.col("_row") + F.coalesce("_offset", F.lit(0)))
+        .withColumn(name, F.col("_row") + F.coalesce("_offset", F.lit(0).cast("bigint")))
         .drop("_row", "_range", "_offset")
     )

@@ -119,7 +119,9 @@ def test_binary(spark):
         assert got == {p: reason for p, _, reason in rows}
 
 
-def test_order(spark):
+@pytest.mark.parametrize("window_rows", [0, 100])
+def test_order(spark, window_rows, monkeypatch):
+    monkeypatch.setattr(session.number_in_order, "__defaults__", ("ord", window_rows))
     nodes = [
         ("r", "main.go", False), ("r", "b", True), ("r", "b/x.go", False), ("r", "a.txt", False),
         ("r", "a", True), ("r", "a/x", False), ("r", "a.b", True), ("r", "a.b/x", False),
@@ -142,7 +144,7 @@ def test_order_of_a_group_over_many_ranges(spark):
     df = frame(spark, rows, "repo string, key string").repartition(8)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        numbered = session.number_in_order(df, "repo", "key").collect()
+        numbered = session.number_in_order(df, "repo", "key", window_rows=0).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = {}
