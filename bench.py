@@ -20,8 +20,7 @@ from corpusloom.queries import QUERIES
 HEADLINES = [
     "corpus_scan", "ignore_combined", "walk", "secret_findings", "strip_c", "strip_hash",
     "strip_markup", "blank_collapse", "hier_order", "pack_parts", "pack_parts_large",
-    "part_summary", "part_body", "corpus_summary", "unpack_auto", "apply_blocks",
-    "roundtrip_report",
+    "part_body", "unpack_auto", "apply_blocks", "roundtrip_report",
 ]
 
 

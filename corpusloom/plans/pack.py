@@ -186,30 +186,28 @@ def part_body(
     preamble = F.when(F.col("piece") == 0, PREAMBLE).otherwise("")
     tree = stage(tree_text(packed.nodes, tree_chunk).withColumn("tree", F.concat(preamble, "tree")))
     # The last tree row opens the first block row; earlier ones stand alone.
-    last = tree.filter("piece = n_pieces - 1").select("repo", F.col("piece").alias("_shift"), "tree")
+    last = tree.filter("piece = n_pieces - 1").select("repo", "piece", F.col("tree").alias("_block"))
     early = tree.filter("piece < n_pieces - 1").select("repo", "piece", F.col("tree").alias("body"))
+    parts = packed.parts.filter("first").select("repo", "part")
 
-    places = lookup_join(packed.parts, last.drop("tree"), ["repo"]).withColumn(
-        "piece", F.col("_shift") + F.floor(F.col("before") / piece_tokens).cast("bigint")
+    shift = last.select("repo", F.col("piece").alias("_shift"))
+    places = lookup_join(packed.parts, shift, ["repo"]).select(
+        "repo", "path", "part", "ord",
+        (F.col("_shift") + F.floor(F.col("before") / piece_tokens)).cast("bigint").alias("piece"),
     )
-    # The tree goes to the first block of a part while rows are still narrow.
-    heads = lookup_join(places.filter("first"), last.drop("_shift"), ["repo"])
-    places = heads.unionByName(places.filter("not first"), allowMissingColumns=True)
     rendered = packed.files.withColumn("_text", text(packed.strip)).select(
         "repo", "path", render(F.col("path"), F.col("_text"), packed.fmt).alias("_block")
     )
+    blocks = places.join(rendered, ["repo", "path"]).drop("path")
+    # As rows of their own, trees take part in the last shuffle only.
+    trees = lookup_join(parts, last, ["repo"]).withColumn("ord", F.lit(0).cast("bigint"))
     bodies = (
-        places.join(rendered, ["repo", "path"])
-        .select(
-            "repo", "part", "piece", "ord",
-            F.concat(F.coalesce("tree", F.lit("")), "_block").alias("_block"),
-        )
+        blocks.unionByName(trees)
         .groupBy("repo", "part", "piece")
         .agg(ordered_listagg("_block", "ord").alias("body"))
     )
-    parts = packed.parts.filter("first").select("repo", "part")
     return bodies.unionByName(
-        parts.join(early, "repo").select("repo", "part", "piece", "body")
+        lookup_join(parts, early, ["repo"], "inner").select("repo", "part", "piece", "body")
     )
 
 

@@ -308,7 +308,18 @@ def roundtrip_report(spark, sf):
     return unplan.roundtrip_report(_tree(spark, sf))
 
 
-QUERIES: dict[str, Query] = {
+def _wide(query: Query) -> Query:
+    """Integers as bigint, the integer type of the SQL texts."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = query(spark, sf)
+        narrow = [f.name for f in df.schema.fields if f.dataType.typeName() == "integer"]
+        return df.withColumns({c: F.col(c).cast("bigint") for c in narrow}) if narrow else df
+
+    return run
+
+
+_QUERIES: dict[str, Query] = {
     "corpus_scan": corpus_scan,
     "tree_nodes": tree_nodes,
     "part_names": part_names,
@@ -354,3 +365,5 @@ QUERIES: dict[str, Query] = {
     "unpack_quarantine": unpack_quarantine,
     "roundtrip_report": roundtrip_report,
 }
+
+QUERIES = {name: _wide(query) for name, query in _QUERIES.items()}
