@@ -10,16 +10,21 @@ every chunk assigns its own blocks.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import lookup_join, stage
 
+# The functions below go to the executors by value; no package has to be there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK = 4096  # nodes of one repo handled by one task at a time
 FAN = 64  # chunk functions composed in one step
 

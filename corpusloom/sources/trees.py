@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import os
 import stat
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from corpusloom.functions.globs import custom_ignore, default_ignore
 from corpusloom.functions.paths import extension
 from corpusloom.session import stage
 
+# The functions below go to the executors by value; no package has to be there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ENTRY = "repo string, root string, path string, is_dir boolean, size bigint"
 _FILE = "repo string, path string, size bigint, content binary"
 _BATCH_ROWS = 5_000
