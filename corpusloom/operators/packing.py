@@ -20,12 +20,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import lookup_join, stage
+from corpusloom.session import lookup_join, spread, stage
 
 # The functions below go to the executors by value; no package has to be there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHUNK = 4096  # nodes of one repo handled by one task at a time
+CHUNK = 1024  # nodes of one repo handled by one task at a time
 FAN = 64  # chunk functions composed in one step
 
 # Step function rows: from entry sum ``lo`` on (-1: empty part), ``opened`` new
@@ -199,7 +199,7 @@ def pack_parts(
     if last_chunk > 0:
         bags = stage(bags)
         given = _entries(bags, last_chunk, fan).withColumnRenamed("id", "chunk")
-        bags = bags.join(given, ["repo", "chunk"], "left")
+        bags = spread(bags.join(given, ["repo", "chunk"], "left"), "repo", "chunk")
         part, used = F.coalesce("part", part), F.coalesce("used", used)
 
     start = F.struct(
