@@ -6,6 +6,8 @@ import sys
 import pytest
 
 import __spark_entry__ as entry_module
+from corpusloom.oracle import ORACLE
+from corpusloom.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -22,10 +24,10 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = entry_module.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
