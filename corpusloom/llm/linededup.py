@@ -14,7 +14,6 @@ line. Rows without an id are not counted and lose nothing.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import linededup
+from corpusloom.llm import linededup, packing, secretscan
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
+    "op6_packing": packing.op6_packing,
+    "op8_secretscan": secretscan.op8_secretscan,
 }
 ORACLE = {
     "op1_linededup": linededup.OP1_SQL,
