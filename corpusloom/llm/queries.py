@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import linededup, packing, secretscan
+from corpusloom.llm import linededup, packing, secretscan, warc
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
     "op6_packing": packing.op6_packing,
+    "op7_warc": warc.op7_warc,
     "op8_secretscan": secretscan.op8_secretscan,
 }
 ORACLE = {
     "op1_linededup": linededup.OP1_SQL,
+    "op7_warc": warc.OP7_SQL,
 }
