@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import linededup, packing, secretscan, warc
+from corpusloom.llm import jaccard, linededup, packing, secretscan, warc
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
     "op6_packing": packing.op6_packing,
     "op7_warc": warc.op7_warc,
     "op8_secretscan": secretscan.op8_secretscan,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLE = {
     "op1_linededup": linededup.OP1_SQL,
