@@ -102,18 +102,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words between ASCII white space, with A-Z lower-cased: 64-bit hash of each,
-    its first byte, and how many words each row has."""
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every word between ASCII white space, and words per row."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
     word = ~SPACES[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     begin = offsets[:-1][offsets[:-1] < offsets[1:]]
     first[begin] = word[begin]
     starts = np.flatnonzero(first)
-    per_row = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
+    return starts, np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words between ASCII white space, with A-Z lower-cased: 64-bit hash of each,
+    its first byte, and how many words each row has."""
+    starts, per_row = word_starts(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, per_row
     sizes = np.diff(np.concatenate((starts, [len(data)])))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import jaccard, langcrf, linededup, packing, quality, secretscan, warc
+from corpusloom.llm import decontam, jaccard, langcrf, linededup, packing, quality, secretscan, warc
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
     "op2_langcrf": langcrf.op2_langcrf,
+    "op3_decontam": decontam.op3_decontam,
     "op4_quality": quality.op4_quality,
     "op6_packing": packing.op6_packing,
     "op7_warc": warc.op7_warc,
