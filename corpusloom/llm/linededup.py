@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.llm.common import by_value, chunks, mix, shard_count, table
 from corpusloom.session import fits_broadcast, stage
@@ -246,29 +247,40 @@ def _rewritten(batches, min_chars: int):
             kept.append("\n".join(lines))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())],
-            names=["doc_id", "kept", "n_lines", "n_dropped"],
+            names=["row", "kept", "n_lines", "n_dropped"],
         )
 
 
-def dedup_lines(
+def dedup_rows(
     documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None, load: int = LOAD
 ) -> DataFrame:
-    """(doc_id, kept, n_lines, n_dropped): each text without its duplicate lines.
+    """(row, kept, n_lines, n_dropped): each row's columns but its text, and its text
+    without the duplicate lines.
 
     A key of at least ``min_chars`` code points in at least ``min_docs`` documents
     loses all its lines except in the largest id that holds it. ``kept`` is null for
     no row; ``n_lines`` counts before dropping.
     """
+    rest = F.struct(*[F.col(c) for c in documents.columns if c != "text"]).alias("row")
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     drops = (
         duplicate_lines(rows, min_chars, min_docs, shards, load)
         .groupBy("doc")
         .agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
     )
-    joined = rows.join(drops, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "drops")
-    return joined.mapInArrow(
-        lambda batches: _rewritten(batches, min_chars), "doc_id bigint, kept string, n_lines bigint, n_dropped bigint"
+    keyed = documents.select(rest, "text", F.col("doc_id").cast("bigint").alias("doc"))
+    joined = keyed.join(drops, "doc", "left").select("row", "text", "drops")
+    schema = (
+        StructType().add("row", joined.schema["row"].dataType).add("kept", "string")
+        .add("n_lines", "bigint").add("n_dropped", "bigint")
     )
+    return joined.mapInArrow(lambda batches: _rewritten(batches, min_chars), schema)
+
+
+def dedup_lines(documents: DataFrame, **settings) -> DataFrame:
+    """(doc_id, kept, n_lines, n_dropped); settings as for ``dedup_rows``."""
+    done = dedup_rows(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), **settings)
+    return done.select("row.doc_id", "kept", "n_lines", "n_dropped")
 
 
 def op1_linededup(spark, sf_dir: str) -> DataFrame:
