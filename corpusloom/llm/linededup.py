@@ -272,7 +272,7 @@ def dedup_rows(
     joined = keyed.join(drops, "doc", "left").select("row", "text", "drops")
     schema = (
         StructType().add("row", joined.schema["row"].dataType).add("kept", "string")
-        .add("n_lines", "bigint").add("n_dropped", "bigint")
+        .add("n_lines", "long").add("n_dropped", "long")
     )
     return joined.mapInArrow(lambda batches: _rewritten(batches, min_chars), schema)
 
