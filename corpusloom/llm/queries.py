@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontam, jaccard, langcrf, linededup, packing, quality, secretscan, warc
+from corpusloom.llm import decontam, jaccard, langcrf, linededup, packing, quality, search, secretscan, warc
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
     "op2_langcrf": langcrf.op2_langcrf,
     "op3_decontam": decontam.op3_decontam,
     "op4_quality": quality.op4_quality,
+    "op5_search": search.op5_search,
     "op6_packing": packing.op6_packing,
     "op7_warc": warc.op7_warc,
     "op8_secretscan": secretscan.op8_secretscan,
