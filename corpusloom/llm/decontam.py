@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, by_value, byte_codes, chunks, mix, powers, table, text_bytes, word_starts
+from corpusloom.llm.common import LOWER, SPACES, by_value, byte_codes, chunks, mix, powers, table, text_bytes, word_starts
 from corpusloom.session import fits_broadcast
 
 by_value(__name__)
@@ -88,9 +88,7 @@ def template(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     row = np.repeat(np.arange(len(per_row)), per_row)
     new_row = np.concatenate(([True], row[1:] != row[:-1]))
     # Last byte of a word, and whether a line ends between it and the next.
-    ends = np.concatenate((starts[1:], [len(data)]))
-    solid = np.flatnonzero(~np.isin(data, (9, 10, 11, 12, 13, 32)))
-    last = data[solid[np.searchsorted(solid, ends) - 1]]
+    last = data[starts + np.add.reduceat(~SPACES[data], starts, dtype=np.int64) - 1]
     breaks = np.add.reduceat((data == 10).astype(np.int64), starts) > 0
     opens = new_row.copy()
     opens[1:] |= _ENDS[last[:-1]] | breaks[:-1]

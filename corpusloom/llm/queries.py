@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontam, jaccard, langcrf, linededup, packing, quality, search, secretscan, warc
+from corpusloom.llm import decontam, jaccard, langcrf, linededup, lmscore, packing, quality, search, secretscan, warc
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_warc": warc.op7_warc,
     "op8_secretscan": secretscan.op8_secretscan,
+    "op9_lmscore": lmscore.op9_lmscore,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLE = {
