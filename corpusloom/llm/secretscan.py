@@ -29,7 +29,7 @@ WINDOW = 20
 CLASSES = {
     "entropy_hex": ("0-9a-fA-F", 3.0),
     "entropy_upper": ("A-Z0-9", 3.4),
-    "entropy_base64": ("A-Za-z0-9+/_=-", 3.8),
+    "entropy_base64": ("A-Za-z0-9+/_-", 3.8),
 }
 KINDS = ["assign", "access", "hex", *CLASSES]
 # Entropy spans that overlap one of these are dropped. Fixed values.
@@ -46,7 +46,7 @@ _ASSIGN = re.compile(
 _WORDS = ("passw", "secret", "token", "api")  # every keyword has one of these
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}")
+_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{WINDOW},}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _ALLOW = re.compile("|".join(ALLOW))
 
@@ -69,14 +69,14 @@ def dense_windows(run: str, least: float, window: int = WINDOW) -> list[tuple[in
     counts: dict[str, int] = {}
     total, full, spans = 0.0, math.log2(window), []
     for i, char in enumerate(run):
-        n = counts.get(char, 0)
-        counts[char] = n + 1
-        total += plogp[n + 1] - plogp[n]
         if i >= window:
             old = run[i - window]
             n = counts[old]
             counts[old] = n - 1
             total += plogp[n - 1] - plogp[n]
+        n = counts.get(char, 0)
+        counts[char] = n + 1
+        total += plogp[n + 1] - plogp[n]
         if i >= window - 1 and full - total / window >= least - 1e-9:
             start = i - window + 1
             if spans and start <= spans[-1][1]:
