@@ -24,8 +24,9 @@ ORACLE_SQL = None  # a learned model decides in the first stage
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (one column, distinct)."""
-    gone = ids.select(F.col("doc_id").alias("_gone_id"), F.lit(True).alias("_gone"))
+    """``docs`` without the rows whose doc_id is in ``ids``. The ids are written once, as
+    the join measures them before it reads them."""
+    gone = stage(ids.filter("doc_id is not null").distinct().select(F.col("doc_id").alias("_gone_id"), F.lit(True).alias("_gone")))
     keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_gone_id"))
     return lookup_join(keyed, gone, ["_gone_id"]).filter("_gone is null").select("_row.*")
 
@@ -34,7 +35,7 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents with a language."""
     found = langcrf.identify(docs, langcrf.learn(docs))
     rejected = found.filter((F.col("lang_pred") == langcrf.UNKNOWN) | (F.col("score") < LEAST_SCORE))
-    return _without(docs, rejected.select("doc_id").filter("doc_id is not null").distinct())
+    return _without(docs, rejected.select("doc_id"))
 
 
 def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +49,13 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each component."""
     found = jaccard.near_duplicates(docs)
     copies = found.filter(F.col("doc_id") != F.col("component_id"))
-    return _without(docs, copies.select("doc_id").distinct())
+    return _without(docs, copies.select("doc_id"))
 
 
 def benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.select("doc_id").filter("doc_id is not null").distinct())
+    return _without(docs, found.select("doc_id"))
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

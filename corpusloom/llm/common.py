@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 # The functions below go to the executors by value; no package has to be there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHUNK_BYTES = 2 << 20  # text handled at once inside a task
+CHUNK_BYTES = 1 << 20  # text handled at once inside a task
 SHARD_BYTES = 32 << 20  # input bytes behind one shard of an index
 
 
@@ -42,6 +43,8 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 def chunks(batches, column: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text, a longer row alone."""
     for batch in batches:
+        # Workers live on after a task; what it has freed goes back to the system.
+        give_back()
         if not batch.num_rows:
             continue
         text = batch.column(column)
@@ -52,6 +55,15 @@ def chunks(batches, column: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.Re
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def _lengths(text: pa.Array) -> np.ndarray:

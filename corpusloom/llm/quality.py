@@ -61,10 +61,13 @@ def passages(text: pa.Array, size: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.
     row = np.repeat(np.arange(len(per_row)), per_row)
     inside = np.arange(len(word)) - (np.cumsum(per_row) - per_row)[row]
     passage = (np.cumsum(count) - count)[row] + inside // size
-    # Bytes before a row's first word belong to the passage before and are white space.
-    owner = np.empty(len(data), np.int64)
-    owner[: starts[0]] = passage[0]
-    owner[starts[0] :] = np.repeat(passage, np.diff(np.concatenate((starts, [len(data)]))))
+    # A passage reaches from its first word to the next passage's; a row's first one
+    # also has the row's leading white space.
+    begins = np.zeros(len(data) + 1, np.int64)
+    begins[starts[(inside > 0) & (inside % size == 0)] + 1] = 1
+    begins = np.cumsum(begins)
+    byte_row = np.repeat(np.arange(len(per_row)), np.diff(offsets))
+    owner = (np.cumsum(count) - count - begins[offsets[:-1]])[byte_row] + begins[1:]
     n_words = np.bincount(passage, minlength=total).astype(np.float32)
     n_bytes = np.bincount(owner, minlength=total).astype(np.float32)
     n_words[n_words == 0] = 1
@@ -89,6 +92,7 @@ def passages(text: pa.Array, size: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.
     shares.append(n_words / size)
     shares.append(np.bincount(owner[data >= 128], minlength=total) / n_bytes)
     out[:, TRIGRAMS:] = np.column_stack(shares)
+    out[np.bincount(passage, minlength=total) == 0] = 0
     return out, count
 
 
