@@ -43,17 +43,29 @@ SECRET_GATE = [
     "password", "credential", "token",
 ]
 
+# Names behind which an assigned value is a secret.
+SECRET_WORDS = [
+    "api_key", "apikey", "secret_key", "secretkey", "password", "passwd", "private_key",
+    "db_pass", "db_password", "credential", "token",
+]
+
+
+def _folded(words: str) -> str:
+    """(?i:...) folds ASCII letters only, which is much faster than Unicode folding,
+    so the long s and the Kelvin sign are listed by hand."""
+    return words.replace("s", "[s\u017f]").replace("k", "[k\u212a]")
+
+
 # (label, Java regex) in priority order. White space is spelled out because \\s
-# differs between engines. (?i:...) folds ASCII letters only, which is much faster
-# than Unicode folding, so the long s and the Kelvin sign are listed by hand.
+# differs between engines. A run of the AWS word is only tried at its last one, so
+# the search stays linear.
 _BLANKS = r"[\t\n\f\r ]*"
-_S, _K = "[s\u017f]", "[k\u212a]"
+_AWS = _folded("aws_secret")
 SECRET_RULES = [
     ("OpenAI API Key", r"sk-(?:proj-)?[a-zA-Z0-9]{32,}"),
     (
         "Generic API Key/Secret",
-        rf"(?i:(?:api_?{_K}ey|{_S}ecret_?{_K}ey|pa{_S}{{2}}w(?:or)?d|private_{_K}ey"
-        rf"|db_pa{_S}{{2}}(?:word)?|credential|to{_K}en){_BLANKS}[:=]{_BLANKS}"
+        rf"(?i:(?:{_folded('|'.join(SECRET_WORDS))}){_BLANKS}[:=]{_BLANKS}"
         rf"[\"'][a-z0-9\-_.+=\u017f\u212a]{{8,}}[\"'])",
     ),
     (
@@ -63,7 +75,7 @@ SECRET_RULES = [
     ("AWS Access Key ID", r"(?:A3T[A-Z0-9]|AKIA|AGPA|AIDA|AROA|ASCA|ASIA)[A-Z0-9]{16}"),
     (
         "AWS Secret Access Key",
-        rf"(?i:aw{_S}_{_S}ecret[a-z0-9_\u017f\u212a]*{_BLANKS}[:=]{_BLANKS}"
+        rf"(?i:{_AWS}(?:(?!{_AWS})[a-z0-9_\u017f\u212a])*+{_BLANKS}[:=]{_BLANKS}"
         rf"[\"']?[a-z0-9/+=\u017f\u212a]{{40}}[\"']?)",
     ),
 ]

@@ -19,9 +19,7 @@ from corpusloom.functions.text import WS, WS_LINE, after_first, is_blank, preced
 # A line that holds only a comment goes with its line feed, else from the mark on.
 _C_LINE = rf"(?=[\n/])(?:\n[{WS_LINE}]*+)?//[^\n]*"
 _HASH_LINE = rf"(?=[\n#])(?:(\n[{WS_LINE}]*+#![^\n]*)|(?:\n[{WS_LINE}]*+)?#[^\n]*)"
-_MARKUP = (
-    rf"(?=[\n<])(?:\n[{WS_LINE}]*+(?=<!--)[^\n]*-->[{WS_LINE}]*(?=\n|\z)|<!--[^\n]*?-->)"
-)
+_MARKUP_LINE = r"\n[^\n]*?<!--[^\n]*"
 # Nothing but blanks; blank lines at the start, with the first line feed; a run of
 # blank lines elsewhere, of which one stays.
 _SPARE_BLANKS = rf"\A[{WS}]*+\z|\A[{WS}]*\n|(\n)[{WS}]*(?:\z|(\n))"
@@ -44,6 +42,20 @@ def _without_inline_blocks(line: Column) -> Column:
     return F.concat(F.regexp_replace(head, _INLINE_BLOCK, ""), tail)
 
 
+def _markup(text: Column) -> Column:
+    """Lines are on their own here: one state, and only lines with a mark change."""
+
+    def without_comments(line: Column, state: Column) -> Column:
+        whole = line.rlike(rf"\A[{WS_LINE}]*<!--") & line.rlike(rf"-->[{WS_LINE}]*\z")
+        # Nothing can close after the last mark, so the search stops there.
+        tail = F.substring_index(line, "-->", -1)
+        head = F.substr(line, F.lit(1), F.length(line) - F.length(tail))
+        bare = F.concat(F.regexp_replace(head, r"(?s)<!--.*?-->", ""), tail)
+        return F.when(~whole, F.concat(F.lit("\n"), bare))
+
+    return rewrite(text, _MARKUP_LINE, "N", lambda line: F.lit("N"), lambda part, state: part, without_comments)
+
+
 def _c_after(line: Column) -> Column:
     """State after a line read outside a block comment."""
     return F.when(_without_inline_blocks(line).contains("/*"), "B").otherwise("N")
@@ -139,7 +151,7 @@ def strip_comments(content: Column, path: Column) -> Column:
         )
         .when(
             ext.isin(MARKUP_EXTENSIONS) & content.contains("<!--"),
-            F.regexp_replace(text, _MARKUP, ""),
+            _markup(text),
         )
         .otherwise(text)
     )

@@ -5,7 +5,9 @@ already has one. The walk is sequential, but it is done in bounded chunks of
 each repo. Within a part only its token sum matters, so a chunk is a step
 function from the sum on entry to (parts opened, sum on exit). The functions are
 composed level by level (up), the entry sums are handed back (down), and then
-every chunk assigns its own blocks.
+every chunk assigns its own blocks. A chunk is only entered with sums up to the tokens
+before it in its repo, so steps above that are dropped; a repo that fits one part has
+two steps per chunk. Without a limit there are no steps at all.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import lookup_join, spread, stage
@@ -34,25 +36,27 @@ _STEPS = "repo string, id bigint, lo bigint, opened bigint, base bigint, keep bo
 _ENTRY = "repo string, id bigint, part bigint, used bigint"
 
 
-def _chunk_steps(repo: str, number: int, room: int, tokens: np.ndarray) -> pd.DataFrame:
+def _chunk_steps(repo: str, number: int, room: int, reach: int, tokens: np.ndarray) -> pd.DataFrame:
     total = np.cumsum(tokens)
     n = len(total)
     prior = np.concatenate(([0], total[:-1]))
     # First block after the one at j that no longer fits a part begun at j.
     following = np.maximum(np.searchsorted(total, prior + room, side="right"), np.arange(1, n + 1))
-    opened = np.zeros(n + 1, dtype="int64")
-    last = np.zeros(n + 1, dtype="int64")
-    for j in range(n - 1, -1, -1):
-        k = following[j]
-        if k >= n:
-            last[j] = total[-1] - prior[j]
-        else:
-            opened[j], last[j] = opened[k] + 1, last[k]
+    # Parts begun after j until the chunk ends, and where the last one begins: jumps of
+    # one part, then of two, four and so on.
+    opened = np.append((following < n).astype("int64"), 0)
+    begin = np.append(np.where(following < n, following, np.arange(n)), n)
+    while True:
+        further = opened + opened[begin]
+        if (further == opened).all():
+            break
+        opened, begin = further, begin[begin]
+    last = np.append(total[-1] - prior, 0)[begin]
     # A part holding r tokens is closed before block j if j is the first with
     # r + total[j] > room; without such a block it stays open.
     closing = np.flatnonzero((prior <= room) | (np.arange(n) == 0))
     lo = np.maximum(0, room - total[closing] + 1)
-    possible = (closing == 0) | (lo <= room - prior[closing])
+    possible = ((closing == 0) | (lo <= room - prior[closing])) & (lo <= reach)
     closing, lo = closing[possible], lo[possible]
     rows = [[(-1, opened[0], last[0], 0)]]
     if total[-1] <= room:
@@ -63,10 +67,10 @@ def _chunk_steps(repo: str, number: int, room: int, tokens: np.ndarray) -> pd.Da
 
 def _all_chunk_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for repo, number, room, tokens in zip(
-            batch["repo"], batch["chunk"], batch["room"], batch["tokens"]
+        for repo, number, room, reach, tokens in zip(
+            batch["repo"], batch["chunk"], batch["room"], batch["reach"], batch["tokens"]
         ):
-            yield _chunk_steps(repo, number, room, np.asarray(tokens, dtype="int64"))
+            yield _chunk_steps(repo, number, room, reach, np.asarray(tokens, dtype="int64"))
 
 
 def _frame(repo: str, number: int, steps: np.ndarray) -> pd.DataFrame:
@@ -138,7 +142,7 @@ def _entries(bags: DataFrame, last_chunk: int, fan: int) -> DataFrame:
     than one. ``last_chunk`` only sets the number of levels."""
     up = F.floor(F.col("id") / fan).cast("bigint").alias("_up")
     chunks = bags.filter("last_chunk > 0").select(
-        "repo", "chunk", "room", F.col("items.tokens").alias("tokens")
+        "repo", "chunk", "room", "reach", F.col("items.tokens").alias("tokens")
     )
     level = stage(chunks.mapInPandas(_all_chunk_steps, _STEPS))
     levels = [level]
@@ -162,6 +166,57 @@ def _entries(bags: DataFrame, last_chunk: int, fan: int) -> DataFrame:
     return entries
 
 
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk each chunk part by part from its entry: a part reaches up to the first block
+    that its sum leaves no room for."""
+    for batch in batches:
+        for repo, room, part, used, items in zip(
+            batch["repo"], batch["room"], batch["part"], batch["used"], batch["items"]
+        ):
+            ord_ = np.array([i["ord"] for i in items], dtype="int64")
+            tokens = np.array([i["tokens"] for i in items], dtype="int64")
+            total = np.cumsum(tokens)
+            n = len(total)
+            prior = total - tokens
+            parts, base = np.empty(n, dtype="int64"), np.empty(n, dtype="int64")
+            first = np.zeros(n, dtype=bool)
+            j = 0
+            while j < n:
+                # The open part holds ``used`` tokens, -1 if it has no block yet.
+                held = max(used, 0) - prior[j]
+                end = int(np.searchsorted(total, room - held, side="right"))
+                end = max(end, j + 1) if used < 0 else max(end, j)
+                first[j] |= used < 0 and end > j
+                parts[j:end], base[j:end] = part, held
+                if end < n:
+                    part, used = part + 1, -1
+                j = end
+            yield pd.DataFrame(
+                {"repo": repo, "ord": ord_, "tokens": tokens, "part": parts, "before": prior + base, "first": first}
+            )
+
+
+_PLACED = "repo string, ord bigint, tokens bigint, part bigint, before bigint, first boolean"
+
+
+def _one_part(blocks: DataFrame, chunk: int) -> DataFrame:
+    """Everything in part 1: sums inside chunks, and of the chunks before."""
+    at = blocks.withColumn("_chunk", F.floor((F.col("ord") - 1) / chunk))
+    sums = at.groupBy("repo", "_chunk").agg(F.sum("tokens").alias("_sum"))
+    earlier = Window.partitionBy("repo").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("repo", "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_reach"))
+    inside = Window.partitionBy("repo", "_chunk").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    own = at.withColumn("_own", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    own = own.withColumn("_row", F.row_number().over(Window.partitionBy("repo", "_chunk").orderBy("ord")))
+    starts = own.groupBy("repo").agg(F.min("ord").alias("_least"))
+    placed = lookup_join(own.join(sums, ["repo", "_chunk"]), starts, ["repo"])
+    return placed.select(
+        "repo", F.col("ord").cast("bigint").alias("ord"), F.col("tokens").cast("bigint").alias("tokens"),
+        F.lit(1).cast("bigint").alias("part"), (F.col("_reach") + F.col("_own")).cast("bigint").alias("before"),
+        (F.col("ord") == F.col("_least")).alias("first"),
+    )
+
+
 def pack_parts(
     blocks: DataFrame,
     overhead: DataFrame,
@@ -176,8 +231,9 @@ def pack_parts(
     tokens already in the part, ``first`` marks its first block. Without a limit
     there is one part.
     """
+    if max_tokens <= 0:
+        return _one_part(blocks, chunk)
     where = F.floor((F.col("ord") - 1) / chunk).cast("bigint")
-    limit = F.lit(max_tokens if max_tokens > 0 else 2**62).cast("bigint")
     bags = (
         blocks.select(
             "repo",
@@ -186,43 +242,28 @@ def pack_parts(
             F.col("tokens").cast("bigint").alias("tokens"),
         )
         .groupBy("repo", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("ord", "tokens"))).alias("items"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct("ord", "tokens"))).alias("items"),
+            F.sum("tokens").alias("sum"),
+        )
     )
-    repos = blocks.groupBy("repo").agg(F.max(where).alias("last_chunk"))
-    last_chunk = repos.agg(F.max("last_chunk")).first()[0] or 0
+    bags = stage(bags)
+    earlier = Window.partitionBy("repo").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows of chunks, without their blocks.
+    reach = bags.select("repo", "chunk", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("reach"))
+    repos = bags.groupBy("repo").agg(F.max("chunk").alias("last_chunk"))
+    last_chunk = bags.agg(F.max("chunk")).first()[0] or 0
     facts = repos.join(overhead.select("repo", "overhead"), "repo", "left").select(
-        "repo", "last_chunk", (limit - F.coalesce("overhead", F.lit(0))).alias("room")
+        "repo", "last_chunk", (F.lit(max_tokens).cast("bigint") - F.coalesce("overhead", F.lit(0))).alias("room")
     )
-    bags = lookup_join(bags, facts, ["repo"])
+    bags = lookup_join(bags.join(reach, ["repo", "chunk"]).drop("sum"), facts, ["repo"])
     # used = -1 marks a part without a block.
-    part, used = F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")
-    if last_chunk > 0:
-        bags = stage(bags)
-        given = _entries(bags, last_chunk, fan).withColumnRenamed("id", "chunk")
-        bags = spread(bags.join(given, ["repo", "chunk"], "left"), "repo", "chunk")
-        part, used = F.coalesce("part", part), F.coalesce("used", used)
-
-    start = F.struct(
-        part.alias("part"),
-        used.alias("used"),
-        F.array().cast("array<struct<ord:bigint,tokens:bigint,part:bigint,before:bigint,first:boolean>>").alias("out"),
-    )
-
-    def put(acc, item):
-        full = (acc["used"] >= 0) & (acc["used"] + item["tokens"] > F.col("room"))
-        first = full | (acc["used"] < 0)
-        part = F.when(full, acc["part"] + 1).otherwise(acc["part"])
-        before = F.when(first, F.lit(0).cast("bigint")).otherwise(acc["used"])
-        placed = F.struct(
-            item["ord"].alias("ord"), item["tokens"].alias("tokens"),
-            part.alias("part"), before.alias("before"), first.alias("first"),
-        )
-        return F.struct(
-            part.alias("part"),
-            (before + item["tokens"]).alias("used"),
-            F.array_append(acc["out"], placed).alias("out"),
-        )
-
-    return bags.select(
-        "repo", F.inline(F.aggregate("items", start, put, lambda acc: acc["out"]))
-    )
+    given = _entries(bags, last_chunk, fan).withColumnRenamed("id", "chunk")
+    bags = bags.join(given, ["repo", "chunk"], "left")
+    return spread(
+        bags.select(
+            "repo", "chunk", "room", F.coalesce("part", F.lit(1).cast("bigint")).alias("part"),
+            F.coalesce("used", F.lit(-1).cast("bigint")).alias("used"), "items",
+        ),
+        "repo", "chunk",
+    ).drop("chunk").mapInPandas(_placed, _PLACED)

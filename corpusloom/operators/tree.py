@@ -114,6 +114,20 @@ def walk(
     )
 
 
+def kept_files(files: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``files`` that ``walk`` keeps, with all their columns. What the row
+    tells comes first; an ignore file adds one regex per repo. No content is shuffled
+    unless the rules are too many to be broadcast."""
+    path = F.col("path")
+    visible = ~custom_ignore(path, list(globs)) & ~default_ignore(path)
+    rows = files.filter(visible & binary_reason(path, F.col("content")).isNull())
+    return (
+        lookup_join(rows, ignore_rules(files), ["repo"])
+        .filter(~ignored_by(F.col("rules"), path, F.lit(False)))
+        .drop("rules")
+    )
+
+
 def hide_descendants(nodes: DataFrame, collapsed: DataFrame) -> DataFrame:
     """Drop nodes below a collapsed directory; the directory itself stays."""
     above = nodes.select("repo", "path", F.explode(strict_ancestors(F.col("path"))).alias("_above"))

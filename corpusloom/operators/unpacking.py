@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.automaton import rewrite
 from corpusloom.functions.paths import clean_path, path_status
 from corpusloom.functions.text import WS, WS_LINE, cdata_restore, let, preceded
-from corpusloom.session import built_once
+from corpusloom.session import built_once, lookup_join
 
 _SPACE = r"\t\n\f\r "
 _FILE_TAG = rf"<file[{_SPACE}]+path=[\"']([^\"']+)[\"'][^>]*>"
@@ -161,14 +161,21 @@ def latest_block(blocks: DataFrame, keys: Sequence[str], order: Sequence[str]) -
 def apply_blocks(snapshot: DataFrame, blocks: DataFrame) -> DataFrame:
     """Write blocks (repo, clean_path, content; one per path) over a snapshot
     (repo, path, content). Adds ``change``: added, replaced, same or kept."""
-    new = blocks.select("repo", F.col("clean_path").alias("path"), F.col("content").alias("_new"))
-    return snapshot.withColumn("_known", F.lit(True)).join(new, ["repo", "path"], "full_outer").select(
+    new = blocks.select(
+        "repo", F.col("clean_path").alias("path"), F.col("content").alias("_new"), F.lit(True).alias("_block")
+    )
+    # Blocks are looked up, so the snapshot's content isn't shuffled where they fit.
+    old = lookup_join(snapshot.select("repo", "path", "content"), new, ["repo", "path"]).select(
         "repo",
         "path",
         F.coalesce("_new", "content").alias("content"),
-        F.when(F.col("_new").isNull(), "kept")
-        .when(F.col("_known").isNull(), "added")
+        F.when(F.col("_block").isNull(), "kept")
         .when(F.col("_new") == F.col("content"), "same")
         .otherwise("replaced")
         .alias("change"),
     )
+    # Only the snapshot's keys are needed to tell which blocks are new to it.
+    added = new.join(snapshot.select("repo", "path"), ["repo", "path"], "left_anti").select(
+        "repo", "path", F.col("_new").alias("content"), F.lit("added").alias("change")
+    )
+    return old.unionByName(added)

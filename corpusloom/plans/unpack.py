@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.render import render
 from corpusloom.functions.text import cdata_restore
-from corpusloom.operators.tree import walk
+from corpusloom.operators.tree import kept_files
 from corpusloom.operators.unpacking import (
     apply_blocks,
     latest_block,
@@ -34,8 +34,7 @@ def roundtrip_report(files: DataFrame) -> DataFrame:
     (repo, path, fmt, fidelity): exact, newline (one final line feed lost),
     changed, renamed (content under another path) or missing.
     """
-    kept = walk(files).filter("not is_dir").select("repo", "path")
-    source = files.join(kept, ["repo", "path"], "left_semi")
+    source = kept_files(files)
     parsers = {"xml": xml_blocks, "markdown": markdown_blocks}
     for fmt, parse in parsers.items():
         body = render(F.col("path"), F.col("content"), fmt)

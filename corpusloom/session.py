@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache, wraps
 
 from pyspark import SparkContext
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only if it was measured to be no larger than this.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Copies of a larger lookup side, so that one hot key is spread over many tasks.
+# Copies of a larger lookup side, so that one hot key is spread over many tasks; a
+# session with more shuffle partitions gets more of them.
 SALTS = 16
 # Groups counted to be no larger are ordered by a plain window.
 WINDOW_ROWS = 500_000
@@ -39,10 +41,44 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="corpusloom-")
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def staging_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one where none is set,
-    as in local tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder that all executors share: ``spark.checkpoint.dir``, or what
+    ``setCheckpointDir`` was given. Only a local session may do without one: on a
+    cluster every executor would write to its own disk and rows would be lost."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not _is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = _own_folder()
+    return shared.rstrip("/")
+
+
+# Innermost last: paths of the tables staged inside ``staged_paths`` blocks.
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def staged_paths() -> Iterator[list[str]]:
+    """Collect the paths of the tables that are staged inside the block."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.remove(paths)
+
+
+def remove_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables, wherever they are; frames that read them end here."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    paths.clear()
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -52,6 +88,8 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/stage-{uuid.uuid4().hex}"
+    for paths in _collecting:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,17 +114,21 @@ def lookup_join(
     """
     if fits_broadcast(right, limit):
         return left.join(F.broadcast(right), on, how)
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(SALTS, partitions // 16)
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     salted = left.withColumn("_salt", salt)
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input of few splits, such as one small file. An input
-    with a split per core or more, the normal case, is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    """Deal rows out by ``keys`` to as many tasks as there are cores at least."""
+    spark = df.sparkSession
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return df.repartition(tasks, *keys)
 
 
 def number_in_order(

@@ -167,9 +167,11 @@ def duckdb_view(sql: str) -> str:
 
 
 def spark_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    tables = {
-        name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key)
-        for name, key in TABLES.items()
-        if f"{{{name}}}" in sql
-    }
+    tables = {}
+    for name, key in TABLES.items():
+        if f"{{{name}}}" in sql:
+            table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            # A plain scan of fewer splits than cores, such as one small file.
+            few = table.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+            tables[name] = spread(table, key) if few else table
     return spark.sql(sql, **tables)
