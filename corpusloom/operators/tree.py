@@ -21,7 +21,7 @@ from corpusloom.functions.paths import (
     sort_key,
     strict_ancestors,
 )
-from corpusloom.session import built_once, lookup_join, number_in_order, stage
+from corpusloom.session import WINDOW_ROWS, built_once, lookup_join, number_in_order, stage
 
 
 def directories(files: DataFrame) -> DataFrame:
@@ -114,16 +114,20 @@ def walk(
     )
 
 
+def row_visible(files: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
+    """Without the rows that are left out whatever their repo's ignore file says."""
+    path = F.col("path")
+    visible = ~custom_ignore(path, list(globs)) & ~default_ignore(path)
+    return files.filter(visible & binary_reason(path, F.col("content")).isNull())
+
+
 def kept_files(files: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
     """The rows of ``files`` that ``walk`` keeps, with all their columns. What the row
     tells comes first; an ignore file adds one regex per repo. No content is shuffled
     unless the rules are too many to be broadcast."""
-    path = F.col("path")
-    visible = ~custom_ignore(path, list(globs)) & ~default_ignore(path)
-    rows = files.filter(visible & binary_reason(path, F.col("content")).isNull())
     return (
-        lookup_join(rows, ignore_rules(files), ["repo"])
-        .filter(~ignored_by(F.col("rules"), path, F.lit(False)))
+        lookup_join(row_visible(files, globs), ignore_rules(files), ["repo"])
+        .filter(~ignored_by(F.col("rules"), F.col("path"), F.lit(False)))
         .drop("rules")
     )
 
@@ -153,7 +157,7 @@ def select_subtree(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def hierarchical_order(nodes: DataFrame) -> DataFrame:
+def hierarchical_order(nodes: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Add ``ord``, the 1-based place of each node in its repo's tree order."""
     keyed = nodes.withColumn("_key", sort_key(F.col("path"), F.col("is_dir")))
-    return number_in_order(keyed, "repo", "_key").drop("_key")
+    return number_in_order(keyed, "repo", "_key", window_rows=window_rows).drop("_key")

@@ -7,19 +7,19 @@ and once for the part texts. Everything between works on keys and integers.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.constants import CONTEXT_TOKENS, PREAMBLE, TREE_CLOSE, TREE_OPEN
-from corpusloom.functions.render import render, tree_line
+from corpusloom.functions.render import Counter, render, tree_line
 from corpusloom.functions.secrets import secret_labels
 from corpusloom.functions.strip import strip_comments
 from corpusloom.functions.text import token_estimate
 from corpusloom.operators.packing import CHUNK, pack_parts
-from corpusloom.operators.tree import hierarchical_order, select_subtree, walk
-from corpusloom.session import built_once, lookup_join, stage
+from corpusloom.operators.tree import hierarchical_order, kept_files, row_visible, select_subtree, walk
+from corpusloom.session import built_once, lookup_join, remove_staged, stage, staged_paths
 
 TREE_CHUNK = 100_000  # nodes per tree text row
 PIECE_TOKENS = 4_000_000  # block tokens per part text row
@@ -37,13 +37,23 @@ def ordered_listagg(value: str, order: str) -> Column:
 class Packed:
     """``nodes``: written table of all nodes in order with their block sizes.
     ``parts``: written table of every selected file: repo, ord, path, block_bytes,
-    tokens, part, before, first."""
+    tokens, part, before, first. ``overhead``: written table of the tokens that every
+    part of a repo starts with. ``staged`` names the written tables; ``close`` deletes
+    them when the results have been read."""
 
     files: DataFrame
     nodes: DataFrame
     parts: DataFrame
+    overhead: DataFrame
     fmt: str
     strip: bool
+    globs: tuple[str, ...] = ()
+    counter: Counter = token_estimate
+    preamble: str = PREAMBLE
+    staged: list[str] = field(default_factory=list)
+
+    def close(self) -> None:
+        remove_staged(self.files.sparkSession, self.staged)
 
 
 @built_once
@@ -60,22 +70,26 @@ def corpus_nodes(
     strip: bool = True,
     globs: Sequence[str] = (),
     selection: DataFrame | None = None,
+    counter: Counter = token_estimate,
 ) -> DataFrame:
     """Written table of nodes: repo, path, is_dir, size, name, depth, selected,
-    ord, block_bytes, line_bytes."""
-    block = render(F.col("path"), F.col("_text"), fmt)
-    facts = {"block_bytes": F.octet_length(block).cast("bigint")}
-    nodes = walk(files, globs, text(strip), facts)
-    if selection is None:
-        nodes = nodes.withColumn("selected", F.lit(True))
-    else:
-        nodes = select_subtree(nodes, selection)
+    ord, block_bytes, tokens, line_bytes."""
+    block = render(F.col("path"), F.col("_text"), fmt, counter)
+    facts = {"block_bytes": F.octet_length(block).cast("bigint"), "tokens": counter(block).cast("bigint")}
+    nodes = selected(walk(files, globs, text(strip), facts), selection)
     line = tree_line(F.col("name"), F.col("depth"), F.col("is_dir"))
     return stage(
         hierarchical_order(nodes).withColumn("line_bytes", F.octet_length(line).cast("bigint"))
     )
 
 
+def selected(nodes: DataFrame, selection: DataFrame | None) -> DataFrame:
+    """Add ``selected``; all nodes without selection rules."""
+    if selection is None:
+        return nodes.withColumn("selected", F.lit(True))
+    return select_subtree(nodes, selection)
+
+
 def tree_bytes(nodes: DataFrame) -> DataFrame:
     """(repo, tree_bytes): size of each repo's tree text."""
     fixed = _bytes(TREE_OPEN) + _bytes(TREE_CLOSE)
@@ -115,6 +129,19 @@ def tree_text(nodes: DataFrame, chunk: int = TREE_CHUNK) -> DataFrame:
     )
 
 
+def part_overhead(nodes: DataFrame, counter: Counter, preamble: str) -> DataFrame:
+    """(repo, overhead): tokens of the tree and of the preamble. The usual counter
+    needs sizes only; another one reads the tree texts, piece by piece."""
+    spark = nodes.sparkSession
+    front = spark.range(1).select(counter(F.lit(preamble)).alias("n")).first()["n"]
+    if counter is token_estimate:
+        return tree_bytes(nodes).select(
+            "repo", (F.shiftright("tree_bytes", 2) + F.lit(front)).cast("bigint").alias("overhead")
+        )
+    trees = tree_text(nodes).groupBy("repo").agg(F.sum(counter(F.col("tree"))).alias("_tree"))
+    return trees.select("repo", (F.col("_tree") + F.lit(front)).cast("bigint").alias("overhead"))
+
+
 def pack(
     files: DataFrame,
     max_tokens: int = 0,
@@ -123,28 +150,55 @@ def pack(
     globs: Sequence[str] = (),
     selection: DataFrame | None = None,
     chunk: int = CHUNK,
+    counter: Counter = token_estimate,
+    preamble: str = PREAMBLE,
 ) -> Packed:
-    nodes = corpus_nodes(files, fmt, strip, globs, selection)
-    blocks = nodes.filter("selected and not is_dir").select(
-        "repo", "ord", F.shiftright("block_bytes", 2).alias("tokens")
-    )
-    overhead = tree_bytes(nodes).select(
-        "repo", (F.shiftright("tree_bytes", 2) + _bytes(PREAMBLE) // 4).alias("overhead")
-    )
-    parts = pack_parts(blocks, overhead, max_tokens, chunk).join(
-        nodes.select("repo", "ord", "path", "block_bytes"), ["repo", "ord"]
-    )
-    return Packed(files, nodes, stage(parts), fmt, strip)
+    """Pack ``files`` (repo, path, content) into parts of ``max_tokens`` tokens, as
+    ``counter`` counts them; 0 sets no limit."""
+    with staged_paths() as paths:
+        nodes = corpus_nodes(files, fmt, strip, globs, selection, counter)
+        blocks = nodes.filter("selected and not is_dir").select("repo", "ord", "tokens")
+        overhead = stage(part_overhead(nodes, counter, preamble))
+        parts = pack_parts(blocks, overhead, max_tokens, chunk).join(
+            nodes.select("repo", "ord", "path", "block_bytes"), ["repo", "ord"]
+        )
+        parts = stage(parts)
+    return Packed(files, nodes, parts, overhead, fmt, strip, tuple(globs), counter, preamble, paths)
+
+
+def packed_files(packed: Packed) -> DataFrame:
+    """The rows of the files that were packed: kept, selected, no binaries."""
+    rows = kept_files(packed.files, packed.globs)
+    chosen = packed.parts.select("repo", "path")
+    return lookup_join(rows, chosen, ["repo", "path"], "left_semi")
 
 
 def part_summary(packed: Packed) -> DataFrame:
-    """(repo, part, n_files, bytes, tokens) of every part text, from sizes alone."""
+    """(repo, part, n_files, bytes, tokens) of every part text, from sizes alone. With a
+    counter of one's own, tokens are those of the tree, the preamble and the blocks."""
     sums = packed.parts.groupBy("repo", "part").agg(
-        F.count("*").alias("n_files"), F.sum("block_bytes").alias("_blocks")
+        F.count("*").alias("n_files"), F.sum("block_bytes").alias("_blocks"), F.sum("tokens").alias("_tokens")
     )
-    size = F.col("_blocks") + F.col("tree_bytes") + _bytes(PREAMBLE)
-    return lookup_join(sums, tree_bytes(packed.nodes), ["repo"]).select(
-        "repo", "part", "n_files", size.alias("bytes"), F.shiftright(size, 2).alias("tokens")
+    size = F.col("_blocks") + F.col("tree_bytes") + _bytes(packed.preamble)
+    estimated = packed.counter is token_estimate
+    tokens = F.shiftright(size, 2) if estimated else F.col("_tokens") + F.col("overhead")
+    repos = tree_bytes(packed.nodes).join(packed.overhead, "repo")
+    return lookup_join(sums, repos, ["repo"]).select(
+        "repo", "part", "n_files", size.alias("bytes"), tokens.alias("tokens")
+    )
+
+
+def pack_totals(packed: Packed) -> DataFrame:
+    """(repo, n_nodes_files, n_files, n_parts, bytes, tokens): all file nodes, packed
+    files, parts, and the sums over the part texts. A repo without a part has zeros."""
+    every = packed.nodes.groupBy("repo").agg(F.count_if(~F.col("is_dir")).alias("all_files"))
+    sums = part_summary(packed).groupBy("repo").agg(
+        F.sum("n_files").alias("n_files"), F.count("*").alias("n_parts"),
+        F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"),
+    )
+    names = ["n_files", "n_parts", "bytes", "tokens"]
+    return every.join(sums, "repo", "left").select(
+        "repo", "all_files", *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in names]
     )
 
 
@@ -183,8 +237,10 @@ def part_body(
     A part is one row unless its tree or its blocks pass the row sizes above;
     then the part is its rows in ``piece`` order.
     """
-    preamble = F.when(F.col("piece") == 0, PREAMBLE).otherwise("")
-    tree = stage(tree_text(packed.nodes, tree_chunk).withColumn("tree", F.concat(preamble, "tree")))
+    preamble = F.when(F.col("piece") == 0, packed.preamble).otherwise("")
+    with staged_paths() as paths:
+        tree = stage(tree_text(packed.nodes, tree_chunk).withColumn("tree", F.concat(preamble, "tree")))
+    packed.staged.extend(paths)
     # The last tree row opens the first block row; earlier ones stand alone.
     last = tree.filter("piece = n_pieces - 1").select("repo", "piece", F.col("tree").alias("_block"))
     early = tree.filter("piece < n_pieces - 1").select("repo", "piece", F.col("tree").alias("body"))
@@ -195,10 +251,14 @@ def part_body(
         "repo", "path", "part", "ord",
         (F.col("_shift") + F.floor(F.col("before") / piece_tokens)).cast("bigint").alias("piece"),
     )
-    rendered = packed.files.withColumn("_text", text(packed.strip)).select(
-        "repo", "path", render(F.col("path"), F.col("_text"), packed.fmt).alias("_block")
+    # Rows that tell by themselves that they aren't packed never meet the join; the
+    # others travel as they are and are stripped and rendered behind it.
+    raw = row_visible(packed.files, packed.globs).select("repo", "path", "content")
+    met = raw.join(places, ["repo", "path"]).withColumn("_text", text(packed.strip))
+    blocks = met.select(
+        "repo", "part", "piece", "ord",
+        render(F.col("path"), F.col("_text"), packed.fmt, packed.counter).alias("_block"),
     )
-    blocks = places.join(rendered, ["repo", "path"]).drop("path")
     # As rows of their own, trees take part in the last shuffle only.
     trees = lookup_join(parts, last, ["repo"]).withColumn("ord", F.lit(0).cast("bigint"))
     bodies = (
@@ -211,6 +271,16 @@ def part_body(
     )
 
 
+def named_parts(packed: Packed, base: str, ext: str, **pieces) -> DataFrame:
+    """(repo, part, part_name, piece, body): every part text under its output name,
+    with the marker in front of its first piece."""
+    names = part_names(packed, base, ext).select("repo", "part", "part_name", "marker")
+    body = F.when(F.col("piece") == 0, F.concat("marker", "body")).otherwise(F.col("body"))
+    return lookup_join(part_body(packed, **pieces), names, ["repo", "part"]).select(
+        "repo", "part", "part_name", "piece", body.alias("body")
+    )
+
+
 # Reports ---------------------------------------------------------------------
 
 
@@ -270,8 +340,9 @@ def strip_savings(files: DataFrame) -> DataFrame:
     ).withColumn("saved_pct", F.when(F.col("tokens_before") > 0, F.round(saved, 4)).otherwise(0.0))
 
 
-def token_nodes(files: DataFrame, strip: bool = True) -> DataFrame:
-    """Selected-by-default nodes with ``token_count``, ready for the summaries."""
-    facts = {"token_count": token_estimate(F.col("_text"))}
-    nodes = walk(files, text=text(strip), facts=facts)
-    return nodes.withColumn("selected", F.lit(True))
+def token_nodes(
+    files: DataFrame, strip: bool = True, selection: DataFrame | None = None, counter: Counter = token_estimate
+) -> DataFrame:
+    """Nodes with ``selected`` and ``token_count``, ready for the summaries."""
+    facts = {"token_count": counter(F.col("_text"))}
+    return selected(walk(files, text=text(strip), facts=facts), selection)

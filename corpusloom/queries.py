@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.constants import ENV_LABEL
+from corpusloom.constants import C_EXTENSIONS, ENV_LABEL, HASH_EXTENSIONS, MARKUP_EXTENSIONS
 from corpusloom.functions import paths, text
 from corpusloom.functions.render import render_markdown, render_xml
 from corpusloom.functions.secrets import passes_gate
@@ -19,6 +19,9 @@ from corpusloom.sources import views
 GLOBS = ["*.css", "d?", "logs/*/d1", "d.x", "[a-", "lib*/*"]
 SMALL_GLOBS = ["*.css", "docs/*/d[^0-2]", "[a-"]
 LIMIT = 2_000
+PIECE_TOKENS, TREE_CHUNK = 300, 7  # small, so that trees and parts come as several rows
+PREAMBLE_OF_ONES_OWN = "Files of one repository, in order.\n\n"
+ROOT = "src"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,9 +46,13 @@ def _chat(spark: SparkSession, sf: str) -> DataFrame:
     return views.spark_view(spark, sf, views.CHAT)
 
 
-def _by_family(extensions: list[str]) -> Query:
+def _by_family(extensions: list[str] | None = None) -> Query:
+    """Stripped files with these extensions, or all files."""
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        files = _files(spark, sf).filter(paths.extension(F.col("path")).isin(extensions))
+        files = _files(spark, sf)
+        if extensions:
+            files = files.filter(paths.extension(F.col("path")).isin(extensions))
         return files.select("repo", "path", plan.text(True).alias("stripped"))
 
     return run
@@ -152,7 +159,7 @@ def _selection(spark, sf):
 def path_parts(spark, sf):
     return _tree(spark, sf).unionByName(_pages(spark, sf)).select(
         "repo",
-        paths.relative_path(F.col("path")).alias("path"),
+        paths.relative_path(F.col("path"), F.lit(ROOT)).alias("path"),
         paths.name(F.col("path")).alias("name"),
         paths.depth(F.col("path")).alias("depth"),
         paths.extension(F.col("path")).alias("ext"),
@@ -193,6 +200,12 @@ def hier_order(spark, sf):
     )
 
 
+def hier_order_ranges(spark, sf):
+    """The same order by ranges, as for repos too large for a window."""
+    nodes = tree.hierarchical_order(tree.tree_nodes(_tree(spark, sf)), window_rows=5)
+    return nodes.select("repo", "path", "is_dir", F.col("ord").cast("bigint").alias("ord"))
+
+
 def pack_parts(spark, sf):
     return plan.pack(_tree(spark, sf), LIMIT).parts.select("repo", "path", "tokens", "part")
 
@@ -202,6 +215,33 @@ def pack_parts_large(spark, sf):
     return packed.parts.select("repo", "path", "tokens", "part")
 
 
+def pack_parts_unlimited(spark, sf):
+    packed = plan.pack(_tree(spark, sf), chunk=16)
+    return packed.parts.select("repo", "path", "tokens", "part", "before")
+
+
+def pack_parts_selected(spark, sf):
+    packed = plan.pack(_tree(spark, sf), LIMIT, selection=_selection(spark, sf))
+    return packed.parts.select("repo", "path", "tokens", "part")
+
+
+def count_words(column):
+    return F.regexp_count(column, F.lit("[^ \n]+")).cast("bigint")
+
+
+def pack_parts_counter(spark, sf):
+    packed = plan.pack(_tree(spark, sf), LIMIT, counter=count_words, preamble=PREAMBLE_OF_ONES_OWN)
+    return packed.parts.select("repo", "path", "tokens", "part")
+
+
+def pack_totals(spark, sf):
+    return plan.pack_totals(plan.pack(_tree(spark, sf), LIMIT, selection=_selection(spark, sf)))
+
+
+def named_parts(spark, sf):
+    return plan.named_parts(plan.pack(_tree(spark, sf), LIMIT), "out", ".md")
+
+
 def latest_block(spark, sf):
     blocks = unpacking.safe_blocks(unpacking.unpack(_responses(spark, sf)))
     return unpacking.latest_block(blocks, ["repo", "resp_id", "clean_path"], ["block_ord"]).select(
@@ -214,7 +254,7 @@ def latest_block(spark, sf):
 
 def strip_markup(spark, sf):
     files = _files(spark, sf).unionByName(_pages(spark, sf))
-    return files.filter(paths.extension(F.col("path")).isin(".html", ".xml", ".svg")).select(
+    return files.filter(paths.extension(F.col("path")).isin(MARKUP_EXTENSIONS)).select(
         "repo", "path", plan.text(True).alias("stripped")
     )
 
@@ -261,17 +301,35 @@ def part_body(spark, sf):
     return plan.part_body(plan.pack(_tree(spark, sf), LIMIT))
 
 
+def tree_diagram_pieces(spark, sf):
+    nodes = plan.corpus_nodes(_tree(spark, sf), selection=_selection(spark, sf))
+    return plan.tree_text(nodes, TREE_CHUNK).select("repo", "piece", "n_pieces", "tree")
+
+
+def part_body_pieces(spark, sf):
+    return plan.part_body(plan.pack(_tree(spark, sf), LIMIT), PIECE_TOKENS, TREE_CHUNK)
+
+
 # Reports ----------------------------------------------------------------------
 
 
 def corpus_summary(spark, sf):
-    return plan.corpus_summary(plan.token_nodes(_tree(spark, sf)))
+    return plan.corpus_summary(plan.token_nodes(_tree(spark, sf), selection=_selection(spark, sf)))
 
 
 def context_fit(spark, sf):
     return plan.context_fit(corpus_summary(spark, sf)).select("repo", "selected_tokens", "fit")
 
 
+def secret_findings_packed(spark, sf):
+    packed = plan.pack(_tree(spark, sf), LIMIT, selection=_selection(spark, sf))
+    return plan.secret_findings(plan.packed_files(packed))
+
+
+def secret_flag(spark, sf):
+    return plan.with_secret_flag(_files(spark, sf)).select("repo", "path", "has_secret")
+
+
 def secret_rollup(spark, sf):
     return plan.secret_rollup(plan.secret_findings(_files(spark, sf)))
 
@@ -339,13 +397,19 @@ _QUERIES: dict[str, Query] = {
     "compact_number": compact_number,
     "path_safety": path_safety,
     "hier_order": hier_order,
+    "hier_order_ranges": hier_order_ranges,
     "pack_parts": pack_parts,
     "pack_parts_large": pack_parts_large,
+    "pack_parts_unlimited": pack_parts_unlimited,
+    "pack_parts_selected": pack_parts_selected,
+    "pack_parts_counter": pack_parts_counter,
+    "pack_totals": pack_totals,
+    "named_parts": named_parts,
     "latest_block": latest_block,
-    "strip_c": _by_family([".go", ".js", ".ts", ".css", ".java"]),
-    "strip_hash": _by_family([".py", ".sh", ".yaml"]),
+    "strip_c": _by_family(C_EXTENSIONS),
+    "strip_hash": _by_family(HASH_EXTENSIONS),
     "strip_markup": strip_markup,
-    "blank_collapse": _by_family([".md", ".txt", ".env", ""]),
+    "blank_collapse": _by_family(),
     "line_split": line_split,
     "token_estimate": token_estimate,
     "secret_findings": secret_findings,
@@ -354,6 +418,10 @@ _QUERIES: dict[str, Query] = {
     "render_md": render_md_q,
     "tree_diagram": tree_diagram,
     "part_body": part_body,
+    "tree_diagram_pieces": tree_diagram_pieces,
+    "part_body_pieces": part_body_pieces,
+    "secret_findings_packed": secret_findings_packed,
+    "secret_flag": secret_flag,
     "corpus_summary": corpus_summary,
     "context_fit": context_fit,
     "secret_rollup": secret_rollup,
