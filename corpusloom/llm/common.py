@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_BYTES = 1 << 20  # text handled at once inside a task
+HASHED_BYTES = 1 << 18  # text whose words are hashed at once
 SHARD_BYTES = 32 << 20  # input bytes behind one shard of an index
 
 
@@ -133,15 +134,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, per_row = word_starts(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, per_row
-    sizes = np.diff(np.concatenate((starts, [len(data)])))
-    place = np.arange(len(data), dtype=np.int64)
-    place[: starts[0]] = 0
-    place[starts[0] :] -= np.repeat(starts, sizes)
     codes = byte_codes()
     codes[SPACES] = 0
-    with np.errstate(over="ignore"):
-        value = codes[LOWER[data]] * powers(int(sizes.max()) + int(starts[0]) + 1)[place]
-        return mix(np.add.reduceat(value, starts)), starts, per_row
+    # Some words at a time, as every byte takes several 64-bit numbers meanwhile.
+    ends = np.concatenate((starts[1:], [len(data)]))
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), HASHED_BYTES)))
+    out = np.empty(len(starts), np.uint64)
+    for a, b in zip(cuts, np.concatenate((cuts[1:], [len(starts)]))):
+        if a == b:
+            continue
+        sizes = ends[a:b] - starts[a:b]
+        part = data[starts[a] : ends[b - 1]]
+        place = np.arange(len(part)) - np.repeat(starts[a:b] - starts[a], sizes)
+        with np.errstate(over="ignore"):
+            value = codes[LOWER[part]] * powers(int(sizes.max()))[place]
+            out[a:b] = mix(np.add.reduceat(value, starts[a:b] - starts[a]))
+    return out, starts, per_row
 
 
 def shingles(word: np.ndarray, per_row: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
