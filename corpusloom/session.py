@@ -41,7 +41,7 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="corpusloom-")
 
 
-def _is_local(master: str) -> bool:
+def is_local(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
@@ -51,7 +51,7 @@ def staging_root(spark: SparkSession) -> str:
     cluster every executor would write to its own disk and rows would be lost."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        if not _is_local(spark.sparkContext.master):
+        if not is_local(spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = _own_folder()
     return shared.rstrip("/")

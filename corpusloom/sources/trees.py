@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from corpusloom.constants import BINARY_EXTENSIONS
 from corpusloom.functions.globs import custom_ignore, default_ignore
 from corpusloom.functions.paths import extension
-from corpusloom.session import stage
+from corpusloom.session import is_local, stage
 
 # The functions below go to the executors by value; no package has to be there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,8 +32,31 @@ _BATCH_ROWS = 5_000
 _BATCH_BYTES = 32 * 1024 * 1024
 
 
-def _is_uri(root: str) -> bool:
-    return "://" in root
+HEAD_BYTES = 512  # a file with a NUL byte here is a binary and not read further
+
+
+class _Stores:
+    """File-system clients of one task, one per scheme and host. A root without a scheme
+    is a folder of this machine, which only suits a local session."""
+
+    def __init__(self, local: bool):
+        self.local, self.clients = local, {}
+
+    def at(self, path: str):
+        """(client, path for it); no client for a folder of this machine."""
+        if "://" not in path:
+            if not self.local:
+                raise ValueError(f"name the file system of {path!r}, such as file:///, hdfs:// or s3://")
+            return None, path
+        from pyarrow import fs
+
+        scheme, rest = path.split("://", 1)
+        host, _, below = rest.partition("/")
+        if (scheme, host) not in self.clients:
+            # Stores of buckets take the bucket as part of the path, the others don't.
+            self.clients[scheme, host] = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+        client, top = self.clients[scheme, host]
+        return client, f"/{below}" if top in ("", "/") else rest
 
 
 def _local_entries(folder: str) -> Iterator[tuple[str, bool, int]]:
@@ -47,22 +70,21 @@ def _local_entries(folder: str) -> Iterator[tuple[str, bool, int]]:
                 yield entry.name, False, size
 
 
-def _remote_entries(folder: str) -> Iterator[tuple[str, bool, int]]:
+def _remote_entries(store, folder: str) -> Iterator[tuple[str, bool, int]]:
     from pyarrow import fs
 
-    store, base = fs.FileSystem.from_uri(folder)
-    for info in store.get_file_info(fs.FileSelector(base)):
+    for info in store.get_file_info(fs.FileSelector(folder)):
         is_dir = info.type == fs.FileType.Directory
         yield info.base_name, is_dir, 0 if is_dir else info.size
 
 
-def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _list(batches: Iterator[pd.DataFrame], local: bool) -> Iterator[pd.DataFrame]:
     columns = ["repo", "root", "path", "is_dir", "size"]
-    rows = []
+    rows, stores = [], _Stores(local)
     for batch in batches:
         for repo, root, path in zip(batch["repo"], batch["root"], batch["path"]):
-            folder = f"{root}/{path}" if path else root
-            entries = _remote_entries(folder) if _is_uri(root) else _local_entries(folder)
+            store, folder = stores.at(f"{root}/{path}" if path else root)
+            entries = _remote_entries(store, folder) if store else _local_entries(folder)
             for name, is_dir, size in entries:
                 rows.append((repo, root, f"{path}/{name}" if path else name, is_dir, size))
                 if len(rows) >= _BATCH_ROWS:
@@ -71,25 +93,21 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(rows, columns=columns)
 
 
-def _read_one(root: str, path: str) -> bytes:
-    if _is_uri(root):
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(f"{root}/{path}")
-        with store.open_input_stream(base) as stream:
-            return stream.read()
-    with open(f"{root}/{path}", "rb") as stream:
-        return stream.read()
+def _read_one(stores: _Stores, path: str, whole: bool) -> bytes:
+    store, name = stores.at(path)
+    with store.open_input_stream(name) if store else open(name, "rb") as stream:
+        head = stream.read(HEAD_BYTES)
+        return head if not whole and b"\0" in head else head + stream.read()
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pd.DataFrame], local: bool, whole: bool) -> Iterator[pd.DataFrame]:
     columns = ["repo", "path", "size", "content"]
-    rows, held = [], 0
+    rows, held, stores = [], 0, _Stores(local)
     for batch in batches:
         for repo, root, path, size, wanted in zip(
             batch["repo"], batch["root"], batch["path"], batch["size"], batch["wanted"]
         ):
-            content = _read_one(root, path) if wanted else None
+            content = _read_one(stores, f"{root}/{path}", whole) if wanted else None
             rows.append((repo, path, size, content))
             held += len(content or b"")
             if held >= _BATCH_BYTES or len(rows) >= _BATCH_ROWS:
@@ -98,16 +116,18 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(rows, columns=columns)
 
 
-def list_trees(roots: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
+def list_trees(roots: DataFrame, globs: Sequence[str] = (), everything: bool = False) -> DataFrame:
     """Files below every root, from ``roots`` (repo, root): repo, root, path,
-    is_dir, size. Ignored directories are not entered. There is one job per
-    level of the deepest tree, whatever the number of trees."""
+    is_dir, size. Ignored directories are not entered, unless ``everything`` is asked
+    for. There is one job per level of the deepest tree, whatever the number of trees."""
     tasks = roots.sparkSession.sparkContext.defaultParallelism
     hidden: Column = custom_ignore(F.col("path"), list(globs)) | default_ignore(F.col("path"))
+    hidden = F.lit(False) if everything else hidden
+    local = is_local(roots.sparkSession.sparkContext.master)
     frontier = roots.select("repo", F.rtrim("root", F.lit("/")).alias("root"), F.lit("").alias("path"))
     levels = []
     while True:
-        level = stage(frontier.repartition(tasks * 4, "repo", "path").mapInPandas(_list, _ENTRY))
+        level = stage(frontier.repartition(tasks * 4, "repo", "path").mapInPandas(lambda b: _list(b, local), _ENTRY))
         levels.append(level.filter(~F.col("is_dir")))
         frontier = level.filter(F.col("is_dir") & ~hidden).select("repo", "root", "path")
         if frontier.isEmpty():
@@ -118,18 +138,21 @@ def list_trees(roots: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
     return files
 
 
+def _contents(listed: DataFrame, whole: bool) -> DataFrame:
+    spark = listed.sparkSession
+    local = is_local(spark.sparkContext.master)
+    # Spread by path: neighbours in a directory may be far larger than others.
+    return listed.repartition(spark.sparkContext.defaultParallelism * 4, "repo", "path").mapInPandas(
+        lambda batches: _read(batches, local, whole), _FILE
+    )
+
+
 def scan_trees(roots: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
     """Files as (repo, path, size, content binary). Files with a binary extension
-    are listed but not opened; their content is null."""
-    listed = list_trees(roots, globs)
+    are listed but not opened; their content is null. Of a file with a NUL byte among
+    its first 512 bytes the content is these, which marks it as a binary."""
     wanted = ~extension(F.col("path")).isin(BINARY_EXTENSIONS)
-    tasks = roots.sparkSession.sparkContext.defaultParallelism
-    # Spread by path: neighbours in a directory may be far larger than others.
-    return (
-        listed.withColumn("wanted", wanted)
-        .repartition(tasks * 4, "repo", "path")
-        .mapInPandas(_read, _FILE)
-    )
+    return _contents(list_trees(roots, globs).withColumn("wanted", wanted), whole=False)
 
 
 def as_text(files: DataFrame) -> DataFrame:
@@ -144,17 +167,19 @@ def as_text(files: DataFrame) -> DataFrame:
 
 
 def read_responses(spark: SparkSession, path: str, repo: str) -> DataFrame:
-    """Response files as (repo, resp_id, body), one row per file."""
-    return spark.read.text(path, wholetext=True).select(
-        F.lit(repo).alias("repo"),
-        F.col("_metadata.file_name").alias("resp_id"),
-        F.col("value").alias("body"),
+    """Response files as (repo, resp_id, body), one row per file, hidden and nested ones
+    too. ``resp_id`` is the path below ``path``."""
+    roots = spark.createDataFrame([(repo, path)], "repo string, root string")
+    listed = list_trees(roots, everything=True).withColumn("wanted", F.lit(True))
+    return _contents(listed, whole=True).select(
+        "repo", F.col("path").alias("resp_id"), F.col("content").cast("string").alias("body")
     )
 
 
 def write_parts(parts: DataFrame, path: str) -> None:
-    """Part rows, one folder per repo; ``path`` must not exist yet."""
-    parts.write.partitionBy("repo").parquet(path)
+    """Part rows in files by range of (repo, part); ``path`` must not exist yet. Rows
+    of ``named_parts`` carry their output name and marker with them."""
+    parts.repartitionByRange("repo", "part").write.parquet(path)
 
 
 def write_snapshot(snapshot: DataFrame, path: str) -> None:

@@ -1,7 +1,8 @@
 """Stateless steps for Structured Streaming.
 
 Ordering and packing need all files of a repo, so they stay batch jobs; what can
-be said about one row alone is the same expression on a stream.
+be said about one row alone is the same expression on a stream. ``unpack`` works on a
+stream as it is.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from corpusloom.functions.render import render
 from corpusloom.functions.secrets import secret_labels
 from corpusloom.functions.strip import strip_comments
 from corpusloom.functions.text import token_estimate
-from corpusloom.operators.unpacking import unpack
 
 
 def stream_blocks(
@@ -40,8 +40,3 @@ def stream_blocks(
             secret_labels(content, path).alias("findings"),
         )
     )
-
-
-def stream_unpack(responses: DataFrame, fmt: str = "auto") -> DataFrame:
-    """Blocks of each response as it arrives; see ``unpack``."""
-    return unpack(responses, fmt)

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +131,22 @@ def test_reports(files):
     assert tuple(fit) == (0.0, 1.0)
     saved = plan.strip_savings(files).filter("repo = 'q'").first()
     assert saved.saved_pct == 0.0
+
+
+@pytest.mark.parametrize("factor", [1, 50])
+def test_steps_stay_bounded_when_a_repo_fits_one_part(factor):
+    """64 full chunks composed, for a limit at and far above the repo's total."""
+    rng = random.Random(2)
+    chunks = [[rng.randint(1, 200) for _ in range(packing.CHUNK)] for _ in range(packing.FAN)]
+    total, reach, frames = sum(map(sum, chunks)), 0, []
+    for number, tokens in enumerate(chunks):
+        frames.append(packing._chunk_steps("r", number, total * factor, reach, np.array(tokens)))
+        reach += sum(tokens)
+    steps = packing._compose(pd.concat(frames), packing.FAN)
+    assert sum(map(len, frames)) < 2 * packing.CHUNK and len(steps) < 2 * packing.CHUNK
+    # A full part in between: the steps still give the sequential walk.
+    room = total // 3
+    frames = [packing._chunk_steps("r", n, room, sum(map(sum, chunks[:n])), np.array(t)) for n, t in enumerate(chunks[:4])]
+    composed = packing._functions(packing._compose(pd.concat(frames), 4))[0][1]
+    walked = models.next_fit([t for c in chunks[:4] for t in c], room)
+    assert packing._at(composed, np.array([-1]))[0][1] + 1 == walked[-1][0]

@@ -1,14 +1,16 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import session
 from corpusloom.constants import ENV_LABEL
 from corpusloom.operators import unpacking
 from corpusloom.plans import pack as plan
 from corpusloom.plans.unpack import roundtrip_report, unpack_into
 from corpusloom.sources import trees
-from corpusloom.streaming.rows import stream_blocks, stream_unpack
+from corpusloom.streaming.rows import stream_blocks
 
 
 def write(root, files):
@@ -192,8 +194,101 @@ def test_apply(spark, responses):
 
 def test_read_responses(spark, tmp_path):
     write(tmp_path, {"one.txt": XML.encode(), "two.txt": MARKDOWN.encode()})
-    read = trees.read_responses(spark, str(tmp_path), "r")
-    assert {r.resp_id for r in unpacking.unpack(read).collect()} == {"one.txt", "two.txt"}
+    write(tmp_path, {"deep/one.txt": XML.encode(), "_x/.hidden": XML.encode(), "node_modules/z": b"\0 no block"})
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        read = trees.read_responses(spark, root, "r")
+        assert {r.resp_id for r in read.collect()} == {"one.txt", "two.txt", "deep/one.txt", "_x/.hidden", "node_modules/z"}
+        assert {r.resp_id for r in unpacking.unpack(read).collect()} == {"one.txt", "two.txt", "deep/one.txt", "_x/.hidden"}
+
+
+def test_binaries_are_read_to_their_head_only(spark, tmp_path):
+    write(tmp_path, {"big.dat": b"\0" + b"x" * 3_000_000, "text.dat": b"y" * 511 + b"z\0", "late.dat": b"y" * 512 + b"\0"})
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        roots = spark.createDataFrame([("r", root)], "repo string, root string")
+        got = {r.path: (len(r.content), r.size) for r in trees.scan_trees(roots).collect()}
+        assert got == {"big.dat": (512, 3_000_001), "text.dat": (513, 513), "late.dat": (513, 513)}
+
+
+def test_roots_without_a_scheme_need_a_local_session():
+    with pytest.raises(ValueError, match="name the file system"):
+        trees._Stores(local=False).at("/data/repo")
+    assert trees._Stores(local=False).at("file:///data/repo/x")[1] == "/data/repo/x"
+
+
+def test_parts_keep_their_repo_and_names(spark, tmp_path):
+    files = spark.createDataFrame(
+        [("007", f"f{i}.md", "some text " * 20) for i in range(6)], "repo string, path string, content string"
+    )
+    packed = plan.pack(files, 150)
+    rows = plan.named_parts(packed, "out", ".md")
+    trees.write_parts(rows, str(tmp_path / "parts"))
+    again = spark.read.parquet(str(tmp_path / "parts")).orderBy("part").collect()
+    assert {r.repo for r in again} == {"007"}
+    assert [r.part_name for r in again] == [f"out_part{i}.md" for i in range(1, len(again) + 1)]
+    assert all(r.body.startswith(f"=== PART {r.part} of {len(again)} ===\nBelow is") for r in again)
+    paths = list(packed.staged)
+    assert paths and all(os.path.isdir(p) for p in paths)
+    packed.close()
+    assert not any(os.path.exists(p) for p in paths) and packed.staged == []
+
+
+def test_snapshot_is_written_and_not_shuffled(spark, responses, tmp_path):
+    spark.createDataFrame(
+        [("r", "a.txt", "old"), ("q", "b", "mine")], "repo string, path string, content string"
+    ).write.parquet(str(tmp_path / "old"))
+    snapshot = spark.read.parquet(str(tmp_path / "old"))
+    result = unpack_into(snapshot, responses.filter("resp_id < 3"))
+    trees.write_snapshot(result, str(tmp_path / "new"))
+    again = {(r.repo, r.path): r.content for r in spark.read.parquet(str(tmp_path / "new")).collect()}
+    assert again["r", "a.txt"] == "again" and again["q", "b"] == "mine" and len(again) == 5
+    plan_text = result._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan_text and "strategy=broadcast" in plan_text
+
+
+def test_searches_are_linear(spark):
+    texts = [
+        ("a.html", "<!--" * 250_000), ("b.html", "x <!-- a --> y\n" + "<!-->" * 200_000), ("c.html", "-->" * 300_000),
+        ("k1", "aws_secret" * 100_000), ("k2", "password" * 125_000), ("k3", "token" + " " * 1_000_000),
+    ]
+    files = spark.createDataFrame([("r", p, c) for p, c in texts], "repo string, path string, content string")
+    started = time.time()
+    assert files.select(F.sum(F.length(plan.text(True)))).first()[0] > 0
+    assert plan.secret_findings(files, strict=True).collect() == []
+    assert time.time() - started < 30
+    end = spark.createDataFrame([("r", "s", "aws_secret" * 50_000 + "=" + "d/" * 20)], files.schema)
+    assert [r.rule for r in plan.secret_findings(end).collect()] == ["AWS Secret Access Key"]
+
+
+def test_findings_of_what_is_packed(spark):
+    secret_text = "password = '" + "x1" * 8 + "'"
+    files = spark.createDataFrame(
+        [("r", p, secret_text) for p in ("a.py", "node_modules/i.js", "logo.png", "off/b.py")] + [("r", "c.go", "x")],
+        "repo string, path string, content string",
+    )
+    rules = spark.createDataFrame([("r", 1, "off", False)], "repo string, seq int, path string, selected boolean")
+    packed = plan.pack(files, selection=rules)
+    assert [r.path for r in plan.secret_findings(plan.packed_files(packed)).collect()] == ["a.py"]
+    totals = plan.pack_totals(packed).first()
+    assert (totals.all_files, totals.n_files, totals.n_parts) == (3, 2, 1)
+
+
+def test_staging_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.staging_root(Session)
+    Context.getCheckpointDir = lambda self: "hdfs://shared/x/"
+    assert session.staging_root(Session) == "hdfs://shared/x"
 
 
 def test_roundtrip(spark):
@@ -232,4 +327,4 @@ def test_streams(spark, tmp_path, responses):
     assert got["a.go"].block == "## File: a.go (Size: 0.00 KB | Tokens: 0)\n```go\nx \n```\n\n"
     assert got[".env"].findings == [ENV_LABEL, "Generic API Key/Secret"]
     batch = sorted(tuple(r) for r in unpacking.unpack(responses).collect())
-    assert sorted(tuple(r) for r in run("s_unpack", "responses", responses.schema, stream_unpack)) == batch
+    assert sorted(tuple(r) for r in run("s_unpack", "responses", responses.schema, unpacking.unpack)) == batch
