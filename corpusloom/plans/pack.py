@@ -132,14 +132,13 @@ def tree_text(nodes: DataFrame, chunk: int = TREE_CHUNK) -> DataFrame:
 def part_overhead(nodes: DataFrame, counter: Counter, preamble: str) -> DataFrame:
     """(repo, overhead): tokens of the tree and of the preamble. The usual counter
     needs sizes only; another one reads the tree texts, piece by piece."""
-    spark = nodes.sparkSession
-    front = spark.range(1).select(counter(F.lit(preamble)).alias("n")).first()["n"]
+    front = counter(F.lit(preamble))
     if counter is token_estimate:
         return tree_bytes(nodes).select(
-            "repo", (F.shiftright("tree_bytes", 2) + F.lit(front)).cast("bigint").alias("overhead")
+            "repo", (F.shiftright("tree_bytes", 2) + front).cast("bigint").alias("overhead")
         )
     trees = tree_text(nodes).groupBy("repo").agg(F.sum(counter(F.col("tree"))).alias("_tree"))
-    return trees.select("repo", (F.col("_tree") + F.lit(front)).cast("bigint").alias("overhead"))
+    return trees.select("repo", (F.col("_tree") + front).cast("bigint").alias("overhead"))
 
 
 def pack(
