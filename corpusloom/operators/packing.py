@@ -248,15 +248,19 @@ def pack_parts(
         )
     )
     bags = stage(bags)
-    earlier = Window.partitionBy("repo").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    # Rows of chunks, without their blocks.
-    reach = bags.select("repo", "chunk", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("reach"))
-    repos = bags.groupBy("repo").agg(F.max("chunk").alias("last_chunk"))
-    last_chunk = bags.agg(F.max("chunk")).first()[0] or 0
-    facts = repos.join(overhead.select("repo", "overhead"), "repo", "left").select(
-        "repo", "last_chunk", (F.lit(max_tokens).cast("bigint") - F.coalesce("overhead", F.lit(0))).alias("room")
+    repo = Window.partitionBy("repo")
+    earlier = repo.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per chunk, without its blocks: tokens before it, and its repo's last chunk.
+    facts = bags.select(
+        "repo", "chunk", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("reach"),
+        F.max("chunk").over(repo).alias("last_chunk"),
     )
-    bags = lookup_join(bags.join(reach, ["repo", "chunk"]).drop("sum"), facts, ["repo"])
+    room = F.lit(max_tokens).cast("bigint") - F.coalesce("overhead", F.lit(0))
+    facts = stage(
+        lookup_join(facts, overhead.select("repo", "overhead"), ["repo"]).withColumn("room", room).drop("overhead")
+    )
+    last_chunk = facts.agg(F.max("last_chunk")).first()[0] or 0
+    bags = bags.drop("sum").join(facts, ["repo", "chunk"])
     # used = -1 marks a part without a block.
     given = _entries(bags, last_chunk, fan).withColumnRenamed("id", "chunk")
     bags = bags.join(given, ["repo", "chunk"], "left")

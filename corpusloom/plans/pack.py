@@ -76,7 +76,8 @@ def corpus_nodes(
     ord, block_bytes, tokens, line_bytes."""
     block = render(F.col("path"), F.col("_text"), fmt, counter)
     facts = {"block_bytes": F.octet_length(block).cast("bigint"), "tokens": counter(block).cast("bigint")}
-    nodes = selected(walk(files, globs, text(strip), facts), selection)
+    # Written before they are numbered, as numbering counts them first.
+    nodes = stage(selected(walk(files, globs, text(strip), facts), selection))
     line = tree_line(F.col("name"), F.col("depth"), F.col("is_dir"))
     return stage(
         hierarchical_order(nodes).withColumn("line_bytes", F.octet_length(line).cast("bigint"))
