@@ -128,6 +128,17 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
 
 
+def word_groups(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut words into groups of about ``HASHED_BYTES``: first word, end, the bytes from
+    the first one on and where each word starts in them. Every byte takes several 64-bit
+    numbers while it is hashed, so this bounds the memory of a long text."""
+    ends = np.concatenate((starts[1:], [len(data)]))
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), HASHED_BYTES)))
+    for a, b in zip(cuts, np.concatenate((cuts[1:], [len(starts)]))):
+        if a < b:
+            yield a, b, data[starts[a] : ends[b - 1]], starts[a:b] - starts[a]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words between ASCII white space, with A-Z lower-cased: 64-bit hash of each,
     its first byte, and how many words each row has."""
@@ -136,19 +147,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.uint64), starts, per_row
     codes = byte_codes()
     codes[SPACES] = 0
-    # Some words at a time, as every byte takes several 64-bit numbers meanwhile.
-    ends = np.concatenate((starts[1:], [len(data)]))
-    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), HASHED_BYTES)))
     out = np.empty(len(starts), np.uint64)
-    for a, b in zip(cuts, np.concatenate((cuts[1:], [len(starts)]))):
-        if a == b:
-            continue
-        sizes = ends[a:b] - starts[a:b]
-        part = data[starts[a] : ends[b - 1]]
-        place = np.arange(len(part)) - np.repeat(starts[a:b] - starts[a], sizes)
+    for a, b, part, at in word_groups(data, starts):
+        sizes = np.diff(np.concatenate((at, [len(part)])))
+        place = np.arange(len(part)) - np.repeat(at, sizes)
         with np.errstate(over="ignore"):
-            value = codes[LOWER[part]] * powers(int(sizes.max()))[place]
-            out[a:b] = mix(np.add.reduceat(value, starts[a:b] - starts[a]))
+            out[a:b] = mix(np.add.reduceat(codes[LOWER[part]] * powers(int(sizes.max()))[place], at))
     return out, starts, per_row
 
 

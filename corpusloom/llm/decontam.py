@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, SPACES, by_value, byte_codes, chunks, mix, powers, table, text_bytes, word_starts
+from corpusloom.llm.common import LOWER, SPACES, by_value, byte_codes, chunks, mix, powers, table, text_bytes, word_groups, word_starts
 from corpusloom.session import fits_broadcast
 
 by_value(__name__)
@@ -53,21 +53,19 @@ NUMBER, QUANTITY, UNIT, NAME = (mix(np.array([k], np.uint64))[0] for k in (101,
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of the letters and digits of each word, their number and that of digits."""
-    core = _CORE[data]
-    before = np.cumsum(core) - core
-    sizes = np.diff(np.concatenate((starts, [len(data)])))
-    place = before[starts[0] :] - np.repeat(before[starts], sizes)
-    part = data[starts[0] :]
     codes = byte_codes(3)
     codes[~_CORE] = 0
-    with np.errstate(over="ignore"):
-        value = codes[LOWER[part]] * powers(int(place.max()) + 1)[place]
-        at = starts - starts[0]
-        return (
-            mix(np.add.reduceat(value, at)),
-            np.add.reduceat(core[starts[0] :].astype(np.int64), at),
-            np.add.reduceat(_DIGIT[part].astype(np.int64), at),
-        )
+    value = np.empty(len(starts), np.uint64)
+    n_core, n_digit = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+    for a, b, part, at in word_groups(data, starts):
+        core = _CORE[part]
+        before = np.cumsum(core) - core
+        place = before - np.repeat(before[at], np.diff(np.concatenate((at, [len(part)]))))
+        with np.errstate(over="ignore"):
+            value[a:b] = mix(np.add.reduceat(codes[LOWER[part]] * powers(int(place.max()) + 1)[place], at))
+        n_core[a:b] = np.add.reduceat(core, at, dtype=np.int64)
+        n_digit[a:b] = np.add.reduceat(_DIGIT[part], at, dtype=np.int64)
+    return value, n_core, n_digit
 
 
 def _unit_hashes() -> np.ndarray:
