@@ -19,4 +19,5 @@ QUERIES = {
 ORACLE = {
     "op1_linededup": linededup.OP1_SQL,
     "op7_warc": warc.OP7_SQL,
+    "op10_jaccard": jaccard.OP10_SQL,
 }

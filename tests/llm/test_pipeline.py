@@ -7,7 +7,7 @@ import corpus_pipeline
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op1_linededup", "op7_warc"])
+@pytest.mark.parametrize("name", ["op1_linededup", "op7_warc", "op10_jaccard"])
 def test_query_against_sql(spark, name):
     connection = duckdb.connect()
     for table in ("documents", "pages"):
