@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.automaton import rewrite
 from corpusloom.functions.paths import clean_path, path_status
 from corpusloom.functions.text import WS, WS_LINE, cdata_restore, let, preceded
-from corpusloom.session import built_once, lookup_join
+from corpusloom.session import built_once, lookup_join, stage
 
 _SPACE = r"\t\n\f\r "
 _FILE_TAG = rf"<file[{_SPACE}]+path=[\"']([^\"']+)[\"'][^>]*>"
@@ -161,8 +161,11 @@ def latest_block(blocks: DataFrame, keys: Sequence[str], order: Sequence[str]) -
 def apply_blocks(snapshot: DataFrame, blocks: DataFrame) -> DataFrame:
     """Write blocks (repo, clean_path, content; one per path) over a snapshot
     (repo, path, content). Adds ``change``: added, replaced, same or kept."""
-    new = blocks.select(
-        "repo", F.col("clean_path").alias("path"), F.col("content").alias("_new"), F.lit(True).alias("_block")
+    # Written once, as they are measured, looked up and told from the snapshot's keys.
+    new = stage(
+        blocks.select(
+            "repo", F.col("clean_path").alias("path"), F.col("content").alias("_new"), F.lit(True).alias("_block")
+        )
     )
     # Blocks are looked up, so the snapshot's content isn't shuffled where they fit.
     old = lookup_join(snapshot.select("repo", "path", "content"), new, ["repo", "path"]).select(
