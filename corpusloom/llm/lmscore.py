@@ -5,12 +5,18 @@ these conditional log-probabilities is the document's score. The network is nump
 embeddings, one tanh layer, and a softmax in two steps (the token's group, then the token
 in the group).
 
-The vocabulary is the most frequent words, counted over all documents; other words share
-tokens by their last two bytes. Training goes over all documents in ``ROUNDS`` rounds: each
-task starts from the common parameters, learns from every ``STRIDE``-th token of its
-documents and sends its parameters; their mean, weighted by tokens, starts the next round.
-So what is learned from grows with the corpus, and what any place gathers does not: the
-mean is taken per parameter by a plain aggregation.
+The network's tokens are the most frequent words, counted over all documents; other words
+share tokens by their last two bytes, A-Z lower-cased. With ``whole_words`` (the query) such
+a word's probability is that of its token times its share of the token, by the counts of all
+words of the corpus, so all words are told apart and their number grows with the corpus.
+The counts are never gathered: words meet by their hash, and only sums go back to a document.
+Without it a score is that of the tokens.
+
+Training goes over all documents in ``ROUNDS`` rounds: each task starts from the common
+parameters, learns from the tokens of its documents whose turn it is and sends its
+parameters; their mean, weighted by tokens, starts the next round. Every token has its turn
+in one of the rounds. So what is learned from grows with the corpus, and what any place
+gathers does not: the mean is taken per parameter by a plain aggregation.
 
 Defined results: a null or empty text, or one without words, has 0 tokens, log-probability 0
 and no mean. Repeated rows and ids are scored each. Sums of floats depend on their order,
@@ -24,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACES, by_value, chunks, mix, shard_count, table, text_bytes, words
+from corpusloom.llm.common import LOWER, SPACES, by_value, chunks, mix, shard_count, table, text_bytes, words
+from corpusloom.session import stage
 
 by_value(__name__)
 
@@ -34,7 +41,7 @@ VOCABULARY = GROUPS * GROUP_SIZE
 ENDINGS = 64  # tokens for words outside the vocabulary
 PAD = VOCABULARY  # beyond the document
 EMBEDDING, HIDDEN = 16, 32
-STRIDE, BATCH, RATE = 16, 512, 4e-3
+BATCH, RATE = 512, 4e-3
 ROUNDS = 2
 
 SHAPES = {
@@ -46,53 +53,89 @@ SHAPES = {
 # Vocabulary ------------------------------------------------------------------
 
 
+def _by_shard(key: np.ndarray, shards: int, *values: np.ndarray) -> list[tuple]:
+    """(shard, keys, values ...) as bytes, one row per shard of the keys."""
+    shard = (mix(key) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    shard, columns = shard[order], [x[order] for x in (key, *values)]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
+    return [(int(shard[a]), *(x[a:b].tobytes() for x in columns)) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def _counts(batches, shards: int):
     for batch in chunks(batches):
-        word, _, _ = words(*text_bytes(batch.column(1)))
+        data, offsets = text_bytes(batch.column(1))
+        word, starts, _ = words(data, offsets)
         if not len(word):
             continue
-        key, n = np.unique(word, return_counts=True)
-        shard = (mix(key) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        key, n, shard = key[order], n[order].astype(np.uint32), shard[order]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
-        rows = [(int(shard[a]), key[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-        kinds = (pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["shard", "keys", "counts"])
+        key, first, n = np.unique(word, return_index=True, return_counts=True)
+        rows = _by_shard(key, shards, n.astype(np.uint32), _endings(data, starts)[first].astype(np.uint8))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["shard", "keys", "counts", "endings"])
+
+
+def _joined(rows: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
 
 
 def _most_frequent(rows: pa.Table) -> pa.Table:
-    key = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint64)
-    n = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32).astype(np.int64)
+    """The shard's most frequent words, and without a word the count of each ending."""
+    key, ending = _joined(rows, "keys", np.uint64), _joined(rows, "endings", np.uint8)
+    n = _joined(rows, "counts", np.uint32).astype(np.int64)
     order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
+    key, n, ending = key[order], n[order], ending[order]
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    key, n = key[starts].view(np.int64), np.add.reduceat(n, starts)
+    key, n, ending = key[starts].view(np.int64), np.add.reduceat(n, starts), ending[starts]
+    total = np.zeros(ENDINGS, np.int64)
+    np.add.at(total, ending, n)
     top = np.lexsort((key, -n))[:VOCABULARY]
-    return pa.table({"word": pa.array(key[top]), "n": pa.array(n[top])})
+    return pa.table({
+        "word": pa.array(np.concatenate((key[top], np.zeros(ENDINGS, np.int64))), mask=np.arange(len(top) + ENDINGS) >= len(top)),
+        "n": pa.array(np.concatenate((n[top], total))),
+        "ending": pa.array(np.concatenate((ending[top], np.arange(ENDINGS))).astype(np.int32)),
+    })
 
 
-def vocabulary(documents: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words, most frequent first. A word is counted in one
-    shard, so the shards' most frequent words hold those of the corpus."""
+def counted_vocabulary(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent words, most frequent first, and how many of the other
+    words have each ending. A word is counted in one shard, so the shards' most frequent
+    words hold those of the corpus."""
     shards = shard_count(documents)
-    counted = documents.mapInArrow(lambda b: _counts(b, shards), "shard int, keys binary, counts binary")
-    best = counted.groupBy("shard").applyInArrow(_most_frequent, "word bigint, n bigint")
-    rows = best.orderBy(F.desc("n"), "word").limit(VOCABULARY - ENDINGS).collect()
-    return np.array([r["word"] for r in rows], np.int64).view(np.uint64)
+    counted = documents.mapInArrow(lambda b: _counts(b, shards), "shard int, keys binary, counts binary, endings binary")
+    best = stage(counted.groupBy("shard").applyInArrow(_most_frequent, "word bigint, n bigint, ending int"))
+    total = np.zeros(ENDINGS, np.int64)
+    for r in best.filter("word is null").groupBy("ending").agg(F.sum("n").alias("n")).collect():
+        total[r["ending"]] = r["n"]
+    rows = best.filter("word is not null").orderBy(F.desc("n"), "word").limit(VOCABULARY - ENDINGS).collect()
+    for r in rows:
+        total[r["ending"]] -= r["n"]
+    return np.array([r["word"] for r in rows], np.int64).view(np.uint64), total
+
+
+def vocabulary(documents: DataFrame) -> np.ndarray:
+    return counted_vocabulary(documents)[0]
+
+
+def _endings(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Number of each word's last two bytes; words of equal hash have the same one."""
+    # A word's bytes are all that isn't white space up to the next word.
+    last = starts + np.add.reduceat(~SPACES[data], starts, dtype=np.int64) - 1
+    before = np.where(last > starts, LOWER[data[last - 1]], 0).astype(np.uint64)
+    return (mix(LOWER[data[last]].astype(np.uint64) * np.uint64(257) + before) % np.uint64(ENDINGS)).astype(np.int64)
 
 
 def tokens(text: pa.Array, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token of every word of the rows in order, and words per row."""
+    token, _, per_row = _tokens_and_words(text, vocab)
+    return token, per_row
+
+
+def _tokens_and_words(text: pa.Array, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = text_bytes(text)
     word, starts, per_row = words(data, offsets)
     if not len(word):
-        return np.zeros(0, np.int64), per_row
-    # A word's bytes are all that isn't white space up to the next word.
-    last = starts + np.add.reduceat(~SPACES[data], starts, dtype=np.int64) - 1
-    before = np.where(last > starts, data[last - 1], 0).astype(np.uint64)
-    ending = mix(data[last].astype(np.uint64) * np.uint64(257) + before) % np.uint64(ENDINGS)
-    token = VOCABULARY - ENDINGS + ending.astype(np.int64)
+        return np.zeros(0, np.int64), word, per_row
+    token = VOCABULARY - ENDINGS + _endings(data, starts)
     if len(vocab):
         # Look words up by their top bits first; few words of a text pass that.
         short = np.zeros(1 << 16, bool)
@@ -103,7 +146,7 @@ def tokens(text: pa.Array, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.minimum(np.searchsorted(known, word[likely]), len(vocab) - 1)
         hit = known[place] == word[likely]
         token[likely[hit]] = order[place[hit]]
-    return token, per_row
+    return token, word, per_row
 
 
 def contexts(token: np.ndarray, per_row: np.ndarray) -> np.ndarray:
@@ -212,7 +255,7 @@ class Trainer:
 # Spark -----------------------------------------------------------------------
 
 
-def _trained(batches, vocab: np.ndarray, start: np.ndarray, number: int):
+def _trained(batches, vocab: np.ndarray, start: np.ndarray, number: int, rounds: int):
     trainer, seen, held = Trainer(unflatten(start)), 0, []
 
     def learn(last: bool) -> None:
@@ -227,8 +270,8 @@ def _trained(batches, vocab: np.ndarray, start: np.ndarray, number: int):
 
     for batch in chunks(batches):
         token, per_row = tokens(batch.column(1), vocab)
-        # Another token of every stride in each round.
-        pick = np.arange(number * (STRIDE // 2) % STRIDE, len(token), STRIDE)
+        # Over the rounds, every token once.
+        pick = np.arange(number, len(token), rounds)
         if len(pick):
             held.append((contexts(token, per_row)[pick], token[pick]))
             seen += len(pick)
@@ -247,7 +290,7 @@ def train(documents: DataFrame, vocab: np.ndarray, rounds: int = ROUNDS) -> dict
     values = flatten(initial())
     for number in range(rounds):
         start = values
-        trained = documents.mapInArrow(lambda b: _trained(b, vocab, start, number), "n double, values array<float>")
+        trained = documents.mapInArrow(lambda b: _trained(b, vocab, start, number, rounds), "n double, values array<float>")
         mean = (
             trained.select("n", F.posexplode("values").alias("at", "value")).groupBy("at")
             .agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("value"))
@@ -273,15 +316,82 @@ def _scored(batches, vocab: np.ndarray, model: dict):
         )
 
 
-def score_documents(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+_PARTS = "at bigint, doc_id bigint, n_tokens bigint, log_prob double, shard int, keys binary, rows binary, counts binary"
+
+
+def _scored_in_parts(batches, vocab: np.ndarray, model: dict, total: np.ndarray, shards: int):
+    """A row for every document, with the score of its tokens and the logarithm of what its
+    words' shares are of, and rows with the words whose counts are missing."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << 40
+    share = np.concatenate((np.zeros(VOCABULARY - ENDINGS), np.log(np.maximum(total, 1))))
+    names = [x.split()[0] for x in _PARTS.split(", ")]
+    for batch in chunks(batches):
+        token, word, per_row = _tokens_and_words(batch.column(1), vocab)
+        n = len(per_row)
+        row = np.repeat(np.arange(n), per_row)
+        score = np.zeros(n)
+        if len(token):
+            each = log_probabilities(model, contexts(token, per_row), token) - share[token]
+            score = np.bincount(row, weights=each, minlength=n)
+        none = [pa.nulls(n, t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at + np.arange(n)), batch.column(0), pa.array(per_row.astype(np.int64)), pa.array(score), *none], names=names
+        )
+        rare = np.flatnonzero(token >= VOCABULARY - ENDINGS)
+        if len(rare):
+            key, place = word[rare], row[rare]
+            order = np.lexsort((key, place))
+            key, place = key[order], place[order]
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1]))))
+            often = np.diff(np.concatenate((first, [len(key)])))
+            found = _by_shard(key[first], shards, place[first].astype(np.uint32), often.astype(np.uint32))
+            shard, *packed = zip(*found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at] * len(found)), *(pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.float64())),
+                 pa.array(shard, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=names,
+            )
+        at += n
+
+
+def _word_counts(rows: pa.Table) -> pa.Table:
+    """What the counts of a shard's words add to each document's score."""
+    key, n = _joined(rows, "keys", np.uint64), _joined(rows, "counts", np.uint32)
+    at = np.repeat(rows.column("at").to_numpy(), [len(x) // 4 for x in rows.column("rows").to_pylist()])
+    at = at + _joined(rows, "rows", np.uint32)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    count = np.add.reduceat(n[order].astype(np.int64), starts)
+    added = np.empty(len(n))
+    added[order] = np.repeat(np.log(count), np.diff(np.concatenate((starts, [len(key)]))))
+    order = np.argsort(at, kind="stable")
+    at, added = at[order], (added * n)[order]
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return pa.table({"at": pa.array(at[starts]), "log_prob": pa.array(np.add.reduceat(added, starts))})
+
+
+def score_documents(documents: DataFrame, rounds: int = ROUNDS, whole_words: bool = False) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) by a model trained on the documents."""
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    vocab = vocabulary(rows)
+    vocab, total = counted_vocabulary(rows)
     model = train(rows, vocab, rounds)
-    return rows.mapInArrow(
-        lambda b: _scored(b, vocab, model), "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double"
+    if not whole_words:
+        return rows.mapInArrow(
+            lambda b: _scored(b, vocab, model), "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double"
+        )
+    shards = shard_count(rows)
+    parts = stage(rows.mapInArrow(lambda b: _scored_in_parts(b, vocab, model, total, shards), _PARTS))
+    counted = parts.filter("shard is not null").select("shard", "at", "keys", "rows", "counts")
+    added = counted.groupBy("shard").applyInArrow(_word_counts, "at bigint, log_prob double")
+    own = parts.filter("shard is null").select("at", "doc_id", "n_tokens", "log_prob")
+    both = own.unionByName(added, allowMissingColumns=True)
+    summed = both.groupBy("at").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("log_prob").alias("log_prob"))
+    return summed.select(
+        "doc_id", "n_tokens", "log_prob", F.expr("if(n_tokens > 0, log_prob / n_tokens, null)").alias("mean_log_prob")
     )
 
 
 def op9_lmscore(spark, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), whole_words=True)

@@ -61,3 +61,53 @@ def test_defined_cases(docs):
     got = [(r["doc_id"], r["n_tokens"], r["log_prob"] <= 0, r["mean_log_prob"] is None) for r in m.score_documents(rows, rounds=1).collect()]
     assert got == [(1, 0, True, True), (2, 0, True, True), (None, 2, True, False), (3, 300_000, True, False), (3, 1, True, False)]
     assert m.score_documents(docs([]), rounds=1).collect() == []
+
+
+def test_trains_on_every_token(monkeypatch):
+    vocab = m.words(*m.text_bytes(pa.array(["a b c"])))[0]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c " * 40, "c a " * 30])], names=["doc_id", "text"])
+    seen = []
+    monkeypatch.setattr(m.Trainer, "learn", lambda self, context, token: seen.extend(zip(map(tuple, context.tolist()), token.tolist())))
+    weights = [b.column(0)[0].as_py() for k in range(3) for b in m._trained([batch], vocab, m.flatten(m.initial()), k, 3)]
+    token, per_row = m.tokens(batch.column(1), vocab)
+    assert sum(weights) == len(token) == 180
+    assert sorted(seen) == sorted(zip(map(tuple, m.contexts(token, per_row).tolist()), token.tolist()))
+
+
+def test_whole_words_tells_all_words_apart(docs, monkeypatch):
+    monkeypatch.setattr(m, "VOCABULARY", m.ENDINGS + 2)
+    text = [(1, "the the the a a a xing Ying"), (2, "the a zing xing XING"), (2, "ying the a"), (3, None)]
+    rows = docs(text).select("doc_id", "text")
+    vocab, total = m.counted_vocabulary(rows)
+    assert len(vocab) == 2 and total.sum() == 6 and total.max() == 6
+    monkeypatch.undo()
+    # 6 words of one ending: xing 3, ying 2, zing 1.
+    model, shares = m.initial(), np.log(np.array([3, 2, 1]) / 6)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in text]), pa.array([r[1] for r in text])], names=["doc_id", "text"])
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    plain = next(iter(m._scored([batch], vocab, model))).column(2).to_pylist()
+    parts = pa.Table.from_batches(list(m._scored_in_parts([batch], vocab, model, total, 1)))
+    own = dict(zip(parts.column("at").to_pylist()[:4], parts.column("log_prob").to_pylist()[:4]))
+    added = m._word_counts(parts.slice(4).select(["shard", "at", "keys", "rows", "counts"]))
+    for at, value in zip(added.column("at").to_pylist(), added.column("log_prob").to_pylist()):
+        own[at] += value
+    expected = [shares[0] + shares[1], shares[2] + 2 * shares[0], shares[1], 0]
+    assert [own[k] - plain[k] for k in range(4)] == pytest.approx(expected, abs=1e-4)
+
+
+def test_query_scores_whole_words(spark):
+    """A document of words that occur once in the corpus is less likely by their shares."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet").limit(300).select("doc_id", "text").cache()
+    whole = {r["doc_id"]: r for r in m.score_documents(documents, 1, whole_words=True).collect()}
+    tokens = {r["doc_id"]: r for r in m.score_documents(documents, 1).collect()}
+    vocab, total = m.counted_vocabulary(documents)
+    texts = documents.collect()
+    token, word, per_row = m._tokens_and_words(pa.array([r["text"] for r in texts]), vocab)
+    key, back, n = np.unique(word, return_inverse=True, return_counts=True)
+    rare = token >= m.VOCABULARY - m.ENDINGS
+    assert total.sum() == rare.sum()
+    share = np.where(rare, np.log(n[back]) - np.log(np.maximum(1, total[np.maximum(0, token - m.VOCABULARY + m.ENDINGS)])), 0)
+    row = np.repeat(np.arange(len(texts)), per_row)
+    for k, r in enumerate(texts):
+        assert whole[r["doc_id"]]["n_tokens"] == tokens[r["doc_id"]]["n_tokens"] == per_row[k]
+        assert whole[r["doc_id"]]["log_prob"] - tokens[r["doc_id"]]["log_prob"] == pytest.approx(share[row == k].sum(), rel=0.02, abs=0.5)
