@@ -8,6 +8,11 @@ item's windows and the slots agree: each value of the item stands for the same v
 the document wherever it occurs, and the other way round. So a question with other
 numbers or names is found, while a chance meeting of templates is not.
 
+This is asked of all matches in the document together, of those of each occurrence (same
+distance between the places in the document and in the item) and of those of neighbouring
+occurrences (distances no more than a window apart, as words may be put in or left out).
+One that agrees is enough, so several versions of an item in one document don't hide it.
+
 Defined results: null or empty texts and items of fewer than ``MIN_WORDS`` template words
 match nothing; items shorter than a window are one window of their own length. Rows that
 repeat a document id are one document, and so are all rows without an id. Items that
@@ -18,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import LOWER, SPACES, by_value, byte_codes, chunks, mix, powers, table, text_bytes, word_groups, word_starts
@@ -140,10 +145,16 @@ def _slots(values: np.ndarray, slot: np.ndarray, at: np.ndarray, size: int) -> p
 
 
 def _document_windows(batches, sizes: list[int], wanted):
-    names = ["doc_id", "h", "slots"]
+    names = ["doc_id", "h", "slots", "pos", "part"]
     for batch in chunks(batches):
         word, values, slot, per_row = template(batch.column(1))
         known = None if wanted is None else wanted.value
+        first = np.cumsum(per_row) - per_row
+        # Rows of one id are told apart by what they say.
+        with np.errstate(over="ignore"):
+            said = mix(values + (np.arange(len(values)) - np.repeat(first, per_row)).astype(np.uint64))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(said, dtype=np.uint64)))
+            part = (sums[first + per_row] - sums[first]).view(np.int64)
         for size in sizes:
             h, row, at = windows(word, slot, per_row, size)
             if known is not None:
@@ -154,7 +165,10 @@ def _document_windows(batches, sizes: list[int], wanted):
                 h, row, at = h[hit], row[hit], at[hit]
             if len(h):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), _slots(values, slot, at, size)],
+                    [
+                        batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), _slots(values, slot, at, size),
+                        pa.array(at - first[row]), pa.array(part[row]),
+                    ],
                     names=names,
                 )
 
@@ -196,24 +210,38 @@ def contaminated(
     if hashes.count() <= filter_windows:
         wanted = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in hashes.collect()], np.int64).view(np.uint64)))
     found = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        lambda b: _document_windows(b, sizes, wanted), "doc_id bigint, h bigint, slots array<bigint>"
+        lambda b: _document_windows(b, sizes, wanted), "doc_id bigint, h bigint, slots array<bigint>, pos bigint, part bigint"
     )
     met = found.join(F.broadcast(items) if fits_broadcast(items) else items, "h")
     pair = F.arrays_zip("item_slots", "slots")
     whole = items.groupBy("item_id").agg(F.count_distinct("place").alias("item_windows"))
-    matched = met.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("place").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
+    single = met.groupBy("doc_id", "item_id", "part", (F.col("pos") - F.col("place")).alias("offset")).agg(
+        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
     )
+    by_offset = Window.partitionBy("doc_id", "item_id", "part").orderBy("offset")
+    far = F.coalesce((F.col("offset") - F.lag("offset").over(by_offset) > window).cast("int"), F.lit(0))
+    near = single.withColumn("_far", far).withColumn("run", F.sum("_far").over(by_offset))
+    # The matches of the whole document, of neighbouring occurrences and of each one.
+    none = F.lit(0).cast("bigint")
+    kinds = [(none, none), (F.col("part"), F.col("run")), (F.col("part"), F.col("offset"))]
+    level = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), a.alias("part"), b.alias("at")) for k, (a, b) in enumerate(kinds))))
+    matched = near.select("doc_id", "item_id", "places", "pairs", level.alias("g")).groupBy("doc_id", "item_id", "g").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_windows"),
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+    ).withColumn("level", F.col("g.level"))
     matched = matched.join(F.broadcast(whole) if fits_broadcast(whole) else whole, matched["item_id"].eqNullSafe(whole["item_id"])).drop(whole["item_id"])
     n_pairs = F.size("pairs")
     n_item = F.size(F.array_distinct("pairs.item_slots"))
     n_text = F.size(F.array_distinct("pairs.slots"))
     changed = F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))
-    return matched.filter(
+    held = matched.filter(
         (F.col("n_windows") >= coverage * F.col("item_windows")) & (F.least(n_item, n_text) >= agreement * n_pairs)
-    ).select(
-        "doc_id", "item_id", "n_windows", "item_windows",
-        n_item.cast("bigint").alias("n_slots"), changed.cast("bigint").alias("n_changed"),
+    )
+    # The whole document where that agrees, else the fullest occurrence, with the fewest changes.
+    best = F.min(F.struct("level", -F.col("n_windows"), changed.alias("c"), n_item.alias("n"), "n_windows", "item_windows"))
+    return held.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
+        "doc_id", "item_id", "b.n_windows", "b.item_windows",
+        F.col("b.n").cast("bigint").alias("n_slots"), F.col("b.c").cast("bigint").alias("n_changed"),
     )
 
 

@@ -66,3 +66,13 @@ def test_against_containment(spark):
         f"SELECT doc_id, item_id FROM '{sf}/documents.parquet' d JOIN '{sf}/benchmark.parquet' b ON contains(d.text, b.text)"
     ).fetchall()
     assert set(held) <= got and len(got - set(held)) <= 1
+
+
+def test_several_versions_in_one_document(docs, items):
+    other = CHANGED.replace("77", "41").replace("Carol", "Frank").replace("Dan", "Gus")
+    edited = ITEM.replace("at noon", "at high noon")
+    texts = [
+        (1, f"{ITEM} {CHANGED}"), (2, f"{CHANGED} {other}"), (3, f"{CHANGED} words between. {other} {ITEM}"), (4, f"{MIXED} {MIXED}"),
+        (5, ITEM), (5, CHANGED), (5, other), (6, f"{CHANGED} {edited} {other}"), (None, CHANGED), (None, other),
+    ]
+    assert [(d, i) for d, i, _ in found(docs, items, texts)] == [(0, 1), (1, 1), (2, 1), (3, 1), (5, 1), (6, 1)]
