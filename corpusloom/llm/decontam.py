@@ -13,8 +13,12 @@ distance between the places in the document and in the item) and of those of nei
 occurrences (distances no more than a window apart, as words may be put in or left out).
 One that agrees is enough, so several versions of an item in one document don't hide it.
 
-Defined results: null or empty texts and items of fewer than ``MIN_WORDS`` template words
-match nothing; items shorter than a window are one window of their own length. Rows that
+Items without any window of ``MIN_LITERALS`` words that are no placeholders (arithmetic,
+tables, lists of names) are searched word by word instead: windows of their words as they
+stand, in which a number or name is no placeholder. So verbatim copies of them are found.
+
+Defined results: null or empty texts and items of fewer than ``MIN_WORDS`` words with a
+letter or digit match nothing; items shorter than a window are one window of their own length. Rows that
 repeat a document id are one document, and so are all rows without an id. Items that
 repeat an id count as one item with the windows of all.
 """
@@ -36,6 +40,7 @@ MIN_WORDS = 5
 MIN_LITERALS = 4  # words of a window that are no placeholders
 COVERAGE = 0.5
 AGREEMENT = 0.8
+EXACT = 1 << 40  # tells windows of words as they stand, and their places, from those of templates
 FILTER_WINDOWS = 2_000_000  # benchmark windows that are sent to every task as a filter
 
 # Fixed values.
@@ -82,11 +87,16 @@ def _unit_hashes() -> np.ndarray:
 def template(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template word, slot value and whether it is a slot, for all rows in order, and
     the number of template words of each row."""
+    return _read(text)[0]
+
+
+def _read(text: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The template of all rows, and their words as they stand with the number of each row."""
     data, offsets = text_bytes(text)
     starts, per_row = word_starts(data, offsets)
     if not len(starts):
         none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, bool), per_row
+        return (none, none, np.zeros(0, bool), per_row), (none, per_row)
     value, n_core, n_digit = _word_hashes(data, starts)
     row = np.repeat(np.arange(len(per_row)), per_row)
     new_row = np.concatenate(([True], row[1:] != row[:-1]))
@@ -104,7 +114,8 @@ def template(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         x[keep] for x in (value, row, opens, capital, lead_byte, n_core, n_digit)
     )
     if not len(value):
-        return value, value, np.zeros(0, bool), np.zeros(len(per_row), np.int64)
+        none = np.zeros(len(per_row), np.int64)
+        return (value, value, np.zeros(0, bool), none), (value, none)
     number = n_digit == n_core
     quantity = ~number & _DIGIT[lead_byte]
     same = np.concatenate(([False], row[1:] == row[:-1]))
@@ -117,7 +128,9 @@ def template(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     heads = np.flatnonzero(~goes_on)
     with np.errstate(over="ignore"):
         joined = np.add.reduceat(mix(value + (np.arange(len(value)) - heads[np.cumsum(~goes_on) - 1]).astype(np.uint64)), heads)
-    return word[heads], joined, slot[heads], np.bincount(row[heads], minlength=len(per_row))
+    rows = len(per_row)
+    made = word[heads], joined, slot[heads], np.bincount(row[heads], minlength=rows)
+    return made, (value, np.bincount(row, minlength=rows))
 
 
 def windows(word: np.ndarray, slot: np.ndarray, per_row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,6 +148,16 @@ def windows(word: np.ndarray, slot: np.ndarray, per_row: np.ndarray, size: int)
     return mix(value[at]), row[at], at
 
 
+def exact_windows(value: np.ndarray, per_row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for every window of words as they stand; no hash is that of a template."""
+    h, row, at = windows(value, np.zeros(len(value), bool), per_row, size)
+    return mix(h ^ np.uint64(EXACT)), row, at
+
+
+def _no_slots(n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int64()))
+
+
 def _slots(values: np.ndarray, slot: np.ndarray, at: np.ndarray, size: int) -> pa.Array:
     inside = at[:, None] + np.arange(size)
     mask = slot[inside]
@@ -147,16 +170,17 @@ def _slots(values: np.ndarray, slot: np.ndarray, at: np.ndarray, size: int) -> p
 def _document_windows(batches, sizes: list[int], wanted):
     names = ["doc_id", "h", "slots", "pos", "part"]
     for batch in chunks(batches):
-        word, values, slot, per_row = template(batch.column(1))
+        (word, values, slot, per_row), (raw, raw_per_row) = _read(batch.column(1))
         known = None if wanted is None else wanted.value
-        first = np.cumsum(per_row) - per_row
+        first, raw_first = np.cumsum(per_row) - per_row, np.cumsum(raw_per_row) - raw_per_row
         # Rows of one id are told apart by what they say.
         with np.errstate(over="ignore"):
             said = mix(values + (np.arange(len(values)) - np.repeat(first, per_row)).astype(np.uint64))
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(said, dtype=np.uint64)))
             part = (sums[first + per_row] - sums[first]).view(np.int64)
         for size in sizes:
-            h, row, at = windows(word, slot, per_row, size)
+            exact = size < 0
+            h, row, at = exact_windows(raw, raw_per_row, -size) if exact else windows(word, slot, per_row, size)
             if known is not None:
                 if not len(known):
                     continue
@@ -166,31 +190,42 @@ def _document_windows(batches, sizes: list[int], wanted):
             if len(h):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), _slots(values, slot, at, size),
-                        pa.array(at - first[row]), pa.array(part[row]),
+                        batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), _no_slots(len(h)) if exact else _slots(values, slot, at, size),
+                        pa.array(at - raw_first[row] + EXACT if exact else at - first[row]), pa.array(part[row]),
                     ],
                     names=names,
                 )
 
 
 def _item_windows(batches, size: int):
+    """``size`` is below 0 for windows of words as they stand."""
     names = ["item_id", "h", "place", "size", "item_slots"]
     for batch in chunks(batches):
-        word, values, slot, per_row = template(batch.column(1))
-        first = np.cumsum(per_row) - per_row
+        (word, values, slot, per_row), (raw, raw_per_row) = _read(batch.column(1))
+
+        def made(h, row, place, n, slots):
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(place), pa.array(np.full(len(h), n, np.int32)), slots],
+                names=names,
+            )
+
+        first, raw_first = np.cumsum(per_row) - per_row, np.cumsum(raw_per_row) - raw_per_row
+        usable = np.zeros(len(per_row), bool)
         for n in range(MIN_WORDS, size + 1):
             rows = np.flatnonzero(per_row == n) if n < size else np.flatnonzero(per_row >= n)
             h, row, at = windows(word, slot, per_row, n)
             keep = np.isin(row, rows)
             h, row, at = h[keep], row[keep], at[keep]
+            usable[row] = True
             if len(h):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(at - first[row]),
-                        pa.array(np.full(len(h), n, np.int32)), _slots(values, slot, at, n),
-                    ],
-                    names=names,
-                )
+                yield made(h, row, at - first[row], n, _slots(values, slot, at, n))
+        for n in range(MIN_WORDS, size + 1):
+            rows = np.flatnonzero(~usable & (raw_per_row == n if n < size else raw_per_row >= n))
+            h, row, at = exact_windows(raw, raw_per_row, n)
+            keep = np.isin(row, rows)
+            h, row, at = h[keep], row[keep], at[keep]
+            if len(h):
+                yield made(h, row, at - raw_first[row] + EXACT, -n, _no_slots(len(h)))
 
 
 def contaminated(

@@ -76,3 +76,16 @@ def test_several_versions_in_one_document(docs, items):
         (5, ITEM), (5, CHANGED), (5, other), (6, f"{CHANGED} {edited} {other}"), (None, CHANGED), (None, other),
     ]
     assert [(d, i) for d, i, _ in found(docs, items, texts)] == [(0, 1), (1, 1), (2, 1), (3, 1), (5, 1), (6, 1)]
+
+
+@pytest.mark.parametrize("filter_windows", [10**6, 0])
+def test_items_of_placeholders_are_found_verbatim(docs, items, filter_windows):
+    sums, names = "12 + 7 - 3 = 16 and 5 * 4 = 20; 9 + 9 = 18", "ALICE SMITH BOB JONES CAROL KING"
+    table = "Apples 12 kg 30 dollars\nPears 7 kg 9 euros\nPlums 5 kg 4 usd"
+    more = [(11, sums), (12, names), (13, table), (14, "1 2 3 4")]
+    texts = [
+        (1, f"so: {sums}. Then"), (2, f"met {names} today"), (3, f"List:\n{table}\nEnd."), (4, sums.replace("7", "8").replace("4", "6").replace("5", "2")),
+        (5, names.replace("BOB", "DAN")), (6, "1 2 3 4"), (7, f"{table} {ITEM} {CHANGED}"), (None, names),
+    ]
+    got = found(docs, items, texts, more, filter_windows=filter_windows)
+    assert [(d, i) for d, i, _ in got] == [(0, 12), (1, 11), (2, 12), (3, 13), (7, 1), (7, 13)]
