@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontam, jaccard, langcrf, linededup, lmscore, packing, quality, search, secretscan, warc
+from corpusloom.llm import (
+    decontam,
+    fillmiddle,
+    jaccard,
+    langcrf,
+    linededup,
+    lmscore,
+    packing,
+    quality,
+    search,
+    secretscan,
+    urlfilter,
+    warc,
+    whitening,
+)
 
 QUERIES = {
     "op1_linededup": linededup.op1_linededup,
@@ -15,9 +29,14 @@ QUERIES = {
     "op8_secretscan": secretscan.op8_secretscan,
     "op9_lmscore": lmscore.op9_lmscore,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_urlfilter": urlfilter.op11_urlfilter,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_fillmiddle": fillmiddle.op13_fillmiddle,
 }
 ORACLE = {
     "op1_linededup": linededup.OP1_SQL,
     "op7_warc": warc.OP7_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
+    "op11_urlfilter": urlfilter.OP11_SQL,
+    "op13_fillmiddle": fillmiddle.OP13_SQL,
 }
