@@ -159,40 +159,74 @@ def _piece_regex(piece: Column) -> Column:
     )
 
 
-def ignore_file_regex(content: Column) -> Column:
-    """One regex for a whole ignore file; null if it holds no rule.
-
-    It is tried on a directory as ``a/b/`` and on a file as ``a/b``. A later rule
-    goes before all earlier ones: ``!rule`` becomes a negative look-ahead in
-    front of them, any other rule one more alternative.
+def ignore_file_rules(content: Column) -> Column:
+    """An ignore file as (rules, exceptions), both regexes; null if it hides nothing.
+
+    ``rules`` is searched for in a whole path, which ends in '/' for a directory: it finds
+    a rule that hides the path or a directory above it. Rules are put together by where
+    they may begin (at the root or at any segment) and end (at a directory or anywhere), so
+    the search goes once along the path however many rules there are.
+
+    ``exceptions`` is null unless a rule is negated, as most files' are. Only paths that
+    ``rules`` finds need it then: it is tried on a directory as ``a/b/`` and on a file as
+    ``a/b``, and a later rule goes before all earlier ones: ``!rule`` becomes a negative
+    look-ahead in front of them, any other rule one more alternative.
     """
     text = F.transform(
         lines(content), lambda line: F.regexp_replace(line, r"(?<!\\) +\z", "")
     )
-    rules = F.filter(text, lambda line: (line != "") & ~line.startswith("#"))
+    listed = F.filter(text, lambda line: (line != "") & ~line.startswith("#"))
 
     def rule(line: Column) -> Column:
         negated = line.startswith("!")
         bare = F.when(negated, F.substr(line, F.lit(2))).otherwise(line)
         dir_only = bare.endswith("/")
         bare = F.when(dir_only, F.regexp_replace(bare, r"/\z", "")).otherwise(bare)
-        anchored = bare.contains("/")
         pieces = F.regexp_extract_all(
             F.regexp_replace(bare, r"\A/", ""), F.lit(_PIECES), F.lit(0)
         )
-        body = F.array_join(F.transform(pieces, _piece_regex), "")
         return F.struct(
             negated.alias("negated"),
-            F.concat(
-                F.when(anchored, "").otherwise("(?:.*/)?"),
-                body,
-                # A wildcard must not stand for nothing before the final '/'.
-                F.when(dir_only, r"(?<!/)/\z").otherwise(r"(?<!/)/?\z"),
-            ).alias("regex"),
+            bare.contains("/").alias("anchored"),
+            dir_only.alias("dir_only"),
+            F.array_join(F.transform(pieces, _piece_regex), "").alias("body"),
+        )
+
+    return F.transform(F.array(F.transform(listed, rule)), _both_regexes)[0]
+
+
+def _both_regexes(rules: Column) -> Column:
+    hiding = F.filter(rules, lambda r: ~r["negated"])
+    # A wildcard must not stand for nothing before the final '/'.
+    begins = {True: r"\A", False: r"(?:\A|/)"}
+    ends = {True: r"(?<!/)/", False: r"(?<!/)(?:/|\z)"}
+
+    def group(anchored: bool, dir_only: bool) -> Column:
+        own = F.filter(hiding, lambda r: (r["anchored"] == anchored) & (r["dir_only"] == dir_only))
+        bodies = F.array_join(F.transform(own, lambda r: r["body"]), "|")
+        whole = F.concat(F.lit(f"{begins[anchored]}(?:"), bodies, F.lit(f"){ends[dir_only]}"))
+        return F.when(F.size(own) > 0, whole)
+
+    found = F.concat(F.lit("(?s)"), F.concat_ws("|", *[group(a, d) for a in begins for d in ends]))
+    return F.when(
+        F.size(hiding) > 0,
+        F.struct(
+            found.alias("rules"),
+            F.when(F.size(hiding) < F.size(rules), _last_rule_wins(rules)).alias("exceptions"),
+        ),
+    )
+
+
+def _last_rule_wins(rules: Column) -> Column:
+    def whole(r: Column) -> Column:
+        return F.concat(
+            F.when(r["anchored"], "").otherwise("(?:.*/)?"),
+            r["body"],
+            F.when(r["dir_only"], r"(?<!/)/\z").otherwise(r"(?<!/)/?\z"),
         )
 
     def add(acc: Column, r: Column) -> Column:
-        barred = F.concat(F.lit("(?!"), r["regex"], F.lit(")"))
+        barred = F.concat(F.lit("(?!"), whole(r), F.lit(")"))
         return F.when(
             r["negated"],
             F.struct(
@@ -203,22 +237,22 @@ def ignore_file_regex(content: Column) -> Column:
             ),
         ).otherwise(
             F.struct(
-                F.concat(r["regex"], F.lit("|"), acc["regex"]).alias("regex"),
+                F.concat(whole(r), F.lit("|"), acc["regex"]).alias("regex"),
                 F.lit(True).alias("open"),
             )
         )
 
-    combined = F.aggregate(
-        F.transform(rules, rule),
+    return F.aggregate(
+        rules,
         F.struct(F.lit("(?!)").alias("regex"), F.lit(False).alias("open")),
         add,
         lambda acc: F.concat(F.lit(r"(?s)\A(?:"), acc["regex"], F.lit(")")),
     )
-    return F.when(F.size(rules) > 0, combined)
 
 
-def ignored_by(regex: Column, path: Column, is_dir: Column) -> Column:
-    """True if ``path`` or a directory above it is hidden by an ignore-file regex."""
+def ignored_by(rules: Column, exceptions: Column, path: Column, is_dir: Column) -> Column:
+    """True if ``path`` or a directory above it is hidden by an ignore file. The search
+    keeps the last regex it compiled, so rows of a repo should follow one another."""
     seg = F.split(path, "/")
     candidates = F.transform(
         seg,
@@ -227,4 +261,6 @@ def ignored_by(regex: Column, path: Column, is_dir: Column) -> Column:
             F.when(is_dir | (i + 1 < F.size(seg)), "/").otherwise(""),
         ),
     )
-    return F.coalesce(F.exists(candidates, lambda c: F.rlike(c, regex)), F.lit(False))
+    found = F.regexp_instr(F.concat(path, F.when(is_dir, "/").otherwise("")), rules) > 0
+    kept = exceptions.isNull() | F.exists(candidates, lambda c: F.regexp_instr(c, exceptions) > 0)
+    return F.coalesce(found & kept, F.lit(False))

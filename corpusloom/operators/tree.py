@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.globs import (
     custom_ignore,
     default_ignore,
-    ignore_file_regex,
+    ignore_file_rules,
     ignored_by,
 )
 from corpusloom.functions.paths import (
@@ -46,29 +46,41 @@ def tree_nodes(files: DataFrame) -> DataFrame:
 
 @built_once
 def _rules() -> Column:
-    """Regex of the root ignore file, on its own row; null on all others."""
-    regex = ignore_file_regex(F.col("content").cast("string"))
-    return F.when(F.col("path") == ".gitignore", regex).alias("rules")
+    """Regexes of the root ignore file, on its own row; null on all others."""
+    both = ignore_file_rules(F.col("content").cast("string"))
+    return F.when(F.col("path") == ".gitignore", both).alias("_both")
 
 
 def ignore_rules(files: DataFrame) -> DataFrame:
-    """(repo, rules): the root ignore file of each repo as one regex."""
+    """(repo, rules, exceptions): the root ignore file of each repo as two regexes."""
     own = files.filter(F.col("path") == ".gitignore")
-    return stage(own.select("repo", _rules()).filter("rules is not null"))
+    return stage(own.select("repo", _rules()).select("repo", "_both.*").filter("rules is not null"))
+
+
+def _hidden(is_dir: Column) -> Column:
+    return ignored_by(F.col("rules"), F.col("exceptions"), F.col("path"), is_dir)
+
+
+def _with_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Nodes with their repo's rules, repo by repo inside a task: a regex is compiled anew
+    whenever it differs from the last one. Catalyst takes a sort away that a later shuffle
+    doesn't need, but not from below a filter that knows its partition."""
+    met = lookup_join(nodes, rules, ["repo"])
+    return met.sortWithinPartitions("repo").filter(F.spark_partition_id() >= 0)
 
 
 def ignore_reason(nodes: DataFrame, rules: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
     """Add ``reason``: 'custom', 'file', 'default' or null, the first that hides
     the node or a directory above it."""
     return (
-        lookup_join(nodes, rules, ["repo"])
+        _with_rules(nodes, rules)
         .withColumn(
             "reason",
             F.when(custom_ignore(F.col("path"), list(globs)), "custom")
-            .when(ignored_by(F.col("rules"), F.col("path"), F.col("is_dir")), "file")
+            .when(_hidden(F.col("is_dir")), "file")
             .when(default_ignore(F.col("path")), "default"),
         )
-        .drop("rules")
+        .drop("rules", "exceptions")
     )
 
 
@@ -100,16 +112,16 @@ def walk(
             *[F.when(F.col("_kept"), c).alias(alias) for alias, c in (facts or {}).items()],
         )
     )
-    rows = narrow.filter("_kept").drop("_kept", "rules").withColumn("is_dir", F.lit(False))
+    rows = narrow.filter("_kept").drop("_kept", "_both").withColumn("is_dir", F.lit(False))
     above = directories(narrow).filter(visible).select(
         "repo", "path", F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("size")
     )
     nodes = rows.unionByName(above, allowMissingColumns=True)
-    rules = narrow.filter("rules is not null").select("repo", "rules")
+    rules = narrow.filter("_both is not null").select("repo", "_both.*")
     return (
-        lookup_join(nodes, rules, ["repo"])
-        .filter(~ignored_by(F.col("rules"), path, F.col("is_dir")))
-        .drop("rules")
+        _with_rules(nodes, rules)
+        .filter(~_hidden(F.col("is_dir")))
+        .drop("rules", "exceptions")
         .withColumns({"name": name(path), "depth": depth(path)})
     )
 
@@ -123,12 +135,13 @@ def row_visible(files: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
 
 def kept_files(files: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
     """The rows of ``files`` that ``walk`` keeps, with all their columns. What the row
-    tells comes first; an ignore file adds one regex per repo. No content is shuffled
-    unless the rules are too many to be broadcast."""
+    tells comes first; an ignore file adds one search per row. No content is shuffled
+    unless the rules are too many to be broadcast, and none is sorted: rows of interleaved
+    repos compile their regex again, which takes far less than reading their content."""
     return (
         lookup_join(row_visible(files, globs), ignore_rules(files), ["repo"])
-        .filter(~ignored_by(F.col("rules"), F.col("path"), F.lit(False)))
-        .drop("rules")
+        .filter(~_hidden(F.lit(False)))
+        .drop("rules", "exceptions")
     )
 
 

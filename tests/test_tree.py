@@ -1,5 +1,6 @@
 import fnmatch
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +218,59 @@ def test_path_status(spark):
     df = frame(spark, [(r[0],) for r in rows], "p string")
     got = df.select("p", paths.clean_path(F.col("p")), paths.path_status(F.col("p"))).collect()
     assert [tuple(r) for r in got] == rows
+
+
+def test_ignore_file_of_random_rules(spark):
+    """Both regexes against the rules one by one, each on every prefix."""
+    rng = random.Random(11)
+    names = ["a", "b", "ab", "x.log", "y.log", "d"]
+
+    def pattern():
+        body = rng.choice(["a", "*.log", "b", "a*", "?", "d/b", "a/**", "**/b", "a/*/b", "[ab]b", "*"])
+        return rng.choice(["", "", "!"]) + rng.choice(["", "", "/"]) + body + rng.choice(["", "", "/"])
+
+    def matches(rule, prefix, is_dir):
+        dir_only, bare = rule.endswith("/"), rule.rstrip("/")
+        if dir_only and not is_dir:
+            return False
+        anchored, bare = "/" in bare, bare.lstrip("/")
+        out, i = "", 0
+        while i < len(bare):
+            if bare.startswith("/**/", i):
+                out, i = out + "/(?:.*/)?", i + 4
+            elif i == 0 and bare.startswith("**/"):
+                out, i = "(?:.*/)?", 3
+            elif bare[i:] == "/**":
+                out, i = out + "/.+", len(bare)
+            else:
+                c = bare[i]
+                end = bare.find("]", i)
+                out += "[^/]*" if c == "*" else "[^/]" if c == "?" else bare[i : end + 1] if c == "[" else re.escape(c)
+                i = end + 1 if c == "[" else i + 1
+        return re.fullmatch(("" if anchored else "(?:.*/)?") + out, prefix) is not None
+
+    def hidden(rules, path):
+        seg = path.split("/")
+        for k in range(1, len(seg) + 1):
+            verdict = False
+            for rule in rules:
+                if matches(rule.lstrip("!"), "/".join(seg[:k]), k < len(seg)):
+                    verdict = not rule.startswith("!")
+            if verdict:
+                return True
+        return False
+
+    lists = {f"r{i}": [pattern() for _ in range(rng.randint(1, 6))] for i in range(60)}
+    rows = [(repo, "/".join(rng.choice(names) for _ in range(rng.randint(1, 4))), "") for repo in lists for _ in range(25)]
+    files = frame(spark, rows + [(repo, ".gitignore", "\n".join(rules)) for repo, rules in lists.items()])
+    nodes = files.filter("path <> '.gitignore'").select("repo", "path", F.lit(False).alias("is_dir"))
+    for r in tree.ignore_reason(nodes, tree.ignore_rules(files)).collect():
+        assert (r.reason == "file") is hidden(lists[r.repo], r.path), (lists[r.repo], r.path)
+
+
+def test_rules_are_met_repo_by_repo(spark):
+    """The sort that saves compiling stays in the plan, whatever comes behind it."""
+    files = frame(spark, [("r", ".gitignore", "x"), ("r", "x/y", ""), ("s", "z", "")])
+    marked = tree.ignore_reason(tree.tree_nodes(files), tree.ignore_rules(files)).groupBy("reason").count()
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [repo" in plan
