@@ -6,9 +6,9 @@ Pieces of one length form a bucket; each piece is a sequence of its own, so no
 sequence crosses documents and none needs padding.
 
 Ids are those of the ``tokenizers`` file. The file's merges run in ``tiktoken``'s
-engine, which gives the same ids at about five times the speed; very long texts and
-whatever that engine refuses go through ``tokenizers`` itself. Strings of special
-tokens inside a text are ordinary text.
+engine, which gives the same ids at about five times the speed; very long texts, texts
+that hold the string of an added token (it becomes that token's id) and whatever the fast
+engine refuses go through ``tokenizers`` itself.
 
 Defined results: null text counts as empty and gives the one piece of id 0. Rows that
 repeat an id, or have none, are packed like any other.
@@ -53,23 +53,22 @@ def encoder(path: str | None = None):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     # The visible characters that stand for the 256 bytes in a byte-level vocabulary.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
-    special = {x["content"] for x in content.get("added_tokens", [])}
+    added = {x["content"] for x in content.get("added_tokens", [])}
     ranks = {
         bytes(byte[c] for c in token): number
         for token, number in content["model"]["vocab"].items()
-        if token not in special
+        if token not in added
     }
     fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if len(text) < LONG_TEXT:
+        if len(text) < LONG_TEXT and not any(token in text for token in added):
             try:
                 return fast.encode_ordinary(text)
             except BaseException as error:  # the engine's panic is not an Exception

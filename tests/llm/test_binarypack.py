@@ -16,6 +16,7 @@ def whole():
 TEXTS = [
     (1, "Hello there, it's 12 o'clock.\n\n  Yes!"), (2, None), (3, ""), (4, "é ß 漢字 🙂  x" * 50), (5, "a" * 5000),
     (6, " \n\t" * 3000), (None, "no id"), (7, "again"), (7, "again"), (8, "word " * 20_000),
+    (9, "x<|endoftext|>y"), (10, "hello <|endoftext|> world"), (11, "<|endoftext|>" * 700), (12, "<|endoftext|"),
 ]
 
 
@@ -40,7 +41,6 @@ def test_pieces_hold_every_id(docs, whole):
 
 def test_engines_agree(whole):
     encode = m.encoder()
-    whole.encode_special_tokens = True
     for text in [" " * 100_000 + "a", "\n" * 50_000, "<|endoftext|> x", "é" * 70_000, "a" * 100_000, " \t" * 600_000, "퟿\x00  x"]:
         assert encode(text) == whole.encode(text, add_special_tokens=False).ids
 
