@@ -17,13 +17,16 @@ Search. Inside a block each set asks an inverted index for the sets that hold en
 of its shingles, by DivideSkip: the longest lists are set aside, the short ones are merged
 and counted, and what reaches the lower threshold is looked up in the long ones by
 binary search. Sets found leave the index, so a group of copies is walked once and
-not once per pair. A block of more than ``block_sets`` sets is cut into chunks: first each chunk is
+not once per pair. A block of more than ``block_sets`` sets or ``block_shingles`` shingles is
+cut into chunks: first each chunk is
 searched together with a common pivot set, then the sets that have not met the pivot's
 component are searched in every chunk. That is the same result in bounded memory.
 
 Defined results: a null or empty text, or one without words, has 0 shingles and links
 with nothing. Each row is a document; rows without an id count as no document. Rows that
-repeat an id are one node of the graph with the links of all its rows.
+repeat an id are one node of the graph with the links of all its rows. An empty table gives
+no rows. Texts are taken whole, whatever their length. Columns are picked by name at the
+start, so others don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,6 +49,7 @@ PERCENT = 75  # least similarity
 LOW = 0.40  # part of the hash range whose shingles are counted
 LOAD = 2_000_000  # postings of one shard that one task takes
 BLOCK_SETS = 20_000  # sets that one task searches
+BLOCK_SHINGLES = 8_000_000  # shingles of the sets that one task searches
 SKIP_FACTOR = 0.01  # the constant of DivideSkip's rule for long lists
 
 
@@ -407,15 +411,17 @@ def _hashes(batches, width: int):
         )
 
 
-def _block_links(sets: DataFrame, percent: int, block_sets: int) -> DataFrame:
+def _block_links(sets: DataFrame, percent: int, block_sets: int, block_shingles: int) -> DataFrame:
     """(a, b): enough links to connect the components of every block."""
-    sizes = sets.groupBy("block").agg(F.count("*").alias("sets"), F.min("set").alias("pivot"))
-    large = stage(sizes.filter(F.col("sets") > block_sets))
+    # What a task holds, as a share of what it may hold: sets and their shingles.
+    share = F.greatest(F.count("*") / block_sets, F.sum(F.octet_length("hashes") / 8) / block_shingles)
+    sizes = sets.groupBy("block").agg(share.alias("share"), F.min("set").alias("pivot"))
+    large = stage(sizes.filter(F.col("share") > 1))
     link = "a binary, b binary"
     if not large.take(1):
         return sets.groupBy("block").applyInArrow(_searched(percent), link).filter("a > b")
     told = lookup_join(sets, large, ["block"])
-    chunk_count = F.ceil(F.col("sets") / (block_sets / 2))
+    chunk_count = F.ceil(2 * F.col("share"))
     told = told.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("set"), chunk_count), F.lit(0)).cast("bigint"))
     told = stage(told)
     pivot = told.filter("set = pivot").select(
@@ -428,14 +434,14 @@ def _block_links(sets: DataFrame, percent: int, block_sets: int) -> DataFrame:
     # Where every chunk stands after its own search; the pivot's component is common to all.
     joined = components(first.filter("a <> b"))
     state = (
-        told.filter("sets is not null")
+        told.filter("share is not null")
         .join(joined.withColumnRenamed("node", "set"), "set", "left")
         .withColumn("label", F.coalesce("label", "set"))
     )
     state = stage(state)
     main = state.filter("set = pivot").select("block", F.col("label").alias("main"))
     rest = stage(lookup_join(state, main, ["block"], "inner").filter("label <> main"))
-    parts = rest.groupBy("block").agg(F.ceil(F.count("*") / (block_sets / 2)).alias("parts"))
+    parts = rest.groupBy("block").agg(F.ceil(2 * share).alias("parts"))
     rest = lookup_join(rest, parts, ["block"], "inner")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("set", F.lit(1)), F.col("parts")))
     rest = rest.select("set", "block", "hashes", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), chunk_count - 1)).alias("chunk"))
@@ -456,6 +462,7 @@ def near_duplicates(
     shards: int | None = None,
     load: int = LOAD,
     block_sets: int = BLOCK_SETS,
+    block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): size of each document's set and the smallest
     id reachable over links, its own included."""
@@ -465,6 +472,12 @@ def near_duplicates(
     members = described.filter("set is not null and doc_id is not null")
     classes = members.groupBy("set").agg(F.min("doc_id").alias("least"))
     classes = stage(classes)
+    # Ids of several rows with different texts: ``own`` is one of their sets.
+    several = described.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.min("set").alias("own"), F.max("set").alias("other"), F.count_if(F.col("set").isNull()).alias("without")
+    )
+    several = stage(several.filter("own is not null and (own <> other or without > 0)").select("doc_id", "own"))
+    same_id = lookup_join(members, several, ["doc_id"], "inner").select(F.col("set").alias("a"), F.col("own").alias("b"))
 
     postings = shared_postings(rows, width, percent, low, shards, load)
     blocks = components(candidate_edges(postings, percent)).withColumnRenamed("node", "set").withColumnRenamed("label", "block")
@@ -473,13 +486,14 @@ def near_duplicates(
     sets = texts.select("doc_id", "text", "set", "block").mapInArrow(
         lambda b: _hashes(b, width), "set binary, block binary, hashes binary"
     )
-    joined = stage(components(_block_links(sets, percent, block_sets)))
+    joined = stage(components(_block_links(sets, percent, block_sets, block_shingles).unionByName(same_id)))
     least = joined.join(classes, joined["node"] == classes["set"]).groupBy("label").agg(F.min("least").alias("component"))
     linked = joined.join(least, "label").select(F.col("node").alias("set"), "component")
     named = classes.join(linked, "set", "left").select(
         "set", F.coalesce("component", "least").alias("component")
     )
     # A hot set is looked up, not grouped.
+    described = lookup_join(described, several, ["doc_id"]).withColumn("set", F.coalesce("set", "own"))
     return lookup_join(described, named, ["set"]).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -7,9 +7,11 @@ Documents send the hashes of their lines to the shards and probe those arrays; l
 texts are never moved or joined. A shard with many probes is copied for several
 tasks, as many as its measured load asks for.
 
-Defined results: a null or empty text is one empty line. Every row counts as one
-document; rows that repeat an id count each, and all rows of the largest id keep the
-line. Rows without an id are not counted and lose nothing.
+Defined results: a null or empty text is one empty line. Rows that repeat an id are one
+document for the counts, and all rows of the largest id keep the line; each row gives a
+result of its own. Rows without an id are not counted and lose nothing. An empty table
+gives no rows. Texts are taken whole, whatever their length. Columns are picked by name at
+the start, so others don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.llm.common import by_value, chunks, mix, shard_count, table
-from corpusloom.session import fits_broadcast, stage
+from corpusloom.session import fits_broadcast, lookup_join, stage
 
 by_value(__name__)
 
@@ -163,7 +165,7 @@ def _build(rows: pa.Table) -> pa.Table:
         {
             "shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()),
             "n_keys": pa.array([len(h1)], pa.int64()),
-            "load": pa.array([int(n.sum())], pa.int64()),
+            "load": pa.array([int(n[n > 0].sum())], pa.int64()),
             "sizes": pa.array([sizes], pa.list_(pa.int64())),
             "bits": pa.array([bits], pa.binary()),
             **{name: pa.array([a.tobytes()], pa.binary()) for name, a in zip(("fingerprint", "docs", "keeper"), arrays)},
@@ -182,6 +184,13 @@ def line_index(documents: DataFrame, shards: int, min_chars: int = MIN_CHARS) ->
     hashed = documents.select("doc_id", "text").mapInArrow(
         lambda batches: _hashed(batches, shards, min_chars, True), _HASHES
     )
+    # Ids of several rows are counted per row above; what is too much is taken off.
+    repeated = stage(documents.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if repeated.take(1):
+        rows = lookup_join(documents.select("doc_id", "text"), repeated, ["doc_id"], "left_semi")
+        single = rows.mapInArrow(lambda batches: _hashed(batches, shards, min_chars, False), _HASHES)
+        again = single.groupBy("shard", "h1", "h2", "doc").agg((F.lit(1) - F.sum("n")).alias("n"))
+        hashed = hashed.unionByName(again.filter("n < 0"))
     # Lines are counted inside each chunk first, so a hot line comes once per chunk.
     return stage(hashed.groupBy("shard").applyInArrow(_build, _INDEX))
 
@@ -269,7 +278,11 @@ def dedup_rows(
         .agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
     )
     keyed = documents.select(rest, "text", F.col("doc_id").cast("bigint").alias("doc"))
-    joined = keyed.join(drops, "doc", "left").select("row", "text", "drops")
+    # Rows without an id find nothing; a second key deals them out to all tasks.
+    spread = F.when(F.col("doc").isNull(), F.xxhash64("text", "row")).otherwise(0)
+    joined = keyed.withColumn("spread", spread).join(
+        drops.withColumn("spread", F.lit(0).cast("bigint")), ["doc", "spread"], "left"
+    ).select("row", "text", "drops")
     schema = (
         StructType().add("row", joined.schema["row"].dataType).add("kept", "string")
         .add("n_lines", "long").add("n_dropped", "long")

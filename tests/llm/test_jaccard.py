@@ -62,6 +62,18 @@ def test_missing_and_repeated_ids(docs):
     assert m.near_duplicates(docs([(None, None)])).first()["component_id"] is None
 
 
+def test_rows_of_one_id_are_one_node(docs):
+    a, b, c = "one two three four five six", "other words that are here now", "and a third text of words"
+    got = m.near_duplicates(docs([(4, a), (9, a), (9, b), (9, None), (7, b), (12, c), (11, c), (11, ""), (3, None), (3, "")]))
+    rows = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect())
+    assert rows == [(3, 0, 3), (3, 0, 3), (4, 2, 4), (7, 2, 4), (9, 0, 4), (9, 2, 4), (9, 2, 4), (11, 0, 11), (11, 2, 11), (12, 2, 11)]
+
+
+def test_blocks_bounded_by_shingles(docs, brute_components):
+    rows = corpus()
+    assert run(docs(rows), block_shingles=300) == brute_components(rows)
+
+
 def test_empty_table_and_long_text(docs):
     assert run(docs([])) == {}
     long = " ".join(f"w{k}" for k in range(120_000))

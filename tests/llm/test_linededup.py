@@ -48,7 +48,11 @@ def test_repeated_and_missing_ids(docs):
     rows = [(1, line), (1, line), (2, line), (2, line + "\nx"), (None, line)]
     got = m.dedup_lines(docs(rows)).collect()
     kept = sorted((r["doc_id"] or 0, r["kept"], r["n_dropped"]) for r in got)
-    assert kept == [(0, line, 0), (1, "", 1), (1, "", 1), (2, line, 0), (2, line + "\nx", 0)]
+    # Five rows, yet only two documents.
+    assert kept == [(0, line, 0), (1, line, 0), (1, line, 0), (2, line, 0), (2, line + "\nx", 0)]
+    got = m.dedup_lines(docs([*rows, (3, line), (3, "y")])).collect()
+    kept = sorted((r["doc_id"] or 0, r["kept"], r["n_dropped"]) for r in got)
+    assert kept == [(0, line, 0), (1, "", 1), (1, "", 1), (2, "", 1), (2, "x", 1), (3, line, 0), (3, "y", 0)]
 
 
 def test_empty_table_and_long_text(docs):
