@@ -62,16 +62,32 @@ def self_and_ancestors(path: Column) -> Column:
     return F.array_append(strict_ancestors(path), path)
 
 
-def sort_key(path: Column, is_dir: Column) -> Column:
-    """String whose byte order is the tree order: level by level, directories
-    before files, then by name. U+0000 ends a level, so a prefix comes first;
-    the two lowest code points are escaped in an order-keeping way."""
-    safe = F.when(
+def _low_escaped(path: Column) -> Column:
+    """The two lowest code points are escaped in an order-keeping way."""
+    return F.when(
         path.rlike("[\\x00\\x01]"),
         F.replace(
             F.replace(path, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01")
         ),
     ).otherwise(path)
+
+
+def span_key(path: Column) -> Column:
+    """String whose byte order keeps a subtree together: a path comes first, then all that
+    is below it, between the key followed by U+0000 and the key followed by U+0001."""
+    return F.replace(_low_escaped(path), F.lit("/"), F.lit("\x00"))
+
+
+def span_end(path: Column) -> Column:
+    """Above the keys of all that is below ``path``, below every key that follows them."""
+    return F.concat(span_key(path), F.lit("\x01"))
+
+
+def sort_key(path: Column, is_dir: Column) -> Column:
+    """String whose byte order is the tree order: level by level, directories
+    before files, then by name. U+0000 ends a level, so a prefix comes first;
+    the two lowest code points are escaped in an order-keeping way."""
+    safe = _low_escaped(path)
     dirs = F.concat(F.lit("0"), F.replace(safe, F.lit("/"), F.lit("\x000")))
     leaf = name(safe)
     above = F.substr(safe, F.lit(1), F.length(safe) - F.length(leaf) - 1)

@@ -8,6 +8,11 @@ composed level by level (up), the entry sums are handed back (down), and then
 every chunk assigns its own blocks. A chunk is only entered with sums up to the tokens
 before it in its repo, so steps above that are dropped; a repo that fits one part has
 two steps per chunk. Without a limit there are no steps at all.
+
+Functions are composed inside one task only while a group of them has ``GROUP_STEPS``
+steps at most. A limit far above the chunks' tokens can need a step for nearly every
+block; from there on two neighbours at a time are composed by a sweep over the entry sums,
+cut into ranges: the exit sums of the first meet the steps of the second.
 """
 
 from __future__ import annotations
@@ -19,16 +24,17 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import lookup_join, spread, stage
+from corpusloom.session import WINDOW_ROWS, lookup_join, spread, stage, swept
 
 # The functions below go to the executors by value; no package has to be there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK = 1024  # nodes of one repo handled by one task at a time
 FAN = 64  # chunk functions composed in one step
+GROUP_STEPS = 1_000_000  # steps that one task composes
 
 # Step function rows: from entry sum ``lo`` on (-1: empty part), ``opened`` new
 # parts, exit sum ``base`` plus, if ``keep``, the entry sum.
@@ -137,32 +143,112 @@ def _hand_down(steps: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["repo", "id", "part", "used"])
 
 
-def _entries(bags: DataFrame, last_chunk: int, fan: int) -> DataFrame:
+_PAIR = ["repo", "up"]
+
+
+def _halves(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first and the second function of every pair of neighbours."""
+    paired = level.withColumn("up", F.floor(F.col("id") / 2).cast("bigint"))
+    return paired.filter("id % 2 = 0").drop("id"), paired.filter("id % 2 = 1").drop("id")
+
+
+def _compose_wide(level: DataFrame, window_rows: int) -> DataFrame:
+    """``level`` with every two neighbours as one function, without a pair ever being in
+    one task. A function keeps the entry sum in one step at most, from sum 0 on."""
+    first, second = _halves(level)
+    step = F.struct("opened", "base", "keep")
+    # Every step of the first function leaves with one sum; the step of the second that
+    # begins at it or last before it is the one taken.
+    leaving = first.select(
+        *_PAIR, F.col("base").alias("key"), F.lit(1).alias("_asks"), "lo", step.alias("_f")
+    )
+    rows = leaving.unionByName(
+        second.select(*_PAIR, F.col("lo").alias("key"), F.lit(0).alias("_asks"), step.alias("_g")), allowMissingColumns=True
+    )
+    met = swept(rows, _PAIR, ["key", "_asks"], ["_g"], "last", window_rows).filter("_asks = 1")
+    # A pair's second function may be missing at the end of a repo.
+    f, g = F.col("_f"), F.col("_g_upto")
+    through = F.struct(
+        (f["opened"] + g["opened"]).alias("opened"),
+        (g["base"] + F.when(g["keep"], f["base"]).otherwise(0)).alias("base"),
+        (f["keep"] & g["keep"]).alias("keep"),
+    )
+    out = met.select(*_PAIR, "lo", F.when(g.isNotNull(), through).otherwise(f).alias("step"))
+    # Sums that the first function keeps arrive shifted: steps of the second that begin
+    # inside that stretch begin in the pair, too.
+    kept = first.groupBy(*_PAIR).agg(
+        F.max(F.when(F.col("keep"), F.col("base"))).alias("_shift"),
+        F.max(F.when(F.col("keep"), F.col("opened"))).alias("_already"),
+        F.min(F.when(F.col("lo") > 0, F.col("lo"))).alias("_until"),
+    ).filter("_shift is not null")
+    shifted = lookup_join(second, stage(kept), _PAIR, "inner").filter(
+        "lo > _shift and (_until is null or lo < _shift + _until)"
+    )
+    inner = shifted.select(
+        *_PAIR, (F.col("lo") - F.col("_shift")).alias("lo"),
+        F.struct(
+            (F.col("_already") + F.col("opened")).alias("opened"),
+            (F.col("base") + F.when(F.col("keep"), F.col("_shift")).otherwise(0)).alias("base"),
+            F.col("keep"),
+        ).alias("step"),
+    )
+    return out.unionByName(inner).select("repo", F.col("up").alias("id"), "lo", "step.*")
+
+
+def _hand_down_wide(level: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries of both functions of every pair from those of the pair."""
+    first, second = _halves(level)
+    entries = stage(entries.withColumnRenamed("id", "up"))
+    taken = F.max_by(F.struct("opened", "base", "keep"), "lo").alias("step")
+    reached = lookup_join(first, entries, _PAIR, "inner").filter("lo <= used").groupBy(*_PAIR, "part", "used").agg(taken)
+    step = F.col("step")
+    after = reached.select(
+        "repo", (2 * F.col("up") + 1).alias("id"), (F.col("part") + step["opened"]).alias("part"),
+        (step["base"] + F.when(step["keep"], F.col("used")).otherwise(0)).alias("used"),
+    )
+    there = second.select("repo", (2 * F.col("up") + 1).alias("id")).distinct()
+    before = entries.select("repo", (2 * F.col("up")).alias("id"), "part", "used")
+    return before.unionByName(after.join(there, ["repo", "id"], "left_semi"))
+
+
+def _entries(bags: DataFrame, last_chunk: int, fan: int, group_steps: int, window_rows: int) -> DataFrame:
     """Part number and token sum on entry to every chunk of the repos with more
     than one. ``last_chunk`` only sets the number of levels."""
-    up = F.floor(F.col("id") / fan).cast("bigint").alias("_up")
+
+    def up(by: int) -> Column:
+        return F.floor(F.col("id") / by).cast("bigint").alias("_up")
+
     chunks = bags.filter("last_chunk > 0").select(
         "repo", "chunk", "room", "reach", F.col("items.tokens").alias("tokens")
     )
     level = stage(chunks.mapInPandas(_all_chunk_steps, _STEPS))
-    levels = [level]
+    # From below: each level with the number of its functions that make one above.
+    levels = []
     top = last_chunk
-    while top >= fan:
-        level = stage(
-            level.groupBy("repo", up).applyInPandas(lambda steps: _compose(steps, fan), _STEPS)
-        )
-        levels.append(level)
-        top //= fan
-    entries = levels[-1].select(
+    while True:
+        most = level.groupBy("repo", up(fan)).count().agg(F.max("count")).first()[0] or 0
+        by = fan if most <= group_steps else 2
+        levels.append((level, by, most > group_steps))
+        if top < by:
+            break
+        if most <= group_steps:
+            level = stage(level.groupBy("repo", up(fan)).applyInPandas(lambda steps: _compose(steps, fan), _STEPS))
+        else:
+            level = stage(_compose_wide(level, window_rows))
+        top //= by
+    entries = levels[-1][0].select(
         "repo", F.lit(0).cast("bigint").alias("id"),
         F.lit(1).cast("bigint").alias("part"), F.lit(-1).cast("bigint").alias("used"),
     ).distinct()
-    for level in reversed(levels):
-        entries = (
-            level.groupBy("repo", up)
-            .cogroup(entries.groupBy("repo", "id"))
-            .applyInPandas(_hand_down, _ENTRY)
-        )
+    for level, by, wide in reversed(levels):
+        if wide:
+            entries = _hand_down_wide(level, entries)
+        else:
+            entries = (
+                level.groupBy("repo", up(by))
+                .cogroup(entries.groupBy("repo", "id"))
+                .applyInPandas(_hand_down, _ENTRY)
+            )
     return entries
 
 
@@ -223,6 +309,8 @@ def pack_parts(
     max_tokens: int = 0,
     chunk: int = CHUNK,
     fan: int = FAN,
+    group_steps: int = GROUP_STEPS,
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Assign blocks (repo, ord, tokens) to parts.
 
@@ -262,7 +350,7 @@ def pack_parts(
     last_chunk = facts.agg(F.max("last_chunk")).first()[0] or 0
     bags = bags.drop("sum").join(facts, ["repo", "chunk"])
     # used = -1 marks a part without a block.
-    given = _entries(bags, last_chunk, fan).withColumnRenamed("id", "chunk")
+    given = _entries(bags, last_chunk, fan, group_steps, window_rows).withColumnRenamed("id", "chunk")
     bags = bags.join(given, ["repo", "chunk"], "left")
     return spread(
         bags.select(

@@ -19,9 +19,11 @@ from corpusloom.functions.paths import (
     name,
     self_and_ancestors,
     sort_key,
+    span_end,
+    span_key,
     strict_ancestors,
 )
-from corpusloom.session import WINDOW_ROWS, built_once, lookup_join, number_in_order, stage
+from corpusloom.session import WINDOW_ROWS, built_once, lookup_join, number_in_order, stage, swept
 
 
 def directories(files: DataFrame) -> DataFrame:
@@ -145,28 +147,105 @@ def kept_files(files: DataFrame, globs: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def hide_descendants(nodes: DataFrame, collapsed: DataFrame) -> DataFrame:
-    """Drop nodes below a collapsed directory; the directory itself stays."""
-    above = nodes.select("repo", "path", F.explode(strict_ancestors(F.col("path"))).alias("_above"))
-    keys = collapsed.select("repo", F.col("path").alias("_above")).distinct()
-    hidden = lookup_join(above, keys, ["repo", "_above"], "left_semi").select("repo", "path")
-    return nodes.join(hidden.distinct(), ["repo", "path"], "left_anti")
+def hide_descendants(nodes: DataFrame, collapsed: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Drop nodes below a collapsed directory; the directory itself stays.
 
+    A subtree is one interval of keys. Along the keys of a repo, +1 opens the interval of a
+    collapsed directory and -1 closes it; nodes in between have a sum above 0. Only the nodes
+    themselves and two rows per directory are shuffled."""
+    shut = collapsed.select("repo", "path").distinct()
+    marks = shut.select(
+        "repo",
+        F.inline(F.array(
+            F.struct(F.concat(span_key(F.col("path")), F.lit("\x00")).alias("_key"), F.lit(1).alias("_open")),
+            F.struct(span_end(F.col("path")).alias("_key"), F.lit(-1).alias("_open")),
+        )),
+    )
+    return _inside(nodes, marks, "_open", "sum", window_rows).filter("coalesce(_open_upto, 0) = 0").drop("_open_upto")
 
-def select_subtree(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add ``selected``. A rule (repo, seq, path, selected) sets its path and
-    everything below; the last rule that applies wins; true without a rule."""
+
+def _inside(nodes: DataFrame, marks: DataFrame, value: str, how: str, window_rows: int) -> DataFrame:
+    """Nodes with ``<value>_upto`` of the marks (repo, _key, value) up to their own key."""
+    keyed = nodes.withColumns({"_key": span_key(F.col("path")), "_mark": F.lit(1)})
+    rows = keyed.unionByName(marks.withColumn("_mark", F.lit(0)), allowMissingColumns=True)
+    along = swept(rows, ["repo"], ["_key", "_mark"], [value], how, window_rows)
+    return along.filter("_mark = 1").drop("_key", "_mark", value)
+
+
+def _resolved(rules: DataFrame) -> DataFrame:
+    """(repo, path, inside, outside): what holds below each rule's path and around it, as the
+    last rule of a path and the paths above it. True where no rule is. Works on rules only."""
     latest = rules.groupBy("repo", F.col("path").alias("_rule")).agg(
         F.max("seq").alias("_seq"), F.max_by("selected", "seq").alias("_on")
     )
-    reach = nodes.select("repo", "path", F.explode(self_and_ancestors(F.col("path"))).alias("_rule"))
-    verdicts = (
+    reach = latest.select("repo", F.col("_rule").alias("path"), F.explode(self_and_ancestors(F.col("_rule"))).alias("_rule"))
+    above = F.when(F.col("_rule") != F.col("path"), F.col("_seq"))
+    return (
         lookup_join(reach, latest, ["repo", "_rule"], "inner")
         .groupBy("repo", "path")
-        .agg(F.max_by("_on", "_seq").alias("selected"))
+        .agg(
+            F.max_by("_on", "_seq").alias("inside"),
+            F.coalesce(F.max_by("_on", above), F.lit(True)).alias("outside"),
+        )
+    )
+
+
+def select_subtree(nodes: DataFrame, rules: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Add ``selected``. A rule (repo, seq, path, selected) sets its path and
+    everything below; the last rule that applies wins; true without a rule.
+
+    Along the keys of a repo, a rule's path begins what holds inside it and its end goes
+    back to what holds around it; a node takes what was said last. Ancestors are followed for
+    rules only, never for nodes."""
+    marks = _resolved(rules).select(
+        "repo",
+        F.inline(F.array(
+            F.struct(span_key(F.col("path")).alias("_key"), F.col("inside").alias("_on")),
+            F.struct(span_end(F.col("path")).alias("_key"), F.col("outside").alias("_on")),
+        )),
+    )
+    along = _inside(nodes, marks, "_on", "last", window_rows)
+    return along.withColumn("selected", F.coalesce("_on_upto", F.lit(True))).drop("_on_upto")
+
+
+def subtree_totals(nodes: DataFrame, sums: Sequence[str], window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """(repo, path, is_dir, n_files, <sums>): files and sums over each node and all below it,
+    and over the whole repo under the path ''.
+
+    They are differences of running sums between a directory's key and its end, so rows
+    are linear in the nodes, whatever their depth."""
+    file = F.when(F.col("is_dir"), 0).otherwise(1).cast("bigint")
+    own = {"n_files": file, **{c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in sums}}
+    rows = nodes.select("repo", "path", "is_dir", *[c.alias(n) for n, c in own.items()])
+    starts = rows.withColumns({"_key": span_key(F.col("path")), "_end": F.lit(0)})
+    nothing = {n: F.lit(0).cast("bigint") for n in own}
+    ends = rows.filter("is_dir").withColumns({**nothing, "_key": span_end(F.col("path")), "_end": F.lit(1)})
+    along = swept(starts.unionByName(ends), ["repo"], ["_key", "_end"], list(own), "sum", window_rows)
+    dirs = along.filter("is_dir").groupBy("repo", "path", "is_dir").agg(
+        *[(F.sum(F.when(F.col("_end") == 1, F.col(f"{n}_upto")).otherwise(F.col(n) - F.col(f"{n}_upto")))).alias(n) for n in own]
+    )
+    whole = rows.groupBy("repo").agg(*[F.sum(n).alias(n) for n in own])
+    whole = whole.withColumns({"path": F.lit(""), "is_dir": F.lit(True)})
+    return rows.filter("not is_dir").unionByName(dirs).unionByName(whole)
+
+
+def selection_totals(totals: DataFrame, rules: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """(repo, selected_files, all_files, selected_<sums>) of a selection, out of the written
+    table of ``subtree_totals``. A rule changes the totals by those of its own subtree, if it
+    differs from what holds around it; nested rules add up. No node is looked at but those that
+    rules name, so another selection costs as much as it has rules."""
+    changes = _resolved(rules).filter("inside <> outside").select(
+        "repo", "path", F.when(F.col("inside"), 1).otherwise(-1).cast("bigint").alias("_sign")
+    )
+    names = ["n_files", *sums]
+    changed = lookup_join(totals.filter("path <> ''"), changes, ["repo", "path"], "inner").groupBy("repo").agg(
+        *[F.sum(F.col(n) * F.col("_sign")).alias(f"_{n}") for n in names]
     )
-    return nodes.join(verdicts, ["repo", "path"], "left").withColumn(
-        "selected", F.coalesce("selected", F.lit(True))
+    whole = lookup_join(totals.filter("path = ''"), changed, ["repo"])
+    after = {n: F.col(n) + F.coalesce(f"_{n}", F.lit(0).cast("bigint")) for n in names}
+    return whole.select(
+        "repo", after["n_files"].alias("selected_files"), F.col("n_files").alias("all_files"),
+        *[after[n].alias(f"selected_{n}") for n in sums],
     )
 
 

@@ -14,6 +14,7 @@ from corpusloom.functions.secrets import passes_gate
 from corpusloom.operators import tree, unpacking
 from corpusloom.plans import pack as plan
 from corpusloom.plans import unpack as unplan
+from corpusloom.session import stage
 from corpusloom.sources import views
 
 GLOBS = ["*.css", "d?", "logs/*/d1", "d.x", "[a-", "lib*/*"]
@@ -139,6 +140,10 @@ def select_subtree(spark, sf):
     return tree.select_subtree(nodes, rules).select("repo", "path", "is_dir", "selected")
 
 
+def subtree_totals(spark, sf):
+    return tree.subtree_totals(tree.tree_nodes(_tree(spark, sf)), ["size"])
+
+
 def _selection(spark, sf):
     """Rules taken from the directories: 'd...' off, below 'src' on again, 'lib' off."""
     name = paths.name(F.col("path"))
@@ -317,6 +322,15 @@ def corpus_summary(spark, sf):
     return plan.corpus_summary(plan.token_nodes(_tree(spark, sf), selection=_selection(spark, sf)))
 
 
+def selection_totals(spark, sf):
+    sums = ["size", "token_count"]
+    totals = stage(tree.subtree_totals(plan.token_nodes(_tree(spark, sf)), sums))
+    return tree.selection_totals(totals, _selection(spark, sf), sums).select(
+        "repo", "selected_files", "all_files", F.col("selected_size").alias("selected_bytes"),
+        F.col("selected_token_count").alias("selected_tokens"),
+    )
+
+
 def context_fit(spark, sf):
     return plan.context_fit(corpus_summary(spark, sf)).select("repo", "selected_tokens", "fit")
 
@@ -391,6 +405,7 @@ _QUERIES: dict[str, Query] = {
     "secret_gate_misses": secret_gate_misses,
     "hide_descendants": hide_descendants,
     "select_subtree": select_subtree,
+    "subtree_totals": subtree_totals,
     "path_parts": path_parts,
     "lang_label": lang_label,
     "size_kb": size_kb,
@@ -423,6 +438,7 @@ _QUERIES: dict[str, Query] = {
     "secret_findings_packed": secret_findings_packed,
     "secret_flag": secret_flag,
     "corpus_summary": corpus_summary,
+    "selection_totals": selection_totals,
     "context_fit": context_fit,
     "secret_rollup": secret_rollup,
     "strip_savings": strip_savings,

@@ -168,3 +168,55 @@ def number_in_order(
         .withColumn(name, F.col("_row") + F.coalesce("_offset", F.lit(0).cast("bigint")))
         .drop("_row", "_range", "_offset")
     )
+
+
+def swept(
+    df: DataFrame, groups: list[str], order: list[str], values: list[str], how: str = "sum",
+    window_rows: int = WINDOW_ROWS,
+) -> DataFrame:
+    """Add ``<value>_upto`` for each of ``values``: their sum over the rows of the group up
+    to this one in ``order``, or with ``how='last'`` the last one that is not null.
+
+    Like ``number_in_order``, a group counted to have more than ``window_rows`` rows is cut
+    into ranges of (group, order). A range continues at most one group from the ranges before
+    it, so what is carried into ranges has no more rows than there are ranges and is broadcast.
+    """
+    def over(window, value: str) -> Column:
+        return (F.sum(value) if how == "sum" else F.last(value, ignorenulls=True)).over(window)
+
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    largest = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    if largest <= window_rows:
+        whole = Window.partitionBy(*groups).orderBy(*order).rowsBetween(*upto)
+        return df.withColumns({f"{v}_upto": over(whole, v) for v in values})
+    staged = stage(
+        stage(df).repartitionByRange(*groups, *order).withColumn("_range", F.spark_partition_id())
+    )
+
+    def of_range(value: str) -> Column:
+        if how == "sum":
+            return F.sum(value)
+        return F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        staged.groupBy(*groups, "_range")
+        .agg(*[of_range(v).alias(v) for v in values])
+        .withColumn("_first", F.row_number().over(Window.partitionBy(*groups).orderBy("_range")))
+        .withColumns({f"_{v}_carried": over(earlier, v) for v in values})
+        .filter("_first > 1")
+        .select(*groups, "_range", *[f"_{v}_carried" for v in values])
+    )
+    inside = Window.partitionBy("_range", *groups).orderBy(*order).rowsBetween(*upto)
+    met = staged.withColumns({f"{v}_upto": over(inside, v) for v in values}).join(
+        F.broadcast(carried), [*groups, "_range"], "left"
+    )
+
+    def joined(value: str) -> Column:
+        own, before = F.col(f"{value}_upto"), F.col(f"_{value}_carried")
+        if how == "last":
+            return F.coalesce(own, before)
+        return F.coalesce(own + before, own, before)
+
+    met = met.withColumns({f"{v}_upto": joined(v) for v in values})
+    return met.drop("_range", *[f"_{v}_carried" for v in values])

@@ -11,13 +11,13 @@ from corpusloom.operators.packing import pack_parts
 from corpusloom.plans import pack as plan
 
 
-def run(spark, repos, limit, chunk, fan=packing.FAN):
+def run(spark, repos, limit, chunk, fan=packing.FAN, **bounds):
     """repos: {repo: (overhead, [tokens])} -> {repo: [(part, before)]}"""
     rows = [(r, i, t) for r, (_, ts) in repos.items() for i, t in enumerate(ts, 1)]
     blocks = spark.createDataFrame(rows, "repo string, ord bigint, tokens bigint")
     overhead = spark.createDataFrame([(r, o) for r, (o, _) in repos.items()], "repo string, overhead bigint")
     out = {}
-    for row in pack_parts(blocks, overhead, limit, chunk, fan).orderBy("repo", "ord").collect():
+    for row in pack_parts(blocks, overhead, limit, chunk, fan, **bounds).orderBy("repo", "ord").collect():
         out.setdefault(row["repo"], []).append((row["part"], row["before"]))
     return out
 
@@ -53,6 +53,55 @@ def test_chunks_compose_over_several_levels(spark):
             assert got[repo] == models.next_fit(tokens, room), (repo, limit)
 
 
+@pytest.mark.parametrize("window_rows, limits", [(0, [2500]), (10**6, [150, 6000])])
+def test_functions_of_many_steps(spark, window_rows, limits):
+    """Composed by ranges of entry sums, at limits around and far above the chunks' tokens."""
+    rng = random.Random(8)
+    repos = {"big": (7, [rng.choice([0, 1, 3, 9, 40, 120]) for _ in range(500)])}
+    repos |= {f"s{i}": (rng.randint(0, 120), [rng.randint(0, 60) for _ in range(rng.randint(1, 60))]) for i in range(5)}
+    for limit in limits:
+        got = run(spark, repos, limit, 8, fan=3, group_steps=4, window_rows=window_rows)
+        for repo, (overhead, tokens) in repos.items():
+            assert got[repo] == models.next_fit(tokens, limit - overhead), (repo, limit)
+
+
+def test_pairs_equal_composition_in_one_task(spark):
+    """Every entry sum, not only those that occur."""
+    rng = np.random.default_rng(4)
+    room = 900
+    frames = [packing._chunk_steps("r", i, room, 10**9, rng.integers(0, 30, 25)) for i in range(5)]
+    level = spark.createDataFrame(pd.concat(frames), packing._STEPS)
+    wide = packing._compose_wide(level, 10**6).toPandas()
+    sums = np.arange(-1, room + 1)
+
+    def leave(steps, used):
+        f = steps.sort_values("lo")[["lo", "opened", "base", "keep"]].to_numpy(dtype="int64")
+        hit = packing._at(f, used)
+        return hit[:, 1], hit[:, 2] + hit[:, 3] * used
+
+    assert sorted(wide["id"].unique()) == [0, 1, 2]
+    for k in range(3):
+        opened, used = leave(frames[2 * k], sums)
+        if 2 * k + 1 < 5:
+            more, used = leave(frames[2 * k + 1], used)
+            opened = opened + more
+        got = leave(wide[wide["id"] == k], sums)
+        assert (got[0] == opened).all() and (got[1] == used).all()
+
+
+def test_a_repo_of_a_million_blocks(spark):
+    """A limit of about 300 chunks: no task composes more than 20,000 steps."""
+    n, limit = 1_000_000, 300 * packing.CHUNK * 50
+    tokens = F.pmod(F.xxhash64("id"), F.lit(100)).cast("bigint")
+    blocks = spark.range(1, n + 1).select(F.lit("r").alias("repo"), F.col("id").alias("ord"), tokens.alias("tokens"))
+    overhead = spark.createDataFrame([("r", 10)], "repo string, overhead bigint")
+    placed = pack_parts(blocks, overhead, limit, group_steps=20_000).select("ord", "tokens", "part", "before").toPandas()
+    placed = placed.sort_values("ord")
+    expected = np.array(models.next_fit(placed["tokens"].tolist(), limit - 10))
+    assert len(placed) == n and expected[-1, 0] > 3
+    assert (placed[["part", "before"]].to_numpy() == expected).all()
+
+
 FILES = [
     ("r", "src/a.go", "package a\n// c\nfunc A() {}\n"),
     ("r", "src/b.py", "# c\nx = 1\n"),

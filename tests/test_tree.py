@@ -274,3 +274,92 @@ def test_rules_are_met_repo_by_repo(spark):
     marked = tree.ignore_reason(tree.tree_nodes(files), tree.ignore_rules(files)).groupBy("reason").count()
     plan = marked._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort [repo" in plan
+
+
+def random_tree(rng, repos, files):
+    """Rows (repo, path, is_dir, size) with names that sort around the separator."""
+    names = ["a", "b", "a.b", "a-b", "a\x01", "a\x00x", "é", "zz"]
+    rows = set()
+    for _ in range(files):
+        repo, path = f"r{rng.randrange(repos)}", "/".join(rng.choice(names) for _ in range(rng.randint(1, 5)))
+        above = [path.rsplit("/", k)[0] for k in range(1, path.count("/") + 1)]
+        if (repo, path + "/f", False) in rows or any((repo, p, False) in rows for p in above):
+            continue
+        rows.add((repo, path + "/f", False))
+        rows |= {(repo, p, True) for p in [path, *above]}
+    return sorted((*r, 0 if r[2] else rng.randrange(100)) for r in rows)
+
+
+NODE_SCHEMA = "repo string, path string, is_dir boolean, size bigint"
+
+
+@pytest.mark.parametrize("window_rows", [0, 10**6])
+def test_subtrees_of_random_trees(spark, window_rows):
+    rng = random.Random(window_rows + 1)
+    nodes = random_tree(rng, 3, 250)
+    dirs = [n for n in nodes if n[2]]
+    below = lambda path, top: path.startswith(top + "/")
+    df = frame(spark, nodes, NODE_SCHEMA).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shut = rng.sample(dirs, 12)
+        got = {tuple(r) for r in tree.hide_descendants(df, frame(spark, shut, NODE_SCHEMA), window_rows).collect()}
+        assert got == {n for n in nodes if not any(n[0] == s[0] and below(n[1], s[1]) for s in shut)}
+
+        picked = rng.sample(nodes, 40) + [("r0", "absent/x", False, 0), ("none", "a", True, 0)]
+        rules = [(n[0], seq, n[1], rng.random() < 0.5) for seq, n in enumerate(picked + picked[:5])]
+
+        def on(n):
+            verdict = True
+            for repo, _, path, selected in rules:
+                if repo == n[0] and (n[1] == path or below(n[1], path)):
+                    verdict = selected
+            return verdict
+
+        rule_df = frame(spark, rules, "repo string, seq int, path string, selected boolean")
+        marked = tree.select_subtree(df, rule_df, window_rows)
+        assert marked.columns == [*df.columns, "selected"]
+        assert {tuple(r) for r in marked.collect()} == {(*n, on(n)) for n in nodes}
+
+        totals = tree.subtree_totals(df, ["size"], window_rows)
+        expected = {}
+        for repo, path, is_dir, _ in [*nodes, *((r, "", True, 0) for r in {n[0] for n in nodes})]:
+            own = [n for n in nodes if n[0] == repo and not n[2] and (path == "" or n[1] == path or below(n[1], path))]
+            expected[repo, path] = (is_dir, len(own), sum(n[3] for n in own))
+        assert {(r.repo, r.path): (r.is_dir, r.n_files, r["size"]) for r in totals.collect()} == expected
+
+        summed = tree.selection_totals(totals, rule_df, ["size"]).collect()
+        for r in summed:
+            chosen = [n for n in nodes if n[0] == r.repo and not n[2] and on(n)]
+            assert (r.selected_files, r.selected_size) == (len(chosen), sum(n[3] for n in chosen))
+            assert r.all_files == expected[r.repo, ""][1]
+        assert len(summed) == len({n[0] for n in nodes})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("how", ["sum", "last"])
+def test_sweep_over_ranges(spark, how):
+    rng = random.Random(5)
+    rows = [(rng.choice("aab"), k, rng.choice([None, None, 1, 2, 3])) for k in range(4000)]
+    df = frame(spark, rows, "g string, k int, v int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.k: r.v_upto for r in session.swept(df, ["g"], ["k"], ["v"], how, window_rows=0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    state = {}
+    for g, k, v in rows:
+        if v is not None:
+            state[g] = v if how == "last" else state.get(g, 0) + v
+        assert got[k] == state.get(g)
+
+
+def test_subtree_operators_without_rows(spark):
+    none = frame(spark, [], NODE_SCHEMA)
+    rules = frame(spark, [], "repo string, seq int, path string, selected boolean")
+    one = frame(spark, [("r", "a", False, 3)], NODE_SCHEMA)
+    assert tree.hide_descendants(none, one).collect() == []
+    assert tree.select_subtree(one, rules).first().selected
+    assert [r.n_files for r in tree.subtree_totals(one, ["size"]).collect()] == [1, 1]
+    assert tree.selection_totals(tree.subtree_totals(none, ["size"]), rules, ["size"]).collect() == []
