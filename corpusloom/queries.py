@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,11 @@ from corpusloom.functions.secrets import passes_gate
 from corpusloom.operators import tree, unpacking
 from corpusloom.plans import pack as plan
 from corpusloom.plans import unpack as unplan
-from corpusloom.session import stage
-from corpusloom.sources import views
+from corpusloom.session import stage, staging_root
+from corpusloom.sources import snapshots, views
 
 GLOBS = ["*.css", "d?", "logs/*/d1", "d.x", "[a-", "lib*/*"]
+BUCKETS = 32  # of the snapshot that blocks are committed to
 SMALL_GLOBS = ["*.css", "docs/*/d[^0-2]", "[a-"]
 LIMIT = 2_000
 PIECE_TOKENS, TREE_CHUNK = 300, 7  # small, so that trees and parts come as several rows
@@ -74,10 +76,20 @@ def part_names(spark, sf):
     return plan.part_names(plan.pack(_tree(spark, sf), LIMIT), "out", ".md")
 
 
-def apply_blocks(spark, sf):
+def _latest_blocks(spark, sf):
     blocks = unpacking.safe_blocks(unpacking.unpack(_responses(spark, sf)))
-    latest = unpacking.latest_block(blocks, ["repo", "clean_path"], ["resp_id", "block_ord"])
-    return unpacking.apply_blocks(_files(spark, sf), latest)
+    return unpacking.latest_block(blocks, ["repo", "clean_path"], ["resp_id", "block_ord"])
+
+
+def apply_blocks(spark, sf):
+    return unpacking.apply_blocks(_files(spark, sf), _latest_blocks(spark, sf))
+
+
+def commit_blocks(spark, sf):
+    root = f"{staging_root(spark)}/snapshot-{uuid.uuid4().hex}"
+    snapshots.create_snapshot(_files(spark, sf), root, BUCKETS)
+    snapshots.commit_blocks(spark, root, _latest_blocks(spark, sf))
+    return snapshots.read_snapshot(spark, root)
 
 
 # Filters ----------------------------------------------------------------------
@@ -396,6 +408,7 @@ _QUERIES: dict[str, Query] = {
     "tree_nodes": tree_nodes,
     "part_names": part_names,
     "apply_blocks": apply_blocks,
+    "commit_blocks": commit_blocks,
     "ignore_glob": ignore_glob,
     "ignore_file": ignore_file,
     "ignore_default": ignore_default,
