@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.render import render
 from corpusloom.functions.text import cdata_restore
-from corpusloom.operators.tree import kept_files
+from corpusloom.operators.tree import kept_files, row_visible
 from corpusloom.operators.unpacking import (
     apply_blocks,
     latest_block,
@@ -16,6 +16,7 @@ from corpusloom.operators.unpacking import (
     unpack,
     xml_blocks,
 )
+from corpusloom.plans.pack import Packed, part_body, text
 
 
 def unpack_into(
@@ -50,6 +51,42 @@ def roundtrip_report(files: DataFrame) -> DataFrame:
     return source.select("repo", "path", F.inline(F.array(*results)))
 
 
+def roundtrip_parts(packed: Packed, piece_tokens: int | None = None) -> DataFrame:
+    """Unpack the part texts of a pack and follow every block to its file.
+
+    (repo, part, path, fidelity). A file's own block is the first of its path in its part:
+    exact, newline, changed or missing as in ``roundtrip_report``, but neighbours count: a lone
+    close tag or fence in one file may cut it short or swallow the next. Blocks that belong to
+    no file are reported, too: repeated (a later block of a path of the part) or invented (a
+    path that isn't in the part). Every row of a part text is unpacked by itself.
+    """
+    sizes = {} if piece_tokens is None else {"piece_tokens": piece_tokens}
+    blocks = unpack(part_body(packed, **sizes), "xml" if packed.fmt.lower() == "xml" else "markdown")
+    own = Window.partitionBy("repo", "part", "path").orderBy("piece", "block_ord")
+    blocks = blocks.select(
+        "repo", "part", "path", F.col("content").alias("back"), F.row_number().over(own).alias("nth")
+    )
+    # The text that was packed, by the part it is in. Only that much is shuffled.
+    placed = packed.parts.select("repo", "path", "part")
+    sent = row_visible(packed.files, packed.globs).select("repo", "path", "content").join(placed, ["repo", "path"])
+    sent = sent.select("repo", "part", "path", text(packed.strip).alias("content"), F.lit(1).alias("nth"))
+    sent = sent.withColumn("sent", F.lit(True))
+    met = sent.join(blocks, ["repo", "part", "path", "nth"], "full")
+    content, back = F.col("content"), F.col("back")
+    fidelity = (
+        F.when(F.col("sent") & back.isNull(), "missing")
+        .when(F.col("sent").isNull(), "repeated")
+        .when(back == content, "exact")
+        .when(F.concat(back, F.lit("\n")) == content, "newline")
+        .otherwise("changed")
+    )
+    # Later blocks of a path that isn't in the part are invented like the first.
+    known = F.max("sent").over(Window.partitionBy("repo", "part", "path"))
+    met = met.withColumn("_known", known)
+    fidelity = F.when(F.col("_known").isNull(), "invented").otherwise(fidelity)
+    return met.select("repo", "part", "path", fidelity.alias("fidelity"))
+
+
 def _own_content(blocks: Column) -> Column:
     """Content that came back under the file's own path."""
     mine = F.filter(blocks, lambda b: b["path"] == F.col("path"))

@@ -392,6 +392,14 @@ def roundtrip_report(spark, sf):
     return unplan.roundtrip_report(_tree(spark, sf))
 
 
+def roundtrip_parts_xml(spark, sf):
+    return unplan.roundtrip_parts(plan.pack(_tree(spark, sf), LIMIT, "xml", strip=False))
+
+
+def roundtrip_parts_markdown(spark, sf):
+    return unplan.roundtrip_parts(plan.pack(_tree(spark, sf), LIMIT, strip=False))
+
+
 def _wide(query: Query) -> Query:
     """Integers as bigint, the integer type of the SQL texts."""
 
@@ -461,6 +469,8 @@ _QUERIES: dict[str, Query] = {
     "unpack_auto": _unpack("auto"),
     "unpack_quarantine": unpack_quarantine,
     "roundtrip_report": roundtrip_report,
+    "roundtrip_parts_xml": roundtrip_parts_xml,
+    "roundtrip_parts_markdown": roundtrip_parts_markdown,
 }
 
 QUERIES = {name: _wide(query) for name, query in _QUERIES.items()}
