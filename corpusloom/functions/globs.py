@@ -73,23 +73,41 @@ def glob_regex(glob: str, within_segment: bool) -> str | None:
     return "".join(out)
 
 
-def custom_ignore(path: Column, globs: list[str]) -> Column:
-    """True if a glob matches the path, a directory above it or one segment."""
+def custom_regex(globs: list[str]) -> str | None:
+    """Found in a path if a glob matches it, a directory above it or one segment."""
     names, paths = [], []
     for glob in (g.strip() for g in globs):
         if glob and glob_regex(glob, True) is not None:
             names.append(glob_regex(glob, True))
             paths.append(glob_regex(glob, False))
     if not names:
-        return F.lit(False)
-    return path.rlike(
-        rf"(?:\A|/)(?:{'|'.join(names)}){_END}|\A(?:{'|'.join(paths)}){_END}"
-    )
+        return None
+    return rf"(?:\A|/)(?:{'|'.join(names)}){_END}|\A(?:{'|'.join(paths)}){_END}"
+
+
+def custom_ignore(path: Column, globs: list[str]) -> Column:
+    """True if a glob matches the path, a directory above it or one segment."""
+    regex = custom_regex(globs)
+    return path.rlike(regex) if regex else F.lit(False)
+
+
+_DEFAULT = rf"(?:\A|/)(?:{'|'.join(re.escape(n) for n in DEFAULT_IGNORED)}){_END}"
 
 
 def default_ignore(path: Column) -> Column:
-    names = "|".join(re.escape(n) for n in DEFAULT_IGNORED)
-    return path.rlike(rf"(?:\A|/)(?:{names}){_END}")
+    return path.rlike(_DEFAULT)
+
+
+def hidden_in_python(globs: list[str]) -> str:
+    """Both of the above for ``re.search``, which writes two things in another way."""
+    java = "|".join(f"(?:{r})" for r in (custom_regex(globs), _DEFAULT) if r)
+
+    def other(m: re.Match) -> str:
+        if m[1]:
+            return rf"\U{int(m[1], 16):08x}"
+        return r"\Z" if m[2] == "z" else m[0]
+
+    return re.sub(r"(?s)\\(?:x\{([0-9a-f]+)\}|(.))", other, java)
 
 
 # Pieces of an ignore-file pattern: word, escape, set, three '**' forms, wildcards.

@@ -2,24 +2,27 @@
 
 Spark's file sources leave out names that begin with '.' or '_' and empty files,
 but ``.gitignore`` and ``.env`` matter here. So directories are listed by tasks,
-one level of all trees at a time, and files are read by tasks as well. Nothing
-passes through the driver.
+a bounded number of them from each place at a time, and files are read by tasks as
+well. Nothing passes through the driver.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import stat
 import sys
+from collections import deque
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.constants import BINARY_EXTENSIONS
-from corpusloom.functions.globs import custom_ignore, default_ignore
+from corpusloom.functions.globs import hidden_in_python
 from corpusloom.functions.paths import extension
 from corpusloom.session import is_local, stage
 
@@ -32,6 +35,7 @@ _BATCH_ROWS = 5_000
 _BATCH_BYTES = 32 * 1024 * 1024
 
 
+LISTED_AT_ONCE = 64  # directories that a task lists from one place before it hands on the rest
 HEAD_BYTES = 512  # a file with a NUL byte here is a binary and not read further
 
 
@@ -78,18 +82,30 @@ def _remote_entries(store, folder: str) -> Iterator[tuple[str, bool, int]]:
         yield info.base_name, is_dir, 0 if is_dir else info.size
 
 
-def _list(batches: Iterator[pd.DataFrame], local: bool) -> Iterator[pd.DataFrame]:
+def _list(batches: Iterator[pd.DataFrame], local: bool, hidden: str | None, budget: int) -> Iterator[pd.DataFrame]:
+    """Files below each directory, as far as ``budget`` directories go, nearest first;
+    directories still to be entered come as rows of their own."""
     columns = ["repo", "root", "path", "is_dir", "size"]
     rows, stores = [], _Stores(local)
+    skipped = re.compile(hidden).search if hidden else lambda path: None
     for batch in batches:
-        for repo, root, path in zip(batch["repo"], batch["root"], batch["path"]):
-            store, folder = stores.at(f"{root}/{path}" if path else root)
-            entries = _remote_entries(store, folder) if store else _local_entries(folder)
-            for name, is_dir, size in entries:
-                rows.append((repo, root, f"{path}/{name}" if path else name, is_dir, size))
-                if len(rows) >= _BATCH_ROWS:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+        for repo, root, top in zip(batch["repo"], batch["root"], batch["path"]):
+            waiting = deque([top])
+            for _ in range(budget):
+                if not waiting:
+                    break
+                path = waiting.popleft()
+                store, folder = stores.at(f"{root}/{path}" if path else root)
+                for name, is_dir, size in _remote_entries(store, folder) if store else _local_entries(folder):
+                    below = f"{path}/{name}" if path else name
+                    if not is_dir:
+                        rows.append((repo, root, below, False, size))
+                    elif not skipped(below):
+                        waiting.append(below)
+                    if len(rows) >= _BATCH_ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            rows += [(repo, root, path, True, 0) for path in waiting]
     yield pd.DataFrame(rows, columns=columns)
 
 
@@ -116,26 +132,28 @@ def _read(batches: Iterator[pd.DataFrame], local: bool, whole: bool) -> Iterator
     yield pd.DataFrame(rows, columns=columns)
 
 
-def list_trees(roots: DataFrame, globs: Sequence[str] = (), everything: bool = False) -> DataFrame:
+def list_trees(
+    roots: DataFrame, globs: Sequence[str] = (), everything: bool = False, budget: int = LISTED_AT_ONCE
+) -> DataFrame:
     """Files below every root, from ``roots`` (repo, root): repo, root, path,
     is_dir, size. Ignored directories are not entered, unless ``everything`` is asked
-    for. There is one job per level of the deepest tree, whatever the number of trees."""
+    for. A job lists up to ``budget`` directories from every place that was left open by the
+    job before, so a wide tree is soon dealt out to all tasks and a deep one takes a
+    ``budget``-th of its depth in jobs."""
     tasks = roots.sparkSession.sparkContext.defaultParallelism
-    hidden: Column = custom_ignore(F.col("path"), list(globs)) | default_ignore(F.col("path"))
-    hidden = F.lit(False) if everything else hidden
+    hidden = None if everything else hidden_in_python(list(globs))
     local = is_local(roots.sparkSession.sparkContext.master)
     frontier = roots.select("repo", F.rtrim("root", F.lit("/")).alias("root"), F.lit("").alias("path"))
-    levels = []
+    rounds = []
     while True:
-        level = stage(frontier.repartition(tasks * 4, "repo", "path").mapInPandas(lambda b: _list(b, local), _ENTRY))
-        levels.append(level.filter(~F.col("is_dir")))
-        frontier = level.filter(F.col("is_dir") & ~hidden).select("repo", "root", "path")
+        listed = stage(
+            frontier.repartition(tasks * 4, "repo", "path").mapInPandas(lambda b: _list(b, local, hidden, budget), _ENTRY)
+        )
+        rounds.append(listed.filter(~F.col("is_dir")))
+        frontier = listed.filter("is_dir").select("repo", "root", "path")
         if frontier.isEmpty():
             break
-    files = levels[0]
-    for level in levels[1:]:
-        files = files.unionByName(level)
-    return files
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def _contents(listed: DataFrame, whole: bool) -> DataFrame:

@@ -328,3 +328,47 @@ def test_streams(spark, tmp_path, responses):
     assert got[".env"].findings == [ENV_LABEL, "Generic API Key/Secret"]
     batch = sorted(tuple(r) for r in unpacking.unpack(responses).collect())
     assert sorted(tuple(r) for r in run("s_unpack", "responses", responses.schema, unpacking.unpack)) == batch
+
+
+def test_a_deep_chain_takes_few_jobs(spark, tmp_path, monkeypatch):
+    folder, expected = tmp_path / "deep", set()
+    for k in range(200):
+        folder = folder / f"d{k}"
+        if k == 150:
+            (tmp_path / "deep").joinpath(*[f"d{i}" for i in range(150)], "node_modules").mkdir(parents=True)
+    folder.mkdir(parents=True)
+    at = tmp_path / "deep"
+    for k in range(200):
+        at = at / f"d{k}"
+        if k % 9 == 0:
+            (at / f"f{k}").write_text("x")
+            expected.add(str((at / f"f{k}").relative_to(tmp_path / "deep")))
+    (tmp_path / "deep" / "d0" / "node_modules").mkdir()
+    (tmp_path / "deep" / "d0" / "node_modules" / "x").write_text("x")
+    for k in range(300):  # and a wide place
+        (tmp_path / "deep" / "wide" / f"w{k}").mkdir(parents=True)
+        (tmp_path / "deep" / "wide" / f"w{k}" / "f").write_text("x")
+        expected.add(f"wide/w{k}/f")
+    jobs = []
+    staged = trees.stage
+    monkeypatch.setattr(trees, "stage", lambda df: jobs.append(1) or staged(df))
+    roots = spark.createDataFrame([("r", str(tmp_path / "deep"))], "repo string, root string")
+    for budget, most in ((64, 6), (7, 40)):
+        jobs.clear()
+        listed = [r.path for r in trees.list_trees(roots, budget=budget).collect()]
+        assert len(listed) == len(set(listed)) and set(listed) == expected
+        assert len(jobs) <= most
+
+
+def test_hidden_directories_in_python_and_spark(spark):
+    import re
+
+    from corpusloom.functions import globs
+
+    patterns = ["*.x", "[a-c]?", "a\\*b", "x\\zy", "lib*/d", "[^é]z", "q[", "^$"]
+    names = ["a.x", "b1", "a*b", "x\\zy", "xzy", "libs/d", "u/libs/d", "éz", "yz", "q[", "^$", "node_modules", "k/.git/y", "a.x\n"]
+    df = spark.createDataFrame([(n,) for n in names], "p string")
+    both = globs.custom_ignore(F.col("p"), patterns) | globs.default_ignore(F.col("p"))
+    search = re.compile(globs.hidden_in_python(patterns)).search
+    for row in df.select("p", both.alias("hidden")).collect():
+        assert bool(search(row.p)) is row.hidden, row.p
