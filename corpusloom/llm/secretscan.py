@@ -3,11 +3,17 @@
 Base findings come from three patterns. Besides, every candidate string (a run of
 key-like characters) is scanned per character class: a window slides over the run, its
 Shannon entropy is kept up to date from incremental counts, and windows above the
-threshold of the class are joined to spans. An allow-list suppresses entropy spans that
-are no secrets; it never removes base findings.
+threshold of the class are joined to spans. An allow-list names what is dense but no
+secret by its own shape: UUIDs, digests with their name, documented sample keys. Candidates
+are cut there, and what is left on either side is scanned as before. Inside a URL each part
+between '/', '-' and other marks is a candidate of its own, so that keys in user parts, paths
+and queries are found and words joined by hyphens are not. Base findings are never touched.
 
 Defined results: a null text counts as empty and has no span. Every row is scanned by
-itself, so repeated rows and ids give repeated results. Positions are code points.
+itself, so repeated rows and ids give repeated results. Spans of one start come in the order
+of ``KINDS``, then by end. Positions are code points. An empty table gives no rows. Texts are
+scanned whole, in time linear in their length. Columns are picked by name at the start, so
+others don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,13 +39,15 @@ CLASSES = {
     "entropy_base64": ("A-Za-z0-9+/_-", 3.8),
 }
 KINDS = ["assign", "access", "hex", *CLASSES]
-# Entropy spans that overlap one of these are dropped. Fixed values.
+_KEY = "A-Za-z0-9+/_-"
+# Stretches that are no part of a candidate. Fixed values.
 ALLOW = [
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"https?://[^\s\"'<>]+",
-    r"(?:sha1|sha256|sha512|md5)[:-][0-9a-zA-Z+/=]+",
+    r"(?<![0-9a-fA-F-])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F-])",
+    r"(?:md5[:-][0-9a-fA-F]{32}|sha1[:-][0-9a-fA-F]{40}|sha256[:-](?:[0-9a-fA-F]{64}|[0-9A-Za-z+/]{43}=)"
+    r"|sha512[:-](?:[0-9a-fA-F]{128}|[0-9A-Za-z+/]{86}==))(?![0-9A-Za-z+/])",
+    # A sample key ends in this word and is no longer than the keys it stands for.
+    rf"(?<![{_KEY}])[{_KEY}]{{0,33}}EXAMPLE(?:KEY)?(?![{_KEY}])",
 ]
-ALLOW_WORD = "EXAMPLE"  # a candidate that holds it is a documented sample
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -46,7 +55,9 @@ _ASSIGN = re.compile(
 _WORDS = ("passw", "secret", "token", "api")  # every keyword has one of these
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{WINDOW},}}")
+_RUN = re.compile(rf"(?<![{_KEY}])[{_KEY}]{{{WINDOW},}}")
+_URL = re.compile(r"https?://[^\s\"'<>]+")
+_URL_PART = re.compile(rf"[A-Za-z0-9+_]{{{WINDOW},}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _ALLOW = re.compile("|".join(ALLOW))
 
@@ -89,23 +100,48 @@ def dense_windows(run: str, least: float, window: int = WINDOW) -> list[tuple[in
 _CLASS_RUNS = {kind: (re.compile(rf"[{chars}]{{{WINDOW},}}"), least) for kind, (chars, least) in CLASSES.items()}
 
 
+def _cut(start: int, end: int, stretches: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of start to end without the stretches, which are sorted and apart."""
+    k = max(0, bisect_left(stretches, (start, 0)) - 1)
+    while k < len(stretches) and stretches[k][0] < end:
+        if stretches[k][1] > start:
+            if stretches[k][0] > start:
+                yield start, stretches[k][0]
+            start = stretches[k][1]
+        k += 1
+    if start < end:
+        yield start, end
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Where strings begin and end that could hold a secret."""
+    runs = [m.span() for m in _RUN.finditer(text)]
+    if not runs:
+        return
+    allowed = [m.span() for m in _ALLOW.finditer(text)]
+    urls = [m.span() for m in _URL.finditer(text)] if "://" in text else []
+    for run in runs:
+        for start, end in _cut(*run, allowed):
+            for part in _cut(start, end, urls):
+                if part[1] - part[0] >= WINDOW:
+                    yield part
+            if urls:
+                # The rest of it, which lies in a URL.
+                outside = list(_cut(start, end, urls))
+                for part in _cut(start, end, outside):
+                    yield from (m.span() for m in _URL_PART.finditer(text, *part))
+
+
 def entropy_spans(text: str) -> list[tuple[str, int, int]]:
-    spans, allowed = [], None
-    for candidate in _RUN.finditer(text):
-        run, at = candidate[0], candidate.start()
-        if not _DIGIT.search(run) or not _LETTER.search(run) or ALLOW_WORD in run:
+    spans = []
+    for at, until in candidates(text):
+        if not _DIGIT.search(text, at, until) or not _LETTER.search(text, at, until):
             continue
         for kind, (pattern, least) in _CLASS_RUNS.items():
-            for part in pattern.finditer(run):
+            for part in pattern.finditer(text, at, until):
                 for start, end in dense_windows(part[0], least):
-                    start, end = at + part.start() + start, at + part.start() + end
-                    if not _DIGIT.search(text, start, end) or not _LETTER.search(text, start, end):
-                        continue
-                    if allowed is None:
-                        allowed = [m.span() for m in _ALLOW.finditer(text)]
-                    # Allowed spans don't overlap: only the last that starts before the end can.
-                    last = bisect_left(allowed, (end, 0)) - 1
-                    if last < 0 or allowed[last][1] <= start:
+                    start, end = part.start() + start, part.start() + end
+                    if _DIGIT.search(text, start, end) and _LETTER.search(text, start, end):
                         spans.append((kind, start, end))
     return spans
 

@@ -49,8 +49,68 @@ KEY = "x7Gq2" + "Zr9LmP4vT1" + "sBn8KcWd"
 def test_entropy_and_allow_list():
     assert [s[0] for s in m.entropy_spans(f"use {KEY} now")] == ["entropy_base64"]
     uuid = "-".join(["3f2504e0", "4f89", "11d3", "9a0c", "0305e82c3301"])
-    for harmless in (uuid, f"https://host/{KEY}", f"sha256:{'0123456789abcdef' * 4}", f"{KEY}EXAMPLE", "a" * 100 + "1", "antidisestablishmentarianism"):
+    for harmless in (uuid, f"sha256:{'0123456789abcdef' * 4}", f"{KEY}EXAMPLE", "a" * 100 + "1", "antidisestablishmentarianism",
+                     "https://www.example.net/de/the-quick-brown-fox-jumps-over-2024/index.html"):
         assert m.entropy_spans(f"see {harmless} .") == []
+    for kept in (f"https://host/{KEY}", f"https://user:{KEY}@host/x", f"http://h/x?sig={KEY}&a=1", f"https://h/a/{KEY}/b-c"):
+        assert [kept[a:b] for _, a, b in m.entropy_spans(kept)] == [KEY], kept
+    # Cut at what is allowed, not dropped with it.
+    text = f"{KEY}/{uuid} md5:{KEY} {KEY * 2}EXAMPLE"
+    assert [text[a:b] for _, a, b in m.entropy_spans(text)][0].startswith(KEY)
+    assert len(m.entropy_spans(text)) == 3
+
+
+def brute_entropy(text):
+    """Marks of every class, window by window, candidate by candidate."""
+    free = [True] * len(text)
+    for pattern in m.ALLOW:
+        for x in re.finditer(pattern, text):
+            free[x.start() : x.end()] = [False] * (x.end() - x.start())
+    in_url = [False] * len(text)
+    for x in re.finditer(r"https?://[^\s\"'<>]+", text):
+        in_url[x.start() : x.end()] = [True] * (x.end() - x.start())
+    whole = set()
+    for x in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+        if x.end() - x.start() >= 20:
+            whole |= set(range(x.start(), x.end()))
+
+    def usable(i):
+        return i in whole and free[i] and not (in_url[i] and text[i] in "/-")
+
+    found, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and usable(j) and in_url[j] == in_url[i]:
+            j += 1
+        piece = text[i:j]
+        if len(piece) >= 20 and re.search("[0-9]", piece) and re.search("[A-Za-z]", piece):
+            for kind, (chars, least) in m.CLASSES.items():
+                marks = [False] * len(piece)
+                for x in re.finditer(f"[{chars}]+", piece):
+                    for a in range(x.start(), x.end() - 19):
+                        counts = Counter(piece[a : a + 20]).values()
+                        if -sum(c / 20 * math.log2(c / 20) for c in counts) >= least - 1e-9:
+                            marks[a : a + 20] = [True] * 20
+                for x in re.finditer("1+", "".join("01"[v] for v in marks)):
+                    part = piece[x.start() : x.end()]
+                    if re.search("[0-9]", part) and re.search("[A-Za-z]", part):
+                        found.append((kind, i + x.start(), i + x.end()))
+        i = max(j, i + 1)
+    return sorted(found)
+
+
+def test_all_spans_against_brute_force(docs):
+    rng = random.Random(12)
+    uuid = "3f2504e0-4f89-11d3-9a0c-0305e82c3301"
+    pieces = [KEY, uuid, "https://", "http://h.x/", "/", "-", "?a=", " ", "\n", "é", "EXAMPLE", "EXAMPLEKEY", "words-and-more", "sha1:" + "0a" * 20,
+              "DEADBEEF0123456789", "0123456789abcdef", "q", "_", "@", '"', "Zz9"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9)))) for i in range(1500)]
+    rows += [(9000, None), (9001, "")]
+    got = {r["doc_id"]: r["spans"] for r in m.scan_secrets(docs(rows)).collect()}
+    assert sum(bool(x) for x in got.values()) > 300
+    for i, text in rows:
+        text = text or ""
+        assert got[i] == m.joined(brute_base(text) + brute_entropy(text)), text
     # A base finding stays, whatever the allow-list says.
     assert m.base_spans(f"token = {KEY}EXAMPLE")[0][0] == "assign"
 
