@@ -1,8 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become a template: punctuation is dropped, letters are lower-cased, and numbers,
-quantities, units behind a number and runs of names become typed placeholders, whose
-values are kept as slots. Windows of ``WINDOW`` template words are hash-joined with those
+units behind a number and runs of names become typed placeholders, whose
+values are kept as slots. A number is parted from letters that follow it, so 5km is 5 km. A
+unit is what is counted: in any language the word after a number, if it has ``UNIT_BYTES``
+bytes or more or is a known symbol; shorter words are mostly articles and conjunctions. A name
+begins with a capital of any alphabet that has them, but not at the head of a sentence. Windows of ``WINDOW`` template words are hash-joined with those
 of the benchmark items. A document has an item if it holds at least ``COVERAGE`` of the
 item's windows and the slots agree: each value of the item stands for the same value of
 the document wherever it occurs, and the other way round. So a question with other
@@ -13,14 +16,18 @@ distance between the places in the document and in the item) and of those of nei
 occurrences (distances no more than a window apart, as words may be put in or left out).
 One that agrees is enough, so several versions of an item in one document don't hide it.
 
-Items without any window of ``MIN_LITERALS`` words that are no placeholders (arithmetic,
+Items without any window of ``MIN_LITERALS`` words other than numbers and names (arithmetic,
 tables, lists of names) are searched word by word instead: windows of their words as they
 stand, in which a number or name is no placeholder. So verbatim copies of them are found.
 
-Defined results: null or empty texts and items of fewer than ``MIN_WORDS`` words with a
-letter or digit match nothing; items shorter than a window are one window of their own length. Rows that
+Defined results: null or empty texts, and items without a letter or digit, match nothing;
+items shorter than a window are one window of their own length. Items of fewer than
+``MIN_WORDS`` words are found word for word only. Rows that
 repeat a document id are one document, and so are all rows without an id. Items that
-repeat an id count as one item with the windows of all.
+repeat an id count as one item with the windows of all. Of matches that agree, the one of the
+whole document is told, else the fullest, then the one with the fewest changes. Empty tables give no rows. Texts
+are taken whole, whatever their length. Columns are picked by name at the start, so others
+don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,28 +44,30 @@ by_value(__name__)
 
 WINDOW = 8
 MIN_WORDS = 5
-MIN_LITERALS = 4  # words of a window that are no placeholders
+MIN_LITERALS = 4  # words of a window that are no numbers and no names
 COVERAGE = 0.5
 AGREEMENT = 0.8
 EXACT = 1 << 40  # tells windows of words as they stand, and their places, from those of templates
 FILTER_WINDOWS = 2_000_000  # benchmark windows that are sent to every task as a filter
 
-# Fixed values.
+UNIT_BYTES = 4
+# Symbols and words of units that are shorter. Fixed values.
 UNITS = (
-    "km m cm mm miles mile feet foot inches inch yards kg g mg pounds lb oz tons l ml liters litres gallons "
-    "s ms sec seconds second min minutes minute h hours hour days day weeks week months month years year "
-    "percent dollars dollar euros euro cents usd eur gbp pesos mph kmh degrees celsius fahrenheit watts volts "
-    "joules calories hz khz mhz bytes kb mb gb"
+    "km m cm mm ft in yd kg g mg lb lbs oz ton t l ml s ms sec min h hr day d mi usd eur gbp mph kmh w kw v a j cal hz khz mhz "
+    "b kb mb gb tb k c f"
 ).split()
 
 _CORE = np.zeros(256, bool)
 _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_LETTER = _CORE & ~_DIGIT
+# Capitals among the characters of one or two bytes.
+_CAPITAL = np.array([chr(c).isupper() for c in range(0x800)])
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?:|"]] = True
 # Placeholder codes.
-NUMBER, QUANTITY, UNIT, NAME = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103, 104))
+NUMBER, UNIT, NAME = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103))
 
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,6 +93,19 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(_word_hashes(data, starts)[0])
 
 
+def _parted(data: np.ndarray, starts: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with a number's letters as a word of their own."""
+    core, letter = np.flatnonzero(_CORE[data]), np.flatnonzero(_LETTER[data])
+    if not len(letter):
+        return starts, per_row
+    ends = np.append(starts[1:], len(data))
+    lead = core[np.minimum(np.searchsorted(core, starts), len(core) - 1)]
+    first = letter[np.minimum(np.searchsorted(letter, starts), len(letter) - 1)]
+    cut = (lead >= starts) & (lead < ends) & _DIGIT[data[lead]] & (first > lead) & (first < ends)
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    return np.sort(np.concatenate((starts, first[cut]))), per_row + np.bincount(row[cut], minlength=len(per_row))
+
+
 def template(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template word, slot value and whether it is a slot, for all rows in order, and
     the number of template words of each row."""
@@ -94,6 +116,7 @@ def _read(text: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.
     """The template of all rows, and their words as they stand with the number of each row."""
     data, offsets = text_bytes(text)
     starts, per_row = word_starts(data, offsets)
+    starts, per_row = _parted(data, starts, per_row)
     if not len(starts):
         none = np.zeros(0, np.uint64)
         return (none, none, np.zeros(0, bool), per_row), (none, per_row)
@@ -108,21 +131,21 @@ def _read(text: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.
     core = np.flatnonzero(_CORE[data])
     lead = core[np.minimum(np.searchsorted(core, starts), max(0, len(core) - 1))] if len(core) else starts
     lead_byte, next_byte = data[lead], data[np.minimum(lead + 1, len(data) - 1)]
-    capital = ((lead_byte >= 65) & (lead_byte <= 90)) | ((lead_byte == 0xC3) & (next_byte >= 0x80) & (next_byte <= 0x9E))
+    two = (lead_byte >= 0xC2) & (lead_byte < 0xE0)
+    point = np.where(two, (lead_byte.astype(np.int64) & 0x1F) << 6 | (next_byte & 0x3F), np.where(lead_byte < 0x80, lead_byte, 0))
+    capital = _CAPITAL[point]
     keep = n_core > 0
-    value, row, opens, capital, lead_byte, n_core, n_digit = (
-        x[keep] for x in (value, row, opens, capital, lead_byte, n_core, n_digit)
-    )
+    value, row, opens, capital, n_core, n_digit = (x[keep] for x in (value, row, opens, capital, n_core, n_digit))
     if not len(value):
         none = np.zeros(len(per_row), np.int64)
         return (value, value, np.zeros(0, bool), none), (value, none)
     number = n_digit == n_core
-    quantity = ~number & _DIGIT[lead_byte]
     same = np.concatenate(([False], row[1:] == row[:-1]))
-    unit = np.isin(value, _unit_hashes()) & same & np.concatenate(([False], number[:-1]))
-    name = capital & ~opens & ~number & ~quantity & ~unit
-    word = np.where(number, NUMBER, np.where(quantity, QUANTITY, np.where(unit, UNIT, np.where(name, NAME, value))))
-    slot = number | quantity | unit | name
+    counted = (n_core >= UNIT_BYTES) & (n_digit == 0) & ~capital
+    unit = (counted | np.isin(value, _unit_hashes())) & ~number & same & ~opens & np.concatenate(([False], number[:-1]))
+    name = capital & ~opens & ~number & ~unit
+    word = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
+    slot = number | unit | name
     # A run of names is one placeholder with one value.
     goes_on = name & same & np.concatenate(([False], name[:-1]))
     heads = np.flatnonzero(~goes_on)
@@ -142,7 +165,8 @@ def windows(word: np.ndarray, slot: np.ndarray, per_row: np.ndarray, size: int)
     weight = mix(np.arange(1, size + 1, dtype=np.uint64) + np.uint64(size << 8)) | np.uint64(1)
     with np.errstate(over="ignore"):
         value = sum(word[k : k + n] * weight[k] for k in range(size))
-    literal = np.concatenate(([0], np.cumsum(~slot)))
+    # What is counted may be another thing, but that something is counted is kept.
+    literal = np.concatenate(([0], np.cumsum(~slot | (word == UNIT))))
     fits = (row[:n] == row[size - 1 :]) & (literal[size:] - literal[:-size] >= min(MIN_LITERALS, size))
     at = np.flatnonzero(fits)
     return mix(value[at]), row[at], at
@@ -219,7 +243,7 @@ def _item_windows(batches, size: int):
             usable[row] = True
             if len(h):
                 yield made(h, row, at - first[row], n, _slots(values, slot, at, n))
-        for n in range(MIN_WORDS, size + 1):
+        for n in range(1, size + 1):
             rows = np.flatnonzero(~usable & (raw_per_row == n if n < size else raw_per_row >= n))
             h, row, at = exact_windows(raw, raw_per_row, n)
             keep = np.isin(row, rows)
