@@ -4,8 +4,9 @@ Files lie in buckets by the hash of (repo, path), each a folder of its own. A ve
 manifest, a small table that names the folder of every bucket. A commit reads and rewrites
 the touched buckets only, writes a new manifest and then renames a pointer file to the next
 version number. Until that rename readers see the old version whole; a job that is killed
-before it leaves folders that nothing names. Two commits at a time cannot both get a number:
-the second one fails and can be run again.
+before it leaves folders that nothing names. A commit that finds its number taken fails
+and can be run again. Where a rename replaces what is there (local folders, some object
+stores) commits have to come one at a time; HDFS refuses it.
 
 The driver holds the manifest, one row per bucket. Choose so many buckets that one fits a
 task; a snapshot keeps its number of buckets.
@@ -65,6 +66,9 @@ class _Folder:
         if self._fs.exists(final) or not self._fs.rename(draft, final):
             raise RuntimeError(f"version {version} of {self.root} was written by another commit")
 
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
 
 def latest_version(spark: SparkSession, root: str) -> int:
     """Number of the last version; 0 if there is none."""
@@ -131,3 +135,22 @@ def commit_blocks(spark: SparkSession, root: str, blocks: DataFrame) -> int:
     old = _read_buckets(spark, root, [folders[b] for b in touched if b in folders])
     written = _write_buckets(apply_blocks(old, new), root, buckets, len(touched))
     return _publish(spark, root, before + 1, buckets, folders | written)
+
+
+def drop_versions(spark: SparkSession, root: str, keep: int = 1) -> list[int]:
+    """Delete all but the last ``keep`` versions and the buckets that only they name: the
+    numbers of those deleted. Folders that no version names are left, as they may belong to a
+    commit that is under way."""
+    store = _Folder(spark, root)
+    versions = store.versions()
+    dropped = versions[: -max(keep, 1)]
+
+    def named(numbers: list[int]) -> set[str]:
+        folders = {f for n in numbers for f in _manifest(spark, root, n)[1].values()}
+        return folders | {store.manifest_of(n) for n in numbers}
+
+    gone = named(dropped) - named(versions[len(dropped) :])
+    # Pointers first: a version that can be opened is whole.
+    for name in [*(f"versions/{n:012d}" for n in dropped), *sorted(gone)]:
+        store.delete(name)
+    return dropped

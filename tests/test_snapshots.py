@@ -74,3 +74,21 @@ def test_an_empty_snapshot(spark, tmp_path):
     assert contents(snapshots.read_snapshot(spark, root)) == {}
     assert snapshots.commit_blocks(spark, root, blocks(spark, [("r", "p", "c")])) == 2
     assert contents(snapshots.read_snapshot(spark, root)) == {("r", "p"): "c"}
+
+
+def test_old_versions_can_go(spark, tmp_path):
+    root = str(tmp_path / "old")
+    files = spark.createDataFrame([("r", f"f{k}", "a") for k in range(40)], "repo string, path string, content string")
+    snapshots.create_snapshot(files, root, 16)
+    for k in range(3):
+        snapshots.commit_blocks(spark, root, blocks(spark, [("r", "f1", f"v{k}")]))
+    whole = contents(snapshots.read_snapshot(spark, root))
+    os.makedirs(f"{root}/data/underway/bucket=0")
+    before = written(root)
+    assert snapshots.drop_versions(spark, root, keep=2) == [1, 2]
+    # The first version's bucket of f1 and the second version's.
+    assert len(before - written(root)) == 2 and "data/underway/bucket=0" in written(root)
+    assert contents(snapshots.read_snapshot(spark, root)) == whole
+    assert contents(snapshots.read_snapshot(spark, root, 3))["r", "f1"] == "v1"
+    assert snapshots.drop_versions(spark, root, keep=2) == []
+    assert snapshots.commit_blocks(spark, root, blocks(spark, [("r", "f1", "last")])) == 5
