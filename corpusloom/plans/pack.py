@@ -17,6 +17,7 @@ from corpusloom.functions.render import Counter, render, tree_line
 from corpusloom.functions.secrets import secret_labels
 from corpusloom.functions.strip import strip_comments
 from corpusloom.functions.text import token_estimate
+from corpusloom.operators.counting import PieceCounter, count_texts
 from corpusloom.operators.packing import CHUNK, pack_parts
 from corpusloom.operators.tree import hierarchical_order, kept_files, row_visible, select_subtree, walk
 from corpusloom.session import built_once, lookup_join, remove_staged, stage, staged_paths
@@ -48,7 +49,7 @@ class Packed:
     fmt: str
     strip: bool
     globs: tuple[str, ...] = ()
-    counter: Counter = token_estimate
+    counter: Counter | PieceCounter = token_estimate
     preamble: str = PREAMBLE
     staged: list[str] = field(default_factory=list)
 
@@ -70,20 +71,51 @@ def corpus_nodes(
     strip: bool = True,
     globs: Sequence[str] = (),
     selection: DataFrame | None = None,
-    counter: Counter = token_estimate,
+    counter: Counter | PieceCounter = token_estimate,
 ) -> DataFrame:
     """Written table of nodes: repo, path, is_dir, size, name, depth, selected,
-    ord, block_bytes, tokens, line_bytes."""
-    block = render(F.col("path"), F.col("_text"), fmt, counter)
-    facts = {"block_bytes": F.octet_length(block).cast("bigint"), "tokens": counter(block).cast("bigint")}
+    ord, block_bytes, tokens, line_bytes; with a ``PieceCounter`` content_tokens, too."""
     # Written before they are numbered, as numbering counts them first.
-    nodes = stage(selected(walk(files, globs, text(strip), facts), selection))
+    if isinstance(counter, PieceCounter):
+        nodes = stage(selected(_counted_nodes(files, fmt, strip, globs, counter), selection))
+    else:
+        block = render(F.col("path"), F.col("_text"), fmt, counter)
+        facts = {"block_bytes": F.octet_length(block).cast("bigint"), "tokens": counter(block).cast("bigint")}
+        nodes = stage(selected(walk(files, globs, text(strip), facts), selection))
     line = tree_line(F.col("name"), F.col("depth"), F.col("is_dir"))
     return stage(
         hierarchical_order(nodes).withColumn("line_bytes", F.octet_length(line).cast("bigint"))
     )
 
 
+def _content_tokens(content: Column) -> Column:
+    """The counter of rows whose content was counted before."""
+    return F.col("content_tokens")
+
+
+def _kept_texts(files: DataFrame, nodes: DataFrame, strip: bool, globs: Sequence[str]) -> DataFrame:
+    """(repo, path, _text) of the files among ``nodes``. Their keys are looked up."""
+    keys = nodes.filter("not is_dir").select("repo", "path")
+    rows = row_visible(files, globs).select("repo", "path", "content")
+    return lookup_join(rows, keys, ["repo", "path"], "left_semi").select("repo", "path", text(strip).alias("_text"))
+
+
+def _counted_nodes(files: DataFrame, fmt: str, strip: bool, globs: Sequence[str], counter: PieceCounter) -> DataFrame:
+    """Nodes with content_tokens, block_bytes and tokens. A block says how many tokens its
+    content has, so contents are counted first, then the blocks."""
+    keys = ["repo", "path"]
+    nodes = stage(walk(files, globs))
+    # Written once, as each text is cut four times.
+    texts = stage(_kept_texts(files, nodes, strip, globs))
+    own = stage(count_texts(texts, keys, F.col("_text"), counter, "content_tokens"))
+    blocks = lookup_join(texts, own, keys, "inner").select(
+        *keys, "content_tokens", render(F.col("path"), F.col("_text"), fmt, _content_tokens).alias("_block")
+    )
+    sizes = blocks.select(*keys, "content_tokens", F.octet_length("_block").cast("bigint").alias("block_bytes"))
+    facts = sizes.join(count_texts(blocks, keys, F.col("_block"), counter), keys)
+    return nodes.join(facts, keys, "left")
+
+
 def selected(nodes: DataFrame, selection: DataFrame | None) -> DataFrame:
     """Add ``selected``; all nodes without selection rules."""
     if selection is None:
@@ -130,9 +162,15 @@ def tree_text(nodes: DataFrame, chunk: int = TREE_CHUNK) -> DataFrame:
     )
 
 
-def part_overhead(nodes: DataFrame, counter: Counter, preamble: str) -> DataFrame:
+def part_overhead(nodes: DataFrame, counter: Counter | PieceCounter, preamble: str) -> DataFrame:
     """(repo, overhead): tokens of the tree and of the preamble. The usual counter
     needs sizes only; another one reads the tree texts, piece by piece."""
+    if isinstance(counter, PieceCounter):
+        # Every tree text has an own row, the preamble one per repo.
+        trees = stage(tree_text(nodes).select("repo", "piece", F.col("tree").alias("_text")))
+        front = trees.select("repo", F.lit(-1).cast("bigint").alias("piece"), F.lit(preamble).alias("_text")).distinct()
+        counts = count_texts(trees.unionByName(front), ["repo", "piece"], F.col("_text"), counter)
+        return counts.groupBy("repo").agg(F.sum("tokens").alias("overhead"))
     front = counter(F.lit(preamble))
     if counter is token_estimate:
         return tree_bytes(nodes).select(
@@ -150,22 +188,26 @@ def pack(
     globs: Sequence[str] = (),
     selection: DataFrame | None = None,
     chunk: int = CHUNK,
-    counter: Counter = token_estimate,
+    counter: Counter | PieceCounter = token_estimate,
     preamble: str = PREAMBLE,
 ) -> Packed:
     """Pack ``files`` (repo, path, content) into parts of ``max_tokens`` tokens, as
-    ``counter`` counts them; 0 sets no limit."""
+    ``counter`` counts them; 0 sets no limit. Paths are unique in their repo."""
     with staged_paths() as paths:
         nodes = corpus_nodes(files, fmt, strip, globs, selection, counter)
         blocks = nodes.filter("selected and not is_dir").select("repo", "ord", "tokens")
         overhead = stage(part_overhead(nodes, counter, preamble))
         parts = pack_parts(blocks, overhead, max_tokens, chunk).join(
-            nodes.select("repo", "ord", "path", "block_bytes"), ["repo", "ord"]
+            nodes.select("repo", "ord", "path", "block_bytes", *_known_tokens(counter)), ["repo", "ord"]
         )
         parts = stage(parts)
     return Packed(files, nodes, parts, overhead, fmt, strip, tuple(globs), counter, preamble, paths)
 
 
+def _known_tokens(counter: Counter | PieceCounter) -> list[str]:
+    return ["content_tokens"] if isinstance(counter, PieceCounter) else []
+
+
 def packed_files(packed: Packed) -> DataFrame:
     """The rows of the files that were packed: kept, selected, no binaries."""
     rows = kept_files(packed.files, packed.globs)
@@ -246,9 +288,11 @@ def part_body(
     early = tree.filter("piece < n_pieces - 1").select("repo", "piece", F.col("tree").alias("body"))
     parts = packed.parts.filter("first").select("repo", "part")
 
+    known = _known_tokens(packed.counter)
+    counter = _content_tokens if known else packed.counter
     shift = last.select("repo", F.col("piece").alias("_shift"))
     places = lookup_join(packed.parts, shift, ["repo"]).select(
-        "repo", "path", "part", "ord",
+        "repo", "path", "part", "ord", *known,
         (F.col("_shift") + F.floor(F.col("before") / piece_tokens)).cast("bigint").alias("piece"),
     )
     # Rows that tell by themselves that they aren't packed never meet the join; the
@@ -257,7 +301,7 @@ def part_body(
     met = raw.join(places, ["repo", "path"]).withColumn("_text", text(packed.strip))
     blocks = met.select(
         "repo", "part", "piece", "ord",
-        render(F.col("path"), F.col("_text"), packed.fmt, packed.counter).alias("_block"),
+        render(F.col("path"), F.col("_text"), packed.fmt, counter).alias("_block"),
     )
     # As rows of their own, trees take part in the last shuffle only.
     trees = lookup_join(parts, last, ["repo"]).withColumn("ord", F.lit(0).cast("bigint"))
@@ -341,8 +385,14 @@ def strip_savings(files: DataFrame) -> DataFrame:
 
 
 def token_nodes(
-    files: DataFrame, strip: bool = True, selection: DataFrame | None = None, counter: Counter = token_estimate
+    files: DataFrame, strip: bool = True, selection: DataFrame | None = None,
+    counter: Counter | PieceCounter = token_estimate,
 ) -> DataFrame:
     """Nodes with ``selected`` and ``token_count``, ready for the summaries."""
+    if isinstance(counter, PieceCounter):
+        nodes = stage(walk(files))
+        texts = stage(_kept_texts(files, nodes, strip, ()))
+        counts = count_texts(texts, ["repo", "path"], F.col("_text"), counter, "token_count")
+        return selected(nodes.join(counts, ["repo", "path"], "left"), selection)
     facts = {"token_count": counter(F.col("_text"))}
     return selected(walk(files, text=text(strip), facts=facts), selection)

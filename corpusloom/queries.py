@@ -12,7 +12,7 @@ from corpusloom.constants import C_EXTENSIONS, ENV_LABEL, HASH_EXTENSIONS, MARKU
 from corpusloom.functions import paths, text
 from corpusloom.functions.render import render_markdown, render_xml
 from corpusloom.functions.secrets import passes_gate
-from corpusloom.operators import tree, unpacking
+from corpusloom.operators import counting, tree, unpacking
 from corpusloom.plans import pack as plan
 from corpusloom.plans import unpack as unplan
 from corpusloom.session import stage, staging_root
@@ -251,6 +251,19 @@ def pack_parts_counter(spark, sf):
     return packed.parts.select("repo", "path", "tokens", "part")
 
 
+# Runs of letters, of digits and of anything else: one token for every 4 characters begun.
+PIECES = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"
+
+
+def count_piece(column):
+    return F.ceil(F.length(column) / 4)
+
+
+def pack_parts_pieces(spark, sf):
+    packed = plan.pack(_tree(spark, sf), LIMIT, counter=counting.PieceCounter(PIECES, count_piece), preamble=PREAMBLE_OF_ONES_OWN)
+    return packed.parts.select("repo", "path", "content_tokens", "tokens", "part")
+
+
 def pack_totals(spark, sf):
     return plan.pack_totals(plan.pack(_tree(spark, sf), LIMIT, selection=_selection(spark, sf)))
 
@@ -439,6 +452,7 @@ _QUERIES: dict[str, Query] = {
     "pack_parts_unlimited": pack_parts_unlimited,
     "pack_parts_selected": pack_parts_selected,
     "pack_parts_counter": pack_parts_counter,
+    "pack_parts_pieces": pack_parts_pieces,
     "pack_totals": pack_totals,
     "named_parts": named_parts,
     "latest_block": latest_block,
