@@ -3,18 +3,25 @@
 Every word of a text gets a label, so that code-switched text is told apart word by
 word. A word's emission is the sum of weights of its affixes, its character bigrams and
 trigrams and, if it is in the learned lexicon, the word itself; learned transitions
-say how languages follow each other. Forward-backward over chains of words gives the
-probability of each label at each word. A document's language is the one with the
-largest mean probability, and that mean is its score.
-
-Training takes at most ``PER_LANGUAGE`` documents of each of at most ``LANGUAGES``
-languages and ``CHAINS`` chains spread over each text, a documented bound. Half of the
-chains are joined from two languages, from which the transitions learn how often text
-switches. Everything is predicted for every whole text.
+say how languages follow each other. Forward-backward gives the probability of each label
+at each word, over the whole text as one chain: it is worked on in pieces, and what the
+words before and behind a piece say about its ends is carried over the cuts exactly. A
+document's language is the one with the largest mean probability, and that mean is its
+score.
+
+Training is fitted on a bounded sample of labelled rows: at most ``PER_LANGUAGE`` rows of
+each of at most ``LANGUAGES`` languages, taken by a hash of their ids until a language has
+``WORDS`` words (fewer if there are many languages, see ``words_per_language``). Rows of
+more than ``LONG`` words come last. All text of a row in the sample is learned from, in
+chains of ``CHAIN_WORDS`` words. Half of the chains are joined from two languages, from
+which the transitions learn how often text switches. Everything is predicted for every
+whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is any
-text if there is no row to learn from. Rows with a null id are predicted, not learned
-from, and not held out. Repeated rows give repeated results.
+text if there is no row to learn from. Languages of equal probability: the first by name.
+Rows with a null id are predicted, not learned from, and not held out. Repeated rows give
+repeated results, an empty table none. Columns are picked by name, others don't matter. A
+very long text takes memory in proportion to its words in one task.
 """
 
 from __future__ import annotations
@@ -32,9 +39,11 @@ by_value(__name__)
 UNKNOWN = "und"
 LANGUAGES = 200
 PER_LANGUAGE = 400
-CHAINS = 4
+WORDS = 100_000  # per language, from which on no more rows are taken
+LONG = 10_000  # words
 CHAIN_WORDS = 32  # of a training chain
-STEP_WORDS = 64  # of a chain in prediction
+STEP_WORDS = 64  # of a piece in prediction
+FEW_LANGUAGES = 16  # more: chains are followed whole, as pieces need a matrix each
 BUCKETS = 1 << 17
 LEXICON_COUNT = 3  # training occurrences from which on a word is in the lexicon
 ROUNDS = 60
@@ -102,9 +111,13 @@ def emissions(model: dict, names: list[str]) -> np.ndarray:
 # Forward-backward ------------------------------------------------------------
 
 
-def forward_backward(e: np.ndarray, start: np.ndarray, size: np.ndarray, transition: np.ndarray):
+def forward_backward(
+    e: np.ndarray, start: np.ndarray, size: np.ndarray, transition: np.ndarray,
+    before: np.ndarray | None = None, after: np.ndarray | None = None,
+):
     """Label probabilities at each position of chains that lie at ``start`` in ``e``
-    (scores), and the expected number of each transition."""
+    (scores), and the expected number of each transition. ``before`` and ``after`` are the
+    messages that reach each chain's ends from words outside."""
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
     longest = int(size[0]) if len(size) else 0
@@ -112,9 +125,14 @@ def forward_backward(e: np.ndarray, start: np.ndarray, size: np.ndarray, transit
     step = np.exp(transition - transition.max())
     local = np.exp(e - e.max(axis=1, keepdims=True)) if len(e) else e
     alpha, beta = np.empty_like(local), np.ones_like(local)
+    if after is not None:
+        beta[start + size - 1] = after[order]
     for t in range(longest):
         at = start[: active[t]] + t
-        a = local[at] if t == 0 else local[at] * (alpha[at - 1] @ step)
+        if t:
+            a = local[at] * (alpha[at - 1] @ step)
+        else:
+            a = local[at] if before is None else local[at] * before[order]
         alpha[at] = a / a.sum(axis=1, keepdims=True)
     pairs = np.zeros_like(step)
     for t in range(longest - 1, 0, -1):
@@ -131,34 +149,33 @@ def forward_backward(e: np.ndarray, start: np.ndarray, size: np.ndarray, transit
 # Training --------------------------------------------------------------------
 
 
-def spread_chains(text: str, chains: int = CHAINS, size: int = CHAIN_WORDS) -> list[str]:
-    """Up to ``chains`` runs of words, spread evenly over the whole text."""
+def chains_of(text: str, size: int = CHAIN_WORDS) -> list[str]:
+    """The whole text in runs of ``size`` words."""
     words = text.split()
-    if len(words) <= size:
-        return [" ".join(words)] if words else []
-    n = min(chains, -(-len(words) // size))
-    starts = [round(i * (len(words) - size) / max(1, n - 1)) for i in range(n)]
-    return [" ".join(words[s : s + size]) for s in starts]
+    return [" ".join(words[a : a + size]) for a in range(0, len(words), size)]
+
+
+def words_per_language(languages: int) -> int:
+    """Words of the sample, so that words times languages stays below 2**24 numbers."""
+    return max(1, min(WORDS, (1 << 24) // max(1, languages) ** 2))
 
 
 def training_chains(labelled: DataFrame) -> list[tuple[str, str]]:
     """(lang, chain) from (doc_id, text, lang), bounded as described above."""
-    from pyspark.sql.types import StringType
-
     langs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        labelled.select("doc_id", "lang").join(F.broadcast(langs), "lang", "left_semi")
-        .withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= PER_LANGUAGE)
-        .select("doc_id", "lang").distinct()
-    )
-    # At most LANGUAGES * PER_LANGUAGE ids.
-    texts = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    cut = F.udf(spread_chains, "array<string>")
-    rows = texts.select("doc_id", "lang", F.explode(cut(F.col("text").cast(StringType()))).alias("chain"))
-    rows = rows.withColumn("_rank", F.row_number().over(first.orderBy(F.xxhash64("doc_id"), "doc_id", "chain")))
-    rows = rows.filter(F.col("_rank") <= PER_LANGUAGE * CHAINS).select("lang", "chain").collect()
-    return sorted((r["lang"], r["chain"]) for r in rows)
+    langs = [r["lang"] for r in langs.collect()]
+    # Rows that repeat an id are told apart by their text's hash, so one id can't bring many.
+    labelled = labelled.withColumn("_h", F.xxhash64("text"))
+    rows = labelled.select("doc_id", "lang", "_h", F.size(F.split("text", r"\s+")).alias("n")).filter(F.col("lang").isin(langs))
+    order = [F.col("n") > LONG, F.xxhash64("doc_id"), F.col("doc_id"), F.col("_h")]
+    first = Window.partitionBy("lang").orderBy(*order)
+    rows = rows.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= PER_LANGUAGE)
+    # Of at most LANGUAGES * PER_LANGUAGE rows.
+    earlier = first.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    chosen = rows.filter(F.col("_before") < words_per_language(len(langs))).select("doc_id", "lang", "_h").distinct()
+    texts = labelled.join(F.broadcast(chosen), ["doc_id", "lang", "_h"], "left_semi").select("lang", F.col("text").cast("string").alias("text"))
+    return sorted((r["lang"], chain) for r in texts.distinct().collect() for chain in chains_of(r["text"]))
 
 
 def train(chains: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) -> dict:
@@ -215,17 +232,48 @@ def train(chains: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 7) ->
 # Prediction ------------------------------------------------------------------
 
 
+def messages(e: np.ndarray, start: np.ndarray, size: np.ndarray, pieces: np.ndarray, transition: np.ndarray):
+    """What reaches both ends of every piece from the rest of its text. ``pieces`` is the
+    number of pieces per text; pieces lie in order."""
+    n = e.shape[1]
+    step = np.exp(transition - transition.max())
+    local = np.exp(e - e.max(axis=1, keepdims=True))
+    # A piece as a matrix: from labels of its first word to labels of its last one.
+    through = np.zeros((len(start), n, n))
+    through[:, np.arange(n), np.arange(n)] = local[start]
+    for t in range(1, int(size.max())):
+        some = np.flatnonzero(size > t)
+        now = (through[some] @ step) * local[start[some] + t][:, None, :]
+        through[some] = now / now.max(axis=(1, 2), keepdims=True)
+    before, after = np.ones((len(start), n)), np.ones((len(start), n))
+    first, last = np.cumsum(pieces) - pieces, np.cumsum(pieces) - 1
+    for k in range(1, int(pieces.max())):
+        text = pieces > k
+        here = first[text] + k
+        m = np.einsum("pi,pij->pj", before[here - 1], through[here - 1]) @ step
+        before[here] = m / m.sum(axis=1, keepdims=True)
+        here = last[text] - k
+        m = np.einsum("pij,pj->pi", through[here + 1], after[here + 1]) @ step.T
+        after[here] = m / m.sum(axis=1, keepdims=True)
+    return before, after
+
+
 def word_labels(model: dict, text: pa.Array, step: int = STEP_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities of each word of the rows in order, and words per row."""
+    """Label probabilities of each word of the rows in order, and words per row. ``step``
+    only says how the work is cut."""
     names, ids, sizes = text_words(text)
     if not len(ids):
         return np.zeros((0, len(model["langs"]))), sizes
+    if len(model["langs"]) > FEW_LANGUAGES:
+        step = int(sizes.max())
     pieces = -(-sizes // step)
     first = np.repeat(np.cumsum(sizes) - sizes, pieces)
     place = np.arange(len(first)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = first + place * step
     size = np.minimum(step, np.repeat(np.cumsum(sizes), pieces) - start)
-    posterior, _ = forward_backward(emissions(model, names)[ids], start, size, model["transition"])
+    scores = emissions(model, names)[ids]
+    ends = messages(scores, start, size, pieces, model["transition"]) if pieces.max() > 1 else (None, None)
+    posterior, _ = forward_backward(scores, start, size, model["transition"], *ends)
     return posterior, sizes
 
 

@@ -69,8 +69,30 @@ def test_nothing_to_learn_from(docs):
     assert m.learn(docs([(i, "12 34") for i in range(9)]))["langs"] == []
 
 
-def test_chains_are_spread_over_the_text():
-    text = " ".join(map(str, range(1000)))
-    chains = m.spread_chains(text, 4, 32)
-    assert [c.split()[0] for c in chains] == ["0", "323", "645", "968"] and chains[-1].endswith(" 999")
-    assert m.spread_chains("") == [] and m.spread_chains("a b") == ["a b"]
+def test_chains_hold_the_whole_text():
+    words = [str(n) for n in range(1000)]
+    assert " ".join(m.chains_of(" ".join(words), 32)).split() == words
+    assert len(m.chains_of(" ".join(words), 32)) == 32
+    assert m.chains_of("") == [] and m.chains_of("a b") == ["a b"]
+
+
+@pytest.mark.parametrize("step", [1, 3, 64])
+def test_cuts_carry_what_is_beyond_them(model, step):
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' ORDER BY doc_id LIMIT 60").fetchall()]
+    rows = pa.array(texts + [None, "", " ".join(t or "" for t in texts[:20])])
+    whole, sizes = m.word_labels(model, rows, step=10**9)
+    cut, again = m.word_labels(model, rows, step=step)
+    assert (sizes == again).all() and np.allclose(whole, cut, atol=1e-9)
+
+
+def test_sample_of_labelled_rows(docs, monkeypatch):
+    monkeypatch.setattr(m, "WORDS", 50)
+    monkeypatch.setattr(m, "LONG", 30)
+    rows = docs([(i, "one two three four five six seven eight nine ten") for i in range(40)] + [(99, "long " * 31)])
+    chains = m.training_chains(rows.select("doc_id", "text", "lang").withColumn("text", rows.text))
+    assert all(lang == "en" for lang, _ in chains) and not any("long" in c for _, c in chains)
+    only = m.training_chains(docs([(99, "long " * 31)]).select("doc_id", "text", "lang"))
+    assert sum(len(c.split()) for _, c in only) == 31
+    assert m.words_per_language(4) == 50 and m.words_per_language(2000) == 4
