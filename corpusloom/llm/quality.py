@@ -7,13 +7,17 @@ attention, softmax of w * (tanh(V h) o sigmoid(U h)) over the passages, weights
 encodings; the weighted mean is scored by a logistic unit. All parts are learned jointly
 from the document labels.
 
-Training takes at most ``PER_CLASS`` labelled documents of each class and at most
-``BAG`` passages spread over each, a documented bound. Scoring encodes every passage.
+Training is fitted on a bounded sample of labelled rows: at most ``PER_CLASS`` documents of
+each class, taken by a hash until they have ``PASSAGES`` passages; those of more than
+``LONG`` passages come last. All passages of a document in the sample are learned from.
+Scoring encodes every passage.
 
 Defined results: a null or empty text, or one without words, is a bag of one passage of
 zeros and so gets a score as well; without any labelled row to learn from, or with labels
 of one class only, every score is that class's share, or 0.5. Repeated rows are scored
-each; a document labelled several times is learned from once per label.
+each; a document labelled several times is learned from once per label. An empty table
+gives no rows. Columns are picked by name, others don't matter. A very long text is one bag
+and takes memory in proportion to its passages.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ SHARES = 8
 WIDTH = TRIGRAMS + SHARES
 HIDDEN, GATE = 32, 16
 PER_CLASS = 1500
-BAG = 16
+PASSAGES = 40_000  # per class, from which on no more documents are taken
+LONG = 400  # passages
 STEPS = 800
 BATCH = 128
 CUT = 0.3  # score from which on a document is predicted good
@@ -175,12 +180,10 @@ def train(bags: list[tuple[int, np.ndarray]], steps: int = STEPS, seed: int = 11
 def _bags(batches):
     for batch in chunks(batches):
         x, count = passages(batch.column(1))
-        start = np.cumsum(count) - count
-        out = []
-        for s, n in zip(start, count):
-            at = np.unique(np.linspace(0, n - 1, min(int(n), BAG)).round().astype(int))
-            out.append(x[s + at].astype(np.float16).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.binary())], names=["label", "bag"])
+        out = [part.astype(np.float16).tobytes() for part in np.split(x, np.cumsum(count)[:-1])]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(2), pa.array(out, pa.binary()), pa.array(count.astype(np.int64))], names=["label", "bag", "n"]
+        )
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> dict:
@@ -192,9 +195,11 @@ def learn(documents: DataFrame, labels: DataFrame) -> dict:
     chosen = usable.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= PER_CLASS).drop("_rank")
     # At most 2 * PER_CLASS rows. A repeated id may give more texts, so these are bounded too.
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "bag")
-    bags = rows.mapInArrow(_bags, "label int, bag binary").withColumn("doc_id", F.xxhash64("bag"))
+    order = Window.partitionBy("label").orderBy(F.col("n") > LONG, F.xxhash64("bag"), "bag")
+    bags = rows.mapInArrow(_bags, "label int, bag binary, n bigint")
     bags = bags.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= PER_CLASS)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    bags = bags.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).filter(F.col("_before") < PASSAGES)
     found = [(r["label"], bytes(r["bag"])) for r in bags.select("label", "bag").collect()]
     return train([(label, np.frombuffer(b, np.float16).reshape(-1, WIDTH).astype(np.float32)) for label, b in sorted(found)])
 
