@@ -16,11 +16,13 @@ Training goes over all documents in ``ROUNDS`` rounds: each task starts from the
 parameters, learns from the tokens of its documents whose turn it is and sends its
 parameters; their mean, weighted by tokens, starts the next round. Every token has its turn
 in one of the rounds. So what is learned from grows with the corpus, and what any place
-gathers does not: the mean is taken per parameter by a plain aggregation.
+gathers does not: the parameters travel in blocks, and blocks are summed in two steps.
 
 Defined results: a null or empty text, or one without words, has 0 tokens, log-probability 0
-and no mean. Repeated rows and ids are scored each. Sums of floats depend on their order,
-so scores of two runs may differ in late digits.
+and no mean. Repeated rows and ids are scored each, rows without an id too. An empty table
+gives no rows. Columns are picked by name, others don't matter. A very long text is worked
+on in one task. Sums of floats depend on their order, so scores of two runs may differ in
+late digits, and the model depends on how the table is split into tasks.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ VOCABULARY = GROUPS * GROUP_SIZE
 ENDINGS = 64  # tokens for words outside the vocabulary
 PAD = VOCABULARY  # beyond the document
 EMBEDDING, HIDDEN = 16, 32
-BATCH, RATE = 512, 4e-3
+BATCH, RATE = 2048, 8e-3
 ROUNDS = 2
+BLOCK = 4096  # parameters sent as one value
+SUMS = 64  # first sums of a block
 
 SHAPES = {
     "emb": (VOCABULARY + 1, EMBEDDING), "w": (2 * SIDE * EMBEDDING, HIDDEN), "b": (HIDDEN,),
@@ -280,25 +284,39 @@ def _trained(batches, vocab: np.ndarray, start: np.ndarray, number: int, rounds:
     if held:
         learn(True)
     if seen:
-        values = flatten(trainer.model)
+        values = flatten(trainer.model).astype(np.float64) * seen
+        blocks = [values[a : a + BLOCK] for a in range(0, len(values), BLOCK)]
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        part = np.full(len(blocks), task.partitionId() % SUMS if task else 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([float(seen)]), pa.array([values], pa.list_(pa.float32()))], names=["n", "values"]
-        )
+            [pa.array(np.arange(len(blocks))), pa.array(part), pa.array(np.full(len(blocks), float(seen))),
+             pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "part", "n", "total"],
+        )
+
+
+_SUM = "block bigint, part bigint, n double, total binary"
+
+
+def _sum_table(rows: pa.Table) -> pa.Table:
+    """One row for all vectors of a group: those of the tasks of one number, then of all numbers."""
+    total = sum(np.frombuffer(x.as_buffer()) for x in rows.column("total"))
+    return rows.slice(0, 1).drop_columns(["n", "total"]).append_column(
+        "n", pa.array([float(rows.column("n").to_numpy().sum())])
+    ).append_column("total", pa.array([total.tobytes()], pa.binary()))
 
 
 def train(documents: DataFrame, vocab: np.ndarray, rounds: int = ROUNDS) -> dict:
     values = flatten(initial())
     for number in range(rounds):
         start = values
-        trained = documents.mapInArrow(lambda b: _trained(b, vocab, start, number, rounds), "n double, values array<float>")
-        mean = (
-            trained.select("n", F.posexplode("values").alias("at", "value")).groupBy("at")
-            .agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("value"))
-        )
-        rows = mean.collect()  # one row per parameter
+        trained = documents.mapInArrow(lambda b: _trained(b, vocab, start, number, rounds), _SUM)
+        for keys in (["block", "part"], ["block"]):
+            trained = trained.groupBy(*keys).applyInArrow(_sum_table, _SUM)
+        rows = sorted(trained.collect(), key=lambda r: r["block"])  # one row per block of parameters
         if rows:
-            values = np.zeros_like(values)
-            values[[r["at"] for r in rows]] = [r["value"] for r in rows]
+            values = np.concatenate([np.frombuffer(r["total"]) / r["n"] for r in rows]).astype(np.float32)
     return unflatten(values)
 
 
@@ -316,17 +334,21 @@ def _scored(batches, vocab: np.ndarray, model: dict):
         )
 
 
-_PARTS = "at bigint, doc_id bigint, n_tokens bigint, log_prob double, shard int, keys binary, rows binary, counts binary"
+_PARTS = (
+    "chunk bigint, shard int, docs binary, nulls binary, n_tokens binary, log_prob binary, keys binary, rows binary, counts binary"
+)
 
 
 def _scored_in_parts(batches, vocab: np.ndarray, model: dict, total: np.ndarray, shards: int):
-    """A row for every document, with the score of its tokens and the logarithm of what its
-    words' shares are of, and rows with the words whose counts are missing."""
+    """For every chunk of documents one row with the scores of their tokens and the logarithms
+    of what their words' shares are of, and one per shard with the words whose counts are
+    missing. Documents are told by their row in the chunk."""
     from pyspark import TaskContext
 
-    at = TaskContext.get().partitionId() << 40
+    chunk = TaskContext.get().partitionId() << 40
     share = np.concatenate((np.zeros(VOCABULARY - ENDINGS), np.log(np.maximum(total, 1))))
     names = [x.split()[0] for x in _PARTS.split(", ")]
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 7)
     for batch in chunks(batches):
         token, word, per_row = _tokens_and_words(batch.column(1), vocab)
         n = len(per_row)
@@ -335,10 +357,11 @@ def _scored_in_parts(batches, vocab: np.ndarray, model: dict, total: np.ndarray,
         if len(token):
             each = log_probabilities(model, contexts(token, per_row), token) - share[token]
             score = np.bincount(row, weights=each, minlength=n)
-        none = [pa.nulls(n, t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at + np.arange(n)), batch.column(0), pa.array(per_row.astype(np.int64)), pa.array(score), *none], names=names
-        )
+        docs = batch.column(0)
+        null = docs.is_null().to_numpy(zero_copy_only=False)
+        docs = docs.fill_null(0).to_numpy().astype(np.int64)
+        own = (docs, null, per_row.astype(np.int64), score)
+        out = [(chunk, None, *(x.tobytes() for x in own), None, None, None)]
         rare = np.flatnonzero(token >= VOCABULARY - ENDINGS)
         if len(rare):
             key, place = word[rare], row[rare]
@@ -347,29 +370,46 @@ def _scored_in_parts(batches, vocab: np.ndarray, model: dict, total: np.ndarray,
             first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1]))))
             often = np.diff(np.concatenate((first, [len(key)])))
             found = _by_shard(key[first], shards, place[first].astype(np.uint32), often.astype(np.uint32))
-            shard, *packed = zip(*found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([at] * len(found)), *(pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.float64())),
-                 pa.array(shard, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=names,
-            )
-        at += n
+            out += [(chunk, shard, None, None, None, None, *packed) for shard, *packed in found]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+        chunk += 1
+
+
+_ADDED = "chunk bigint, rows binary, log_prob binary"
 
 
 def _word_counts(rows: pa.Table) -> pa.Table:
-    """What the counts of a shard's words add to each document's score."""
+    """What the counts of a shard's words add to the scores of each chunk's documents."""
     key, n = _joined(rows, "keys", np.uint64), _joined(rows, "counts", np.uint32)
-    at = np.repeat(rows.column("at").to_numpy(), [len(x) // 4 for x in rows.column("rows").to_pylist()])
-    at = at + _joined(rows, "rows", np.uint32)
     order = np.argsort(key, kind="stable")
     key = key[order]
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     count = np.add.reduceat(n[order].astype(np.int64), starts)
     added = np.empty(len(n))
     added[order] = np.repeat(np.log(count), np.diff(np.concatenate((starts, [len(key)]))))
-    order = np.argsort(at, kind="stable")
-    at, added = at[order], (added * n)[order]
-    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return pa.table({"at": pa.array(at[starts]), "log_prob": pa.array(np.add.reduceat(added, starts))})
+    added *= n
+    chunk, place, value, a = rows.column("chunk"), [], [], 0
+    for packed in rows.column("rows").to_pylist():
+        # A chunk's rows are in order.
+        row = np.frombuffer(packed, np.uint32)
+        starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        place.append(row[starts].tobytes())
+        value.append(np.add.reduceat(added[a : a + len(row)], starts).tobytes())
+        a += len(row)
+    return pa.table({"chunk": chunk, "rows": pa.array(place, pa.binary()), "log_prob": pa.array(value, pa.binary())})
+
+
+_SCORES = "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double"
+
+
+def _chunk_scores(own: pa.Table, added: pa.Table) -> pa.Table:
+    """The documents of one chunk with what all shards add."""
+    n, score = _joined(own, "n_tokens", np.int64), _joined(own, "log_prob", np.float64).copy()
+    for rows, more in zip(added.column("rows").to_pylist(), added.column("log_prob").to_pylist()):
+        score[np.frombuffer(rows, np.uint32)] += np.frombuffer(more)
+    docs = pa.array(_joined(own, "docs", np.int64), mask=_joined(own, "nulls", bool))
+    mean = pa.array(score / np.maximum(n, 1), mask=n == 0)
+    return pa.table({"doc_id": docs, "n_tokens": pa.array(n), "log_prob": pa.array(score), "mean_log_prob": mean})
 
 
 def score_documents(documents: DataFrame, rounds: int = ROUNDS, whole_words: bool = False) -> DataFrame:
@@ -379,18 +419,14 @@ def score_documents(documents: DataFrame, rounds: int = ROUNDS, whole_words: boo
     model = train(rows, vocab, rounds)
     if not whole_words:
         return rows.mapInArrow(
-            lambda b: _scored(b, vocab, model), "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double"
+            lambda b: _scored(b, vocab, model), _SCORES
         )
     shards = shard_count(rows)
     parts = stage(rows.mapInArrow(lambda b: _scored_in_parts(b, vocab, model, total, shards), _PARTS))
-    counted = parts.filter("shard is not null").select("shard", "at", "keys", "rows", "counts")
-    added = counted.groupBy("shard").applyInArrow(_word_counts, "at bigint, log_prob double")
-    own = parts.filter("shard is null").select("at", "doc_id", "n_tokens", "log_prob")
-    both = own.unionByName(added, allowMissingColumns=True)
-    summed = both.groupBy("at").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("log_prob").alias("log_prob"))
-    return summed.select(
-        "doc_id", "n_tokens", "log_prob", F.expr("if(n_tokens > 0, log_prob / n_tokens, null)").alias("mean_log_prob")
-    )
+    counted = parts.filter("shard is not null").select("shard", "chunk", "keys", "rows", "counts")
+    added = counted.groupBy("shard").applyInArrow(_word_counts, _ADDED)
+    own = parts.filter("shard is null").select("chunk", "docs", "nulls", "n_tokens", "log_prob")
+    return own.groupBy("chunk").cogroup(added.groupBy("chunk")).applyInArrow(_chunk_scores, _SCORES)
 
 
 def op9_lmscore(spark, sf_dir: str) -> DataFrame:

@@ -63,12 +63,31 @@ def test_defined_cases(docs):
     assert m.score_documents(docs([]), rounds=1).collect() == []
 
 
+def test_defined_cases_of_the_query(docs):
+    """With the shares of rare words: null ids, empty texts, repeated rows, long texts, no rows."""
+    texts = [(1, None), (2, ""), (None, "a b"), (3, "a " * 300_000), (3, "x" * 1_000_000), (4, "a b"), (4, "a b")]
+    got = [tuple(r) for r in m.score_documents(docs(texts), rounds=1, whole_words=True).collect()]
+    assert sorted((g[0] or 0, g[1]) for g in got) == [(0, 2), (1, 0), (2, 0), (3, 1), (3, 300_000), (4, 2), (4, 2)]
+    assert all((g[3] is None) == (g[1] == 0) and g[2] <= 0 for g in got)
+    assert len({round(g[2], 4) for g in got if g[1] == 2}) == 1
+    assert m.score_documents(docs([]), rounds=1, whole_words=True).collect() == []
+
+
+def test_block_sums():
+    rows = pa.table({
+        "block": [3, 3, 3], "part": [1, 1, 1], "n": [1.0, 2.0, 4.0],
+        "total": pa.array([np.full(5, float(k)).tobytes() for k in (1, 2, 3)], pa.binary()),
+    })
+    made = m._sum_table(rows).to_pylist()
+    assert len(made) == 1 and made[0]["n"] == 7 and np.frombuffer(made[0]["total"]).tolist() == [6.0] * 5
+
+
 def test_trains_on_every_token(monkeypatch):
     vocab = m.words(*m.text_bytes(pa.array(["a b c"])))[0]
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c " * 40, "c a " * 30])], names=["doc_id", "text"])
     seen = []
     monkeypatch.setattr(m.Trainer, "learn", lambda self, context, token: seen.extend(zip(map(tuple, context.tolist()), token.tolist())))
-    weights = [b.column(0)[0].as_py() for k in range(3) for b in m._trained([batch], vocab, m.flatten(m.initial()), k, 3)]
+    weights = [b.column("n")[0].as_py() for k in range(3) for b in m._trained([batch], vocab, m.flatten(m.initial()), k, 3)]
     token, per_row = m.tokens(batch.column(1), vocab)
     assert sum(weights) == len(token) == 180
     assert sorted(seen) == sorted(zip(map(tuple, m.contexts(token, per_row).tolist()), token.tolist()))
@@ -87,10 +106,10 @@ def test_whole_words_tells_all_words_apart(docs, monkeypatch):
     monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
     plain = next(iter(m._scored([batch], vocab, model))).column(2).to_pylist()
     parts = pa.Table.from_batches(list(m._scored_in_parts([batch], vocab, model, total, 1)))
-    own = dict(zip(parts.column("at").to_pylist()[:4], parts.column("log_prob").to_pylist()[:4]))
-    added = m._word_counts(parts.slice(4).select(["shard", "at", "keys", "rows", "counts"]))
-    for at, value in zip(added.column("at").to_pylist(), added.column("log_prob").to_pylist()):
-        own[at] += value
+    added = m._word_counts(parts.slice(1).select(["shard", "chunk", "keys", "rows", "counts"]))
+    found = m._chunk_scores(parts.slice(0, 1).select(["chunk", "docs", "nulls", "n_tokens", "log_prob"]), added)
+    own = found.column("log_prob").to_pylist()
+    assert found.column("doc_id").to_pylist() == [1, 2, 2, 3] and found.column("mean_log_prob").to_pylist()[3] is None
     expected = [shares[0] + shares[1], shares[2] + 2 * shares[0], shares[1], 0]
     assert [own[k] - plain[k] for k in range(4)] == pytest.approx(expected, abs=1e-4)
 
