@@ -43,7 +43,7 @@ VOCABULARY = GROUPS * GROUP_SIZE
 ENDINGS = 64  # tokens for words outside the vocabulary
 PAD = VOCABULARY  # beyond the document
 EMBEDDING, HIDDEN = 16, 32
-BATCH, RATE = 2048, 8e-3
+BATCH, RATE = 4096, 1.5e-2
 ROUNDS = 2
 BLOCK = 4096  # parameters sent as one value
 SUMS = 64  # first sums of a block
