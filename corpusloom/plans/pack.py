@@ -52,6 +52,7 @@ class Packed:
     counter: Counter | PieceCounter = token_estimate
     preamble: str = PREAMBLE
     staged: list[str] = field(default_factory=list)
+    max_tokens: int = 0
 
     def close(self) -> None:
         remove_staged(self.files.sparkSession, self.staged)
@@ -73,15 +74,26 @@ def corpus_nodes(
     selection: DataFrame | None = None,
     counter: Counter | PieceCounter = token_estimate,
 ) -> DataFrame:
-    """Written table of nodes: repo, path, is_dir, size, name, depth, selected,
-    ord, block_bytes, tokens, line_bytes; with a ``PieceCounter`` content_tokens, too."""
+    """Written table of nodes: repo, path, is_dir, size, name, depth, selected, ord,
+    digest, block_bytes, tokens, line_bytes; with a ``PieceCounter`` content_tokens, too."""
     # Written before they are numbered, as numbering counts them first.
     if isinstance(counter, PieceCounter):
         nodes = stage(selected(_counted_nodes(files, fmt, strip, globs, counter), selection))
     else:
         block = render(F.col("path"), F.col("_text"), fmt, counter)
-        facts = {"block_bytes": F.octet_length(block).cast("bigint"), "tokens": counter(block).cast("bigint")}
-        nodes = stage(selected(walk(files, globs, text(strip), facts), selection))
+        nodes = stage(selected(walk(files, globs, text(strip), _digest() | _sizes(block, counter)), selection))
+    return _numbered(nodes)
+
+
+def _digest() -> dict[str, Column]:
+    return {"digest": F.md5(F.col("content").cast("binary"))}
+
+
+def _sizes(block: Column, counter: Counter) -> dict[str, Column]:
+    return {"block_bytes": F.octet_length(block).cast("bigint"), "tokens": counter(block).cast("bigint")}
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
     line = tree_line(F.col("name"), F.col("depth"), F.col("is_dir"))
     return stage(
         hierarchical_order(nodes).withColumn("line_bytes", F.octet_length(line).cast("bigint"))
@@ -101,10 +113,17 @@ def _kept_texts(files: DataFrame, nodes: DataFrame, strip: bool, globs: Sequence
 
 
 def _counted_nodes(files: DataFrame, fmt: str, strip: bool, globs: Sequence[str], counter: PieceCounter) -> DataFrame:
-    """Nodes with content_tokens, block_bytes and tokens. A block says how many tokens its
-    content has, so contents are counted first, then the blocks."""
+    """Nodes with content_tokens, block_bytes and tokens."""
+    nodes = stage(walk(files, globs, facts=_digest()))
+    return nodes.join(_counted_blocks(files, nodes, fmt, strip, globs, counter), ["repo", "path"], "left")
+
+
+def _counted_blocks(
+    files: DataFrame, nodes: DataFrame, fmt: str, strip: bool, globs: Sequence[str], counter: PieceCounter
+) -> DataFrame:
+    """(repo, path, content_tokens, block_bytes, tokens) of the files among ``nodes``. A block
+    says how many tokens its content has, so contents are counted first, then the blocks."""
     keys = ["repo", "path"]
-    nodes = stage(walk(files, globs))
     # Written once, as each text is cut four times.
     texts = stage(_kept_texts(files, nodes, strip, globs))
     own = stage(count_texts(texts, keys, F.col("_text"), counter, "content_tokens"))
@@ -112,8 +131,7 @@ def _counted_nodes(files: DataFrame, fmt: str, strip: bool, globs: Sequence[str]
         *keys, "content_tokens", render(F.col("path"), F.col("_text"), fmt, _content_tokens).alias("_block")
     )
     sizes = blocks.select(*keys, "content_tokens", F.octet_length("_block").cast("bigint").alias("block_bytes"))
-    facts = sizes.join(count_texts(blocks, keys, F.col("_block"), counter), keys)
-    return nodes.join(facts, keys, "left")
+    return sizes.join(count_texts(blocks, keys, F.col("_block"), counter), keys)
 
 
 def selected(nodes: DataFrame, selection: DataFrame | None) -> DataFrame:
@@ -197,11 +215,76 @@ def pack(
         nodes = corpus_nodes(files, fmt, strip, globs, selection, counter)
         blocks = nodes.filter("selected and not is_dir").select("repo", "ord", "tokens")
         overhead = stage(part_overhead(nodes, counter, preamble))
-        parts = pack_parts(blocks, overhead, max_tokens, chunk).join(
-            nodes.select("repo", "ord", "path", "block_bytes", *_known_tokens(counter)), ["repo", "ord"]
+        parts = stage(_with_facts(pack_parts(blocks, overhead, max_tokens, chunk), nodes, counter))
+    return Packed(files, nodes, parts, overhead, fmt, strip, tuple(globs), counter, preamble, paths, max_tokens)
+
+
+def _with_facts(parts: DataFrame, nodes: DataFrame, counter: Counter | PieceCounter) -> DataFrame:
+    return parts.join(nodes.select("repo", "ord", "path", "digest", "block_bytes", *_known_tokens(counter)), ["repo", "ord"])
+
+
+def repack(previous: Packed, files: DataFrame, selection: DataFrame | None = None, chunk: int = CHUNK) -> Packed:
+    """What ``pack`` gives for ``files`` with the settings of ``previous``, made from it.
+
+    Files whose path and content digest (MD5 of 128 bits) are those of before keep their sizes
+    and tokens; only the others are stripped, rendered and counted (``rendered`` in
+    ``nodes``). A repo whose blocks and overhead are the same keeps its parts, the others are
+    walked again over their numbers. ``selection`` is as in ``pack``; another one renders
+    nothing anew. ``previous`` must not be closed before."""
+    fmt, strip, globs, counter = previous.fmt, previous.strip, previous.globs, previous.counter
+    keys = ["repo", "path"]
+    names = ["block_bytes", "tokens", *_known_tokens(counter)]
+    with staged_paths() as paths:
+        known = previous.nodes.filter("not is_dir").select(*keys, "digest", *names)
+        nodes = stage(walk(files, globs, facts=_digest()).join(known, [*keys, "digest"], "left"))
+        nodes = nodes.withColumn("rendered", ~F.col("is_dir") & F.col("tokens").isNull())
+        new = nodes.filter("rendered").select(*keys, "is_dir")
+        if isinstance(counter, PieceCounter):
+            made = _counted_blocks(files, new, fmt, strip, globs, counter)
+        else:
+            block = render(F.col("path"), F.col("_text"), fmt, counter)
+            made = _kept_texts(files, new, strip, globs).select(*keys, *[c.alias(n) for n, c in _sizes(block, counter).items()])
+        made = stage(made.select(*keys, *[F.col(n).alias(f"_{n}") for n in names]))
+        nodes = lookup_join(nodes, made, keys).withColumns({n: F.coalesce(n, f"_{n}") for n in names})
+        nodes = _numbered(stage(selected(nodes.drop(*[f"_{n}" for n in names]), selection)))
+        blocks = nodes.filter("selected and not is_dir").select("repo", "ord", "tokens")
+        overhead = stage(part_overhead(nodes, counter, previous.preamble))
+        same = _walks(blocks, overhead).join(_walks(previous.parts, previous.overhead), ["repo", "_n", "_sum", "overhead"]).select("repo")
+        same = stage(same)
+        kept = lookup_join(previous.parts, same, ["repo"], "left_semi").select("repo", "ord", "tokens", "part", "before", "first")
+        again = blocks.join(same, ["repo"], "left_anti")
+        walked = pack_parts(again, overhead, previous.max_tokens, chunk)
+        parts = stage(_with_facts(kept.unionByName(walked), nodes, counter))
+    return Packed(files, nodes, parts, overhead, fmt, strip, globs, counter, previous.preamble, paths, previous.max_tokens)
+
+
+def _hash_sum(*columns: Column | str) -> Column:
+    """A digest of rows in any order."""
+    return F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+
+
+def _walks(blocks: DataFrame, overhead: DataFrame) -> DataFrame:
+    """(repo, _n, _sum, overhead): all that the parts of a repo depend on."""
+    sums = blocks.groupBy("repo").agg(F.count("*").alias("_n"), _hash_sum("ord", "tokens").alias("_sum"))
+    return sums.join(overhead.select("repo", "overhead"), "repo")
+
+
+def part_changes(previous: Packed, packed: Packed) -> DataFrame:
+    """(repo, part, change) of every part text: same, changed, added or gone. Told from
+    digests of the tree and of the part's files, no text is built. Settings other than the
+    selection must be those of before, as in ``repack``."""
+
+    def digests(of: Packed, name: str) -> DataFrame:
+        tree = of.nodes.filter("selected").groupBy("repo").agg(_hash_sum("ord", "path", "is_dir").alias("_tree"))
+        parts = of.parts.groupBy("repo", "part").agg(
+            F.count("*").alias("_n"), _hash_sum("path", "digest", "before").alias("_files")
         )
-        parts = stage(parts)
-    return Packed(files, nodes, parts, overhead, fmt, strip, tuple(globs), counter, preamble, paths)
+        return lookup_join(parts, tree, ["repo"]).select("repo", "part", F.struct("_tree", "_n", "_files").alias(name))
+
+    both = digests(previous, "_old").join(digests(packed, "_new"), ["repo", "part"], "full")
+    old, new = F.col("_old"), F.col("_new")
+    change = F.when(old.isNull(), "added").when(new.isNull(), "gone").when(old == new, "same").otherwise("changed")
+    return both.select("repo", "part", change.alias("change"))
 
 
 def _known_tokens(counter: Counter | PieceCounter) -> list[str]:
@@ -272,13 +355,17 @@ def part_names(packed: Packed, base: str, ext: str) -> DataFrame:
 
 
 def part_body(
-    packed: Packed, piece_tokens: int = PIECE_TOKENS, tree_chunk: int = TREE_CHUNK
+    packed: Packed, piece_tokens: int = PIECE_TOKENS, tree_chunk: int = TREE_CHUNK, only: DataFrame | None = None
 ) -> DataFrame:
-    """(repo, part, piece, body): preamble, tree and blocks of each part.
+    """(repo, part, piece, body): preamble, tree and blocks of each part, or of those in
+    ``only`` (repo, part).
 
     A part is one row unless its tree or its blocks pass the row sizes above;
     then the part is its rows in ``piece`` order.
     """
+    chosen = packed.parts
+    if only is not None:
+        chosen = lookup_join(chosen, only.select("repo", "part").distinct(), ["repo", "part"], "left_semi")
     preamble = F.when(F.col("piece") == 0, packed.preamble).otherwise("")
     with staged_paths() as paths:
         tree = stage(tree_text(packed.nodes, tree_chunk).withColumn("tree", F.concat(preamble, "tree")))
@@ -286,19 +373,20 @@ def part_body(
     # The last tree row opens the first block row; earlier ones stand alone.
     last = tree.filter("piece = n_pieces - 1").select("repo", "piece", F.col("tree").alias("_block"))
     early = tree.filter("piece < n_pieces - 1").select("repo", "piece", F.col("tree").alias("body"))
-    parts = packed.parts.filter("first").select("repo", "part")
+    parts = chosen.filter("first").select("repo", "part")
 
     known = _known_tokens(packed.counter)
     counter = _content_tokens if known else packed.counter
     shift = last.select("repo", F.col("piece").alias("_shift"))
-    places = lookup_join(packed.parts, shift, ["repo"]).select(
+    places = lookup_join(chosen, shift, ["repo"]).select(
         "repo", "path", "part", "ord", *known,
         (F.col("_shift") + F.floor(F.col("before") / piece_tokens)).cast("bigint").alias("piece"),
     )
     # Rows that tell by themselves that they aren't packed never meet the join; the
     # others travel as they are and are stripped and rendered behind it.
     raw = row_visible(packed.files, packed.globs).select("repo", "path", "content")
-    met = raw.join(places, ["repo", "path"]).withColumn("_text", text(packed.strip))
+    met = raw.join(places, ["repo", "path"]) if only is None else lookup_join(raw, places, ["repo", "path"], "inner")
+    met = met.withColumn("_text", text(packed.strip))
     blocks = met.select(
         "repo", "part", "piece", "ord",
         render(F.col("path"), F.col("_text"), packed.fmt, counter).alias("_block"),

@@ -264,6 +264,19 @@ def pack_parts_pieces(spark, sf):
     return packed.parts.select("repo", "path", "content_tokens", "tokens", "part")
 
 
+def repack_parts(spark, sf):
+    """Files with a 7 before the extension are edited, those with a 13 there are deleted."""
+    files = _tree(spark, sf)
+    edited = F.concat("content", F.lit("\nedited\n"))
+    changed = files.filter("path not like '%13.%'").withColumn(
+        "content", F.when(F.col("path").like("%7.%"), edited).otherwise(F.col("content"))
+    )
+    packed = plan.repack(plan.pack(files, LIMIT), changed)
+    return packed.parts.join(packed.nodes.select("repo", "ord", "rendered"), ["repo", "ord"]).select(
+        "repo", "path", "tokens", "part", "rendered"
+    )
+
+
 def pack_totals(spark, sf):
     return plan.pack_totals(plan.pack(_tree(spark, sf), LIMIT, selection=_selection(spark, sf)))
 
@@ -453,6 +466,7 @@ _QUERIES: dict[str, Query] = {
     "pack_parts_selected": pack_parts_selected,
     "pack_parts_counter": pack_parts_counter,
     "pack_parts_pieces": pack_parts_pieces,
+    "repack_parts": repack_parts,
     "pack_totals": pack_totals,
     "named_parts": named_parts,
     "latest_block": latest_block,
