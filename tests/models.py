@@ -125,3 +125,21 @@ def next_fit(tokens, room):
         used += t
         filled = True
     return out
+
+
+def moved_bytes(df):
+    """Bytes of the rows that the shuffles of ``df`` moved; runs it."""
+    df.collect()
+    waiting, total = [df._jdf.queryExecution().executedPlan()], 0
+    while waiting:
+        node = waiting.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                total += node.metrics().apply("dataSize").value()
+            waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return total

@@ -199,3 +199,20 @@ def test_steps_stay_bounded_when_a_repo_fits_one_part(factor):
     composed = packing._functions(packing._compose(pd.concat(frames), 4))[0][1]
     walked = models.next_fit([t for c in chunks[:4] for t in c], room)
     assert packing._at(composed, np.array([-1]))[0][1] + 1 == walked[-1][0]
+
+
+def long_tree(spark, n):
+    """A repo of ``n`` small files with long paths."""
+    path = F.format_string("a-folder-with-a-long-name-%04d/file.txt", "id")
+    return spark.range(n).select(F.lit("r").alias("repo"), path.alias("path"), F.lit("x\n").alias("content"))
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_trees_are_not_shuffled_with_every_part(spark, named):
+    packed = plan.pack(long_tree(spark, 300), 1)
+    df = plan.named_parts(packed, "out", ".md") if named else plan.part_body(packed)
+    moved = models.moved_bytes(df)
+    bodies = {r.part: r.body for r in df.collect()}
+    tree = plan.tree_text(packed.nodes).first().tree
+    assert len(bodies) == 300 and all(tree in b and b.count("## File: ") == 1 for b in bodies.values())
+    assert moved < 10 * len(tree) < sum(map(len, bodies.values())) / 10
