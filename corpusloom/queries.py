@@ -15,7 +15,7 @@ from corpusloom.functions.secrets import passes_gate
 from corpusloom.operators import counting, tree, unpacking
 from corpusloom.plans import pack as plan
 from corpusloom.plans import unpack as unplan
-from corpusloom.session import stage, staging_root
+from corpusloom.session import filter_made, stage, staging_root
 from corpusloom.sources import snapshots, views
 
 GLOBS = ["*.css", "d?", "logs/*/d1", "d.x", "[a-", "lib*/*"]
@@ -134,7 +134,7 @@ def binary_filter(spark, sf):
 
 
 def secret_gate_misses(spark, sf):
-    files = _files(spark, sf).filter(~passes_gate(F.col("content")))
+    files = filter_made(_files(spark, sf), ~passes_gate(F.col("content")))
     return plan.secret_findings(files, strict=True).filter(F.col("rule") != ENV_LABEL)
 
 

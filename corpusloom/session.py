@@ -122,6 +122,14 @@ def lookup_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def filter_made(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.filter(condition)`` behind the work on the columns of ``df``. A plain filter is moved
+    below it and does the work on a column anew for each time that ``condition`` names it;
+    below a column that depends on the task it is not moved."""
+    made = df.withColumn("_task", F.spark_partition_id())
+    return made.filter(condition & (F.col("_task") >= 0)).drop("_task")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows out by ``keys`` to as many tasks as there are cores at least."""
     spark = df.sparkSession

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 import models
 from corpusloom.functions import text
+from corpusloom.functions.secrets import passes_gate
 from corpusloom.functions.strip import strip_comments
 from corpusloom.operators.unpacking import markdown_blocks, xml_blocks
+from corpusloom.session import filter_made
 
 PIECES = {
     ".go": ["//", "/*", "*/", "/", "*", " ", "x", "\n", "\n", "\r\n", "\r", "\xa0", "\u0085", "\n\n", '"', "\u00e9"],
@@ -127,3 +129,12 @@ def test_cdata(spark):
     ).collect():
         assert escaped == c.replace("]]>", "]]]]><![CDATA[>")
         assert back == c
+
+
+def test_the_gate_is_asked_of_texts_made_once(spark):
+    """A filter that names a long expression nine times doesn't work it out nine times."""
+    rows = spark.createDataFrame([("a token", 1), ("ASIA" + "B" * 16, 2), (None, 3)], "t string, i int")
+    made = rows.select(F.concat(F.lit("<mark>"), F.reverse(F.reverse("t"))).alias("content"), "i")
+    missed = filter_made(made, ~passes_gate(F.col("content")))
+    assert [r.i for r in missed.collect()] == [2] and missed.columns == ["content", "i"]
+    assert missed._jdf.queryExecution().optimizedPlan().toString().count("<mark>") == 1
