@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.automaton import rewrite
 from corpusloom.functions.paths import clean_path, path_status
 from corpusloom.functions.text import WS, WS_LINE, cdata_restore, let, preceded
-from corpusloom.session import built_once, lookup_join, stage
+from corpusloom.session import built_once, fits_broadcast, stage
 
 _SPACE = r"\t\n\f\r "
 _FILE_TAG = rf"<file[{_SPACE}]+path=[\"']([^\"']+)[\"'][^>]*>"
@@ -108,6 +108,18 @@ def markdown_blocks(body: Column) -> Column:
     return F.when(body.contains("File:"), found).otherwise(F.array().cast(_BLOCKS))
 
 
+def from_first_opening(text: Column, fmt: str) -> Column:
+    """``text`` from the first line on that may open a block of ``fmt``, xml or markdown; empty
+    without one. The lines before it leave the automata above in the state they begin in, so
+    the blocks are the same without them, whatever follows."""
+    if fmt == "xml":
+        at = F.instr(text, "<file")
+        line = F.substring_index(F.left(text, at - 1), "\n", -1)
+        return F.when(at > 0, F.concat(line, F.substr(text, at))).otherwise("")
+    at = F.instr(F.concat(F.lit("\n"), text), "\n##")
+    return F.when(at > 0, F.substr(text, at)).otherwise("")
+
+
 def auto_blocks(body: Column) -> Column:
     """XML blocks; Markdown blocks only where there is no XML block."""
     return let(
@@ -158,27 +170,30 @@ def latest_block(blocks: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     return blocks.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank")
 
 
-def apply_blocks(snapshot: DataFrame, blocks: DataFrame) -> DataFrame:
+def apply_blocks(snapshot: DataFrame, blocks: DataFrame, written: bool = False) -> DataFrame:
     """Write blocks (repo, clean_path, content; one per path) over a snapshot
-    (repo, path, content). Adds ``change``: added, replaced, same or kept."""
-    # Written once, as they are measured, looked up and told from the snapshot's keys.
-    new = stage(
-        blocks.select(
-            "repo", F.col("clean_path").alias("path"), F.col("content").alias("_new"), F.lit(True).alias("_block")
-        )
+    (repo, path, content). Adds ``change``: added, replaced, same or kept. ``written``
+    says that ``blocks`` are a written table."""
+    new = blocks.select(
+        "repo", F.col("clean_path").alias("path"), F.col("content").alias("_new"), F.lit(True).alias("_block")
     )
-    # Blocks are looked up, so the snapshot's content isn't shuffled where they fit.
-    old = lookup_join(snapshot.select("repo", "path", "content"), new, ["repo", "path"]).select(
-        "repo",
-        "path",
-        F.coalesce("_new", "content").alias("content"),
+    if not written:
+        # Written once, as they are measured, looked up and told from the snapshot's keys.
+        new = stage(new)
+    snapshot = snapshot.select("repo", "path", "content", F.lit(True).alias("_old"))
+    change = (
         F.when(F.col("_block").isNull(), "kept")
+        .when(F.col("_old").isNull(), "added")
         .when(F.col("_new") == F.col("content"), "same")
         .otherwise("replaced")
-        .alias("change"),
-    )
-    # Only the snapshot's keys are needed to tell which blocks are new to it.
-    added = new.join(snapshot.select("repo", "path"), ["repo", "path"], "left_anti").select(
-        "repo", "path", F.col("_new").alias("content"), F.lit("added").alias("change")
     )
-    return old.unionByName(added)
+    rows = ["repo", "path", F.coalesce("_new", "content").alias("content"), change.alias("change")]
+    if not fits_broadcast(new):
+        # Both sides meet by path, once each: blocks are as heavy as files, so they aren't
+        # copied to be salted.
+        return snapshot.join(new.hint("merge"), ["repo", "path"], "full").select(*rows)
+    # Blocks are looked up, so the snapshot's content isn't shuffled; only its keys are needed
+    # to tell which blocks are new to it.
+    old = snapshot.join(F.broadcast(new), ["repo", "path"], "left")
+    added = new.join(snapshot.select("repo", "path"), ["repo", "path"], "left_anti")
+    return old.unionByName(added, allowMissingColumns=True).select(*rows)

@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import models
 from corpusloom import session
 from corpusloom.constants import ENV_LABEL
 from corpusloom.operators import unpacking
@@ -372,3 +373,18 @@ def test_hidden_directories_in_python_and_spark(spark):
     search = re.compile(globs.hidden_in_python(patterns)).search
     for row in df.select("p", both.alias("hidden")).collect():
         assert bool(search(row.p)) is row.hidden, row.p
+
+
+def test_blocks_too_many_to_be_looked_up_are_not_copied(spark, monkeypatch):
+    files = [("r", f"p{i % 290}", f"old {i} " * 20) for i in range(300)] + [(None, "p1", "x"), ("r", None, "y")]
+    news = [("r", f"p{i}", f"new {i} " * 20) for i in range(100, 400)] + [("r", "p3", "old 3 " * 20), (None, "p1", "z")]
+    snapshot = spark.createDataFrame(files, "repo string, path string, content string")
+    blocks = spark.createDataFrame(news, "repo string, clean_path string, content string")
+    looked_up = sorted(map(str, unpacking.apply_blocks(snapshot, blocks).collect()))
+    monkeypatch.setattr(session.fits_broadcast, "__defaults__", (0,))
+    monkeypatch.setattr(session.lookup_join, "__defaults__", ("left", 0))
+    met = unpacking.apply_blocks(snapshot, blocks)
+    moved = models.moved_bytes(met)
+    assert sorted(map(str, met.collect())) == looked_up
+    assert {r.change for r in met.collect()} == {"added", "kept", "replaced", "same"}
+    assert moved < 3 * sum(len(c) for _, _, c in files + news)
