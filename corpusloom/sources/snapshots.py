@@ -133,7 +133,7 @@ def commit_blocks(spark: SparkSession, root: str, blocks: DataFrame) -> int:
     if not touched:
         return before
     old = _read_buckets(spark, root, [folders[b] for b in touched if b in folders])
-    written = _write_buckets(apply_blocks(old, new), root, buckets, len(touched))
+    written = _write_buckets(apply_blocks(old, new, written=True), root, buckets, len(touched))
     return _publish(spark, root, before + 1, buckets, folders | written)
 
 
