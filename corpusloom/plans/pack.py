@@ -6,7 +6,7 @@ and once for the part texts. Everything between works on keys and integers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -370,21 +370,27 @@ def part_body(
 
 
 def _assembled(
-    packed: Packed, chosen: DataFrame, piece_tokens: int, tree_chunk: int, whole: bool, names: DataFrame | None = None
+    packed: Packed, chosen: DataFrame, piece_tokens: int, tree_chunk: int, whole: bool, names: DataFrame | None = None,
+    front: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """(repo, part, piece, body) of the parts of the files in ``chosen``, ``whole`` if these are
     all, with the columns of ``names`` (repo, part, marker, ...), if given, and its marker in
-    front of each part.
+    front of each part. ``front`` is done to each tree row, once per repo; a tree row of its own
+    that is empty then is left out.
 
     A tree is in all parts of its repo, so it is never shuffled with them: blocks are joined to
     rows first, then every row that opens looks its tree up."""
     preamble = F.when(F.col("piece") == 0, packed.preamble).otherwise("")
     with staged_paths() as paths:
         tree = stage(tree_text(packed.nodes, tree_chunk).withColumn("tree", F.concat(preamble, "tree")))
+        if front is not None:
+            tree = stage(tree.withColumn("tree", front(F.col("tree"))))
     packed.staged.extend(paths)
     # The last tree row opens the first block row; earlier ones stand alone.
     last = tree.filter("piece = n_pieces - 1").select("repo", "piece", F.col("tree").alias("_tree"))
     early = tree.filter("piece < n_pieces - 1").select("repo", "piece", F.col("tree").alias("body"))
+    if front is not None:
+        early = early.filter("body <> ''")
     parts = chosen.filter("first").select("repo", "part")
 
     known = _known_tokens(packed.counter)
@@ -422,6 +428,14 @@ def _assembled(
     return rows.withColumn("body", F.when(F.col("piece") == 0, F.concat("marker", "body")).otherwise(F.col("body")))
 
 
+def part_blocks(packed: Packed, front: Callable[[Column], Column], piece_tokens: int = PIECE_TOKENS) -> DataFrame:
+    """The rows of ``part_body`` with ``front`` done to their trees, once per repo. Rows of a
+    tree alone that are empty then are left out."""
+    return _assembled(packed, packed.parts, piece_tokens, TREE_CHUNK, True, front=front).select(
+        "repo", "part", "piece", "body"
+    )
+
+
 def named_parts(
     packed: Packed, base: str, ext: str, piece_tokens: int = PIECE_TOKENS, tree_chunk: int = TREE_CHUNK
 ) -> DataFrame:

@@ -10,13 +10,14 @@ from corpusloom.functions.text import cdata_restore
 from corpusloom.operators.tree import kept_files, row_visible
 from corpusloom.operators.unpacking import (
     apply_blocks,
+    from_first_opening,
     latest_block,
     markdown_blocks,
     safe_blocks,
     unpack,
     xml_blocks,
 )
-from corpusloom.plans.pack import Packed, part_body, text
+from corpusloom.plans.pack import Packed, part_blocks, text
 
 
 def unpack_into(
@@ -61,7 +62,10 @@ def roundtrip_parts(packed: Packed, piece_tokens: int | None = None) -> DataFram
     path that isn't in the part). Every row of a part text is unpacked by itself.
     """
     sizes = {} if piece_tokens is None else {"piece_tokens": piece_tokens}
-    blocks = unpack(part_body(packed, **sizes), "xml" if packed.fmt.lower() == "xml" else "markdown")
+    fmt = "xml" if packed.fmt.lower() == "xml" else "markdown"
+    # A tree is read once per repo: its lines matter to its parts from the first one on that
+    # may open a block, which takes a file name with such a mark.
+    blocks = unpack(part_blocks(packed, lambda tree: from_first_opening(tree, fmt), **sizes), fmt)
     own = Window.partitionBy("repo", "part", "path").orderBy("piece", "block_ord")
     blocks = blocks.select(
         "repo", "part", "path", F.col("content").alias("back"), F.row_number().over(own).alias("nth")
@@ -80,10 +84,12 @@ def roundtrip_parts(packed: Packed, piece_tokens: int | None = None) -> DataFram
         .when(F.concat(back, F.lit("\n")) == content, "newline")
         .otherwise("changed")
     )
+    # Texts are compared first, so that they stay out of the window's shuffle.
+    met = met.select("repo", "part", "path", "sent", fidelity.alias("_own"))
     # Later blocks of a path that isn't in the part are invented like the first.
     known = F.max("sent").over(Window.partitionBy("repo", "part", "path"))
     met = met.withColumn("_known", known)
-    fidelity = F.when(F.col("_known").isNull(), "invented").otherwise(fidelity)
+    fidelity = F.when(F.col("_known").isNull(), "invented").otherwise(F.col("_own"))
     return met.select("repo", "part", "path", fidelity.alias("fidelity"))
 
 

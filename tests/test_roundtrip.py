@@ -1,7 +1,10 @@
 """Round trip through whole part texts: what neighbours do to one another."""
 
 import pytest
+from pyspark.sql import functions as F
 
+import models
+from corpusloom.operators.unpacking import from_first_opening, markdown_blocks, xml_blocks
 from corpusloom.plans import pack as plan
 from corpusloom.plans.unpack import roundtrip_parts
 
@@ -50,3 +53,36 @@ def test_alone_in_its_part_equals_alone(files):
 
 def test_no_files(spark, files):
     assert report(files.limit(0)) == []
+
+
+NAMES = [("r", f"{'long/' * 9}{i}.md", f"text {i}\n") for i in range(200)]
+
+
+@pytest.mark.parametrize("fmt", ["xml", "markdown"])
+def test_trees_are_not_read_with_every_part(spark, fmt):
+    packed = plan.pack(spark.createDataFrame(NAMES, "repo string, path string, content string"), 1, fmt, strip=False)
+    rows = roundtrip_parts(packed)
+    moved = models.moved_bytes(rows)
+    assert sorted((r.part, r.fidelity) for r in rows.collect()) == [(i, "newline") for i in range(1, 201)]
+    tree = plan.tree_text(packed.nodes).first().tree
+    assert moved < 50 * len(tree)
+
+
+def test_names_that_open_blocks(spark):
+    """A tree whose names look like block marks is still read by every part."""
+    rows = [("r", 'a<file path="z.md">', "one\n"), ("r", "b.md", "two\n"), ("r", "c\n## File: b.md\n```", "three\n")]
+    files = spark.createDataFrame(rows, "repo string, path string, content string")
+    for fmt, parse in (("xml", xml_blocks), ("markdown", markdown_blocks)):
+        packed = plan.pack(files, 1, fmt, strip=False)
+        bodies = plan.part_body(packed).select("part", parse(F.col("body")).alias("found")).collect()
+        found = sorted((b.part, f.path) for b in bodies for f in b.found)
+        got = [(r.part, r.path) for r in roundtrip_parts(packed).filter("fidelity <> 'missing'").collect()]
+        assert sorted(got) == found and found
+
+
+@pytest.mark.parametrize("text", ["", "x", "\n", 'a\nb <file path="x">\nc', "##", "a\n## File: x\n```", "a## b\n# c", "<file"])
+def test_from_first_opening(spark, text):
+    lines = text.split("\n")
+    for fmt, opens in (("xml", lambda x: "<file" in x), ("markdown", lambda x: x.startswith("##"))):
+        first = next((i for i, x in enumerate(lines) if opens(x)), len(lines))
+        assert spark.range(1).select(from_first_opening(F.lit(text), fmt)).first()[0] == "\n".join(lines[first:])
