@@ -216,3 +216,16 @@ def test_trees_are_not_shuffled_with_every_part(spark, named):
     tree = plan.tree_text(packed.nodes).first().tree
     assert len(bodies) == 300 and all(tree in b and b.count("## File: ") == 1 for b in bodies.values())
     assert moved < 10 * len(tree) < sum(map(len, bodies.values())) / 10
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_tree_rows_lie_beside_their_copies(spark, named):
+    packed = plan.pack(long_tree(spark, 150), 1)
+    df = plan.named_parts(packed, "out", ".md", tree_chunk=7) if named else plan.part_body(packed, tree_chunk=7)
+    trees = plan.tree_text(packed.nodes, 7).orderBy("piece").collect()
+    rows = df.withColumn("task", F.spark_partition_id()).collect()
+    early = [r for r in rows if r.piece < len(trees) - 1]
+    assert sorted((r.part, r.piece) for r in early) == [(p, t.piece) for p in range(1, 151) for t in trees[:-1]]
+    assert all(r.body.endswith(trees[r.piece].tree) for r in early)
+    runs = sum((a.task, a.piece) != (b.task, b.piece) for a, b in zip(early, early[1:])) + 1
+    assert runs == len(trees) - 1
