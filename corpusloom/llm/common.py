@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_BYTES = 1 << 20  # text handled at once inside a task
-HASHED_BYTES = 1 << 18  # text whose words are hashed at once
+HASHED_BYTES = 1 << 17  # text whose words are hashed at once
 SHARD_BYTES = 32 << 20  # input bytes behind one shard of an index
 
 

@@ -27,6 +27,8 @@ late digits, and the model depends on how the table is split into tasks.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,8 +74,11 @@ def _counts(batches, shards: int):
         word, starts, _ = words(data, offsets)
         if not len(word):
             continue
-        key, first, n = np.unique(word, return_index=True, return_counts=True)
-        rows = _by_shard(key, shards, n.astype(np.uint32), _endings(data, starts)[first].astype(np.uint8))
+        order = np.argsort(word)  # equal words have equal endings, whichever comes first
+        word = word[order]
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        n = np.diff(np.concatenate((first, [len(word)])))
+        rows = _by_shard(word[first], shards, n.astype(np.uint32), _endings(data, starts)[order[first]].astype(np.uint8))
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["shard", "keys", "counts", "endings"])
 
@@ -158,7 +163,7 @@ def contexts(token: np.ndarray, per_row: np.ndarray) -> np.ndarray:
     rows = len(per_row)
     row = np.repeat(np.arange(rows), per_row)
     at = np.arange(len(token)) + SIDE * (row + 1)
-    padded = np.full(len(token) + SIDE * (rows + 1), PAD, np.int64)
+    padded = np.full(len(token) + SIDE * (rows + 1), PAD, np.uint16)
     padded[at] = token
     return np.column_stack([padded[at + d] for d in range(-SIDE, SIDE + 1) if d])
 
@@ -179,36 +184,77 @@ def flatten(model: dict) -> np.ndarray:
 def unflatten(values: np.ndarray) -> dict:
     out, at = {}, 0
     for k, shape in SHAPES.items():
-        n = int(np.prod(shape))
+        n = math.prod(shape)
         out[k] = values[at : at + n].reshape(shape).astype(np.float32)
         at += n
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+class Buffers:
+    """Arrays that are used again from batch to batch: getting fresh memory for each one takes
+    longer than filling it."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty(n, np.float32)
+        return self.held[name][:n].reshape(shape)
+
+
+def _exponents(x: np.ndarray) -> np.ndarray:
+    """exp of logits, one column per token, up to a factor per column; in place."""
+    x -= x.max(axis=0)
+    return np.exp(x, out=x)
+
+
+def _picked(x: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Log-probability of each column's choice; the logits are overwritten."""
+    at = np.arange(x.shape[1])
+    x -= x.max(axis=0)
+    chosen = x[choice, at]
+    return chosen - np.log(np.exp(x, out=x).sum(axis=0))
+
+
+def _outer(model: dict, h: np.ndarray, buffer: Buffers) -> np.ndarray:
+    """Logits of the groups, one column per token."""
+    out = np.matmul(model["group"].T, h.T, out=buffer("outer", GROUPS, len(h)))
+    out += model["group_b"][:, None]
+    return out
+
+
+def _inner(model: dict, h: np.ndarray, cuts: list[int], buffer: Buffers) -> np.ndarray:
+    """Logits inside its group for each token, one column per token in order of the groups."""
+    out = buffer("inner", GROUP_SIZE, len(h))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if a < b:
+            np.matmul(model["out"][k].T, h[a:b].T, out=out[:, a:b])
+            out[:, a:b] += model["out_b"][k][:, None]
+    return out
 
 
 def log_probabilities(model: dict, context: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Log-probability of each token given its context."""
     out = np.empty(len(token), np.float32)
-    group, place = token // GROUP_SIZE, token % GROUP_SIZE
-    order = np.argsort(group, kind="stable")
+    token = token.astype(np.uint16)
+    order = np.argsort(token, kind="stable")  # by group
     # The first layer's part of each context position is one row per token.
     parts = [model["emb"] @ model["w"][i * EMBEDDING : (i + 1) * EMBEDDING] for i in range(2 * SIDE)]
-    for a in range(0, len(order), 1 << 16):
-        pick = order[a : a + (1 << 16)]
-        h = np.tanh(sum(parts[i][context[pick, i]] for i in range(2 * SIDE)) + model["b"])
-        g = group[pick]
-        score = _log_softmax(h @ model["group"] + model["group_b"])[np.arange(len(pick)), g]
-        cuts = np.searchsorted(g, np.arange(GROUPS + 1))
-        for k in range(g[0], g[-1] + 1):
-            s = slice(cuts[k], cuts[k + 1])
-            if s.start < s.stop:
-                inner = _log_softmax(h[s] @ model["out"][k] + model["out_b"][k])
-                score[s] += inner[np.arange(s.stop - s.start), place[pick[s]]]
-        out[pick] = score
+    parts[0] = parts[0] + model["b"]
+    buffer = Buffers()
+    for a in range(0, len(order), 1 << 13):
+        pick = order[a : a + (1 << 13)]
+        near, own = context[pick], token[pick]
+        h = np.take(parts[0], near[:, 0], axis=0, out=buffer("h", len(pick), HIDDEN), mode="clip")
+        for i in range(1, 2 * SIDE):
+            h += np.take(parts[i], near[:, i], axis=0, out=buffer("part", len(pick), HIDDEN), mode="clip")
+        np.tanh(h, out=h)
+        group, place = own // GROUP_SIZE, own % GROUP_SIZE
+        score = _picked(_outer(model, h, buffer), group)
+        cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        out[pick] = score + _picked(_inner(model, h, cuts, buffer), place)
     return out
 
 
@@ -220,34 +266,47 @@ class Trainer:
         self.m = {k: np.zeros_like(v) for k, v in model.items()}
         self.v = {k: np.zeros_like(v) for k, v in model.items()}
         self.step = 0
+        self.buffer = Buffers()
 
     def learn(self, context: np.ndarray, token: np.ndarray) -> None:
-        p, n = self.model, len(token)
+        p, n, buffer = self.model, len(token), self.buffer
+        token = token.astype(np.uint16)
         order = np.argsort(token, kind="stable")  # by group
         context, token = context[order], token[order]
-        group, place = token // GROUP_SIZE, token % GROUP_SIZE
-        x = p["emb"][context].reshape(n, -1)
-        h = np.tanh(x @ p["w"] + p["b"])
-        dg = np.exp(_log_softmax(h @ p["group"] + p["group_b"]))
-        dg[np.arange(n), group] -= 1
-        dg /= n
-        dh = dg @ p["group"].T
+        group, place, at = token // GROUP_SIZE, token % GROUP_SIZE, np.arange(n)
+        flat = context.ravel().astype(np.uint16)
+        x = np.take(p["emb"], flat, axis=0, out=buffer("x", len(flat), EMBEDDING), mode="clip").reshape(n, -1)
+        h = np.matmul(x, p["w"], out=buffer("h", n, HIDDEN))
+        h += p["b"]
+        np.tanh(h, out=h)
+
+        # Gradients by the logits, one column per token: what is summed lies in a row then.
+        def gradient(logits: np.ndarray, choice: np.ndarray) -> np.ndarray:
+            d = _exponents(logits)
+            d /= d.sum(axis=0) * n
+            d[choice, at] -= np.float32(1 / n)
+            return d
+
+        dg = gradient(_outer(p, h, buffer), group)
+        dh = np.matmul(dg.T, p["group"].T, out=buffer("dh", n, HIDDEN))
+        cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        d = gradient(_inner(p, h, cuts, buffer), place)
         grad = {"out": np.zeros_like(p["out"]), "out_b": np.zeros_like(p["out_b"]), "emb": np.zeros_like(p["emb"])}
-        cuts = np.searchsorted(group, np.arange(GROUPS + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            s = slice(cuts[k], cuts[k + 1])
-            d = np.exp(_log_softmax(h[s] @ p["out"][k] + p["out_b"][k]))
-            d[np.arange(len(d)), place[s]] -= 1
-            d /= n
-            dh[s] += d @ p["out"][k].T
-            grad["out"][k], grad["out_b"][k] = h[s].T @ d, d.sum(axis=0)
-        dh *= 1 - h * h
-        flat = context.ravel()
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if a < b:
+                own = d[:, a:b]
+                dh[a:b] += np.matmul(own.T, p["out"][k].T, out=buffer("own", b - a, HIDDEN))
+                grad["out"][k], grad["out_b"][k] = (own @ h[a:b]).T, own.sum(axis=1)
+        grad |= {"group": h.T @ dg.T, "group_b": dg.sum(axis=1)}
+        h *= h
+        dh *= np.subtract(1, h, out=h)
         order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
-        dx = (dh @ p["w"].T).reshape(-1, EMBEDDING)
-        grad["emb"][flat[order[starts]]] = np.add.reduceat(dx[order], starts, axis=0)
-        grad |= {"w": x.T @ dh, "b": dh.sum(axis=0), "group": h.T @ dg, "group_b": dg.sum(axis=0)}
+        flat = flat[order]
+        starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        dx = np.matmul(dh, p["w"].T, out=buffer("dx", *x.shape)).reshape(-1, EMBEDDING)
+        dx = np.take(dx, order, axis=0, out=buffer("sorted", *dx.shape), mode="clip")
+        grad["emb"][flat[starts]] = np.add.reduceat(dx, starts, axis=0)
+        grad |= {"w": x.T @ dh, "b": dh.sum(axis=0)}
         self.step += 1
         for k, g in grad.items():
             self.m[k] += 0.1 * (g - self.m[k])

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -130,3 +132,16 @@ def test_query_scores_whole_words(spark):
     for k, r in enumerate(texts):
         assert whole[r["doc_id"]]["n_tokens"] == tokens[r["doc_id"]]["n_tokens"] == per_row[k]
         assert whole[r["doc_id"]]["log_prob"] - tokens[r["doc_id"]]["log_prob"] == pytest.approx(share[row == k].sum(), rel=0.02, abs=0.5)
+
+
+def test_a_batch_needs_little_fresh_memory():
+    """What a batch takes and gives back costs more time than its arithmetic."""
+    rng = np.random.default_rng(4)
+    context, token = rng.integers(0, m.VOCABULARY + 1, (m.BATCH, 4)), rng.integers(0, m.VOCABULARY, m.BATCH)
+    trainer = m.Trainer(m.initial())
+    trainer.learn(context, token)
+    tracemalloc.start()
+    trainer.learn(context, token)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5e6
