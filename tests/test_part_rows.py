@@ -1,10 +1,12 @@
 """Part texts of large repos: what is shuffled, broadcast and held at a time."""
 
+import pyarrow.parquet as pq
 import pytest
 
 import models
 from corpusloom import session
 from corpusloom.plans import pack as plan
+from test_packing import long_tree
 
 
 @pytest.fixture
@@ -31,3 +33,21 @@ def test_names_are_made_where_the_parts_are(spark, monkeypatch, no_broadcasts_of
     bodies = {(r.repo, r.part): r.body for r in body.collect()}
     assert len(rows) == 40 and all(r.body == f"=== PART {part} of 20 ===\n" + bodies[repo, part] for (repo, part), r in rows.items())
     assert all(r.part_name == f"out_part{part}.md" for (_, part), r in rows.items())
+
+
+def test_trees_too_large_for_a_broadcast_meet_the_blocks_where_they_are(spark, no_broadcasts_of_its_own):
+    files = spark.createDataFrame([(f"r{i % 2}", f"f{i}.txt", f"{i} " * 5000) for i in range(40)], "repo string, path string, content string")
+    packed = plan.pack(files, 1)
+    for pieces in ((10**6, 10**5), (300, 7)):
+        small = plan._assembled(packed, packed.parts, *pieces, True)
+        large = plan._assembled(packed, packed.parts, *pieces, True, most=0)
+        assert models.moved_bytes(large) < 1.2 * models.moved_bytes(small)
+        assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
+
+
+def test_writers_look_at_rows_with_trees_often(spark, tmp_path):
+    packed = plan.pack(long_tree(spark, 300), 1)
+    plan.part_body(packed).coalesce(1).write.option("parquet.block.size", 1 << 18).parquet(str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("*.parquet")
+    held = pq.ParquetFile(file).metadata
+    assert held.num_rows == 300 and max(held.row_group(i).num_rows for i in range(held.num_row_groups)) < 60
