@@ -1,5 +1,7 @@
 """Part texts of large repos: what is shuffled, broadcast and held at a time."""
 
+import re
+
 import pyarrow.parquet as pq
 import pytest
 
@@ -51,3 +53,26 @@ def test_writers_look_at_rows_with_trees_often(spark, tmp_path):
     (file,) = (tmp_path / "out").glob("*.parquet")
     held = pq.ParquetFile(file).metadata
     assert held.num_rows == 300 and max(held.row_group(i).num_rows for i in range(held.num_row_groups)) < 60
+
+
+def test_copies_of_trees_are_made_one_by_one(spark):
+    packed = plan.pack(long_tree(spark, 150), 1)
+    df = plan.part_body(packed, tree_chunk=7)
+    assert len(df.collect()) > 150 * 20
+    lines = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].splitlines()
+    made = [line for line in lines if "Generate explode" in line]
+    assert len(made) >= 3 and not any(re.search(r"\*\(\d+\) Generate", line) for line in made)
+
+
+@pytest.mark.parametrize("most", [0, plan.LOOKUP_BYTES])
+def test_every_stretch_of_parts_meets_every_tree_row(spark, monkeypatch, most):
+    monkeypatch.setattr(plan, "PART_BLOCK", 4)
+    monkeypatch.setattr(plan, "STRETCH", 2)
+    parts = [(r, p) for r, n in (("a", 50), ("b", 3), ("c", 9)) for p in range(1, n + 1) if p % 11 != 5]
+    trees = [(r, k, f"{r}{k}") for r, n in (("a", 30), ("b", 0), ("c", 1), ("d", 2)) for k in range(n)]
+    got = plan._in_every_part(
+        spark.createDataFrame(parts, "repo string, part bigint"),
+        spark.createDataFrame(trees, "repo string, piece bigint, body string"), 100, most,
+    )
+    expected = sorted((r, p, k, t) for r, p in parts for q, k, t in trees if q == r)
+    assert sorted(map(tuple, got.select("repo", "part", "piece", "body").collect())) == expected
